@@ -9,6 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -100,7 +105,7 @@ def summary_lcs(ref_sentences: list[list[str]], can_sentences: list[list[str]])
     return _f_measure(hits, ref_size, can_size)
 
 
-@F.pandas_udf("rougeL double, rougeLsum double")
+@F.pandas_udf(_doubles("rougeL", "rougeLsum"))
 def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """ROUGE-L and ROUGE-Lsum of (reference, candidate) sentence lists, each an array of token arrays."""
     for refs, cans in batches:
@@ -157,7 +162,7 @@ def character_bleu(reference: str, text: str) -> float:
     return brevity * math.exp(logs)
 
 
-@F.pandas_udf("name_bleu double, name_edits double, name_lcs double")
+@F.pandas_udf(_doubles("name_bleu", "name_edits", "name_lcs"))
 def name_distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Character BLEU, Damerau distance and LCS distance of two names."""
     for left, right in batches:

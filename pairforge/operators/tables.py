@@ -8,10 +8,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMPTY_MARK = "--"
 BINDINGS = "array<map<string,struct<type:string,value:string>>>"
-_LEAVES = "array<struct<row:bigint,column:string,value:string>>"
+_LEAVES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("row", T.LongType()),
+            T.StructField("column", T.StringType()),
+            T.StructField("value", T.StringType()),
+        ]
+    )
+)
 
 
 def _leaf(value) -> str | None:
