@@ -53,8 +53,8 @@ def _prefix_rows(prefixes: dict[str, str]) -> Column:
 def prepend_schema_prefixes(query: Column) -> Column:
     """Put a PREFIX line before the query for each schema word it uses, the last one on top."""
     used = F.array_distinct(F.transform(schema_terms(query), term_prefix))
-    hits = F.filter(_prefix_rows(SCHEMA_PREFIXES), lambda p: F.array_contains(used, p.name))
-    lines = F.transform(hits, lambda p: F.concat(F.lit("PREFIX "), p.name, F.lit(": <"), p.url, F.lit("> \n")))
+    hits = F.filter(_prefix_rows(SCHEMA_PREFIXES), lambda p: F.array_contains(used, p["name"]))
+    lines = F.transform(hits, lambda p: F.concat(F.lit("PREFIX "), p["name"], F.lit(": <"), p["url"], F.lit("> \n")))
     return F.concat(F.array_join(F.reverse(lines), ""), query)
 
 
@@ -65,11 +65,11 @@ def add_missing_prefixes(query: Column) -> Column:
     used = F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(1)))
 
     def line(p: Column) -> Column:
-        return F.concat(F.lit("PREFIX "), p.name, F.lit(": <"), p.url, F.lit(">"))
+        return F.concat(F.lit("PREFIX "), p["name"], F.lit(": <"), p["url"], F.lit(">"))
 
     missing = F.filter(
         _prefix_rows(ALL_PREFIXES),
-        lambda p: F.array_contains(used, p.name) & ~F.contains(query, line(p)),
+        lambda p: F.array_contains(used, p["name"]) & ~F.contains(query, line(p)),
     )
     block = F.array_join(F.transform(missing, lambda p: F.concat(line(p), F.lit("\n"))), "")
     return F.when(block == "", query).otherwise(F.concat(block, F.lit("\n"), query))

@@ -76,8 +76,9 @@ def strip_embed(query: Column) -> Column:
 
 
 def url_unquote(text: Column) -> Column:
-    """Percent-decode; ``+`` stays and text that cannot be decoded stays raw."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Percent-decode; ``+`` and percent signs without two hex digits stay."""
+    safe = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), text)
 
 
 def _host(host: str) -> str:

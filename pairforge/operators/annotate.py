@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pairforge.fixed_values import ID_PREFIXES, PARSE_FAILURE
 from pairforge.functions import sparql as sq
 from pairforge.functions.text import label_slug
+from pairforge.operators.ordered import forward_fill
 
 
 def best_labels(labels: DataFrame) -> DataFrame:
@@ -210,3 +211,10 @@ def prefix_usage(queries: DataFrame) -> DataFrame:
     """How many queries use each id prefix."""
     used = F.array_distinct(F.transform(sq.id_terms(F.col("query")), sq.term_prefix))
     return queries.select(F.explode(used).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n_queries"))
+
+
+def complete_triples(triples: DataFrame) -> DataFrame:
+    """``triples(query_id, pos, s, o, …)`` with missing subjects taken from the statement before;
+    rows that still lack a part are dropped."""
+    parts = [c for c in ("s", "p", "o") if c in triples.columns]
+    return forward_fill(triples, "query_id", "pos", "s").dropna(subset=parts)
