@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairforge.fixed_values import QWEN_SYSTEM, QWEN_TOOLS_HEAD, QWEN_TOOLS_TAIL
+from pairforge.functions.binding import bind
 from pairforge.functions.text import strip_all
 
 
@@ -122,9 +123,11 @@ def render_phi3(messages: Column, cue: bool = False) -> Column:
     return F.concat(F.lit(m.bos), body, _cue(m.assistant, cue))
 
 
-def render_qwen2(messages: Column, cue: bool = False, tools: Column | None = None) -> Column:
-    """Qwen2 text. Messages may carry ``tool_calls array<struct<name,arguments>>`` with arguments as
-    JSON text; ``tools`` is an array of JSON texts, empty or null meaning none."""
+def render_qwen2(
+    messages: Column, cue: bool = False, tools: Column | None = None, calls: bool = False
+) -> Column:
+    """Qwen2 text. ``tools`` is an array of JSON texts, empty or null meaning none; ``calls`` says that
+    messages have ``tool_calls array<struct<name,arguments>>`` with arguments as JSON text."""
     m = MARKS["qwen2"]
     system = F.when(has_system(messages), _first(messages)["content"]).otherwise(QWEN_SYSTEM)
     plain_head = F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n"))
@@ -135,19 +138,10 @@ def render_qwen2(messages: Column, cue: bool = False, tools: Column | None = Non
             F.lit("<|im_start|>system\n"), system, F.lit(QWEN_TOOLS_HEAD), listing, F.lit(QWEN_TOOLS_TAIL)
         )
         head = F.when(F.size(tools) > 0, with_tools).otherwise(plain_head)
-    return F.concat(head, _joined(messages, _qwen2_turn(messages)), _cue(m.assistant + "\n", cue))
+    return F.concat(head, _joined(messages, _qwen2_turn(messages, calls)), _cue(m.assistant + "\n", cue))
 
 
-def render_qwen2_calls(messages: Column, cue: bool = False, tools: Column | None = None) -> Column:
-    """As :func:`render_qwen2`, for messages that have the ``tool_calls`` field."""
-    m = MARKS["qwen2"]
-    base = render_qwen2(messages, False, tools)
-    # The head does not depend on the turns, so it is what is left of a rendering without turns.
-    head = F.substr(base, F.lit(1), F.length(base) - F.length(_joined(messages, _qwen2_turn(messages))))
-    return F.concat(head, _joined(messages, _qwen2_turn(messages, calls=True)), _cue(m.assistant + "\n", cue))
-
-
-def _qwen2_turn(messages: Column, calls: bool = False):
+def _qwen2_turn(messages: Column, calls: bool):
     def turn(x: Column, i: Column) -> Column:
         role, content = x["role"], x["content"]
         said = F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n"))
@@ -203,11 +197,16 @@ def accepted(messages: Column, model_type: Column) -> Column:
 
 def render(messages: Column, model_type: Column, cue: bool = False) -> Column:
     """Render by model type; unknown types use the default format."""
-    out = RENDERERS[DEFAULT_FORMAT](messages, cue)
-    for name, renderer in RENDERERS.items():
-        if name != DEFAULT_FORMAT:
-            out = F.when(model_type == name, renderer(messages, cue)).otherwise(out)
-    return out
+
+
+    def by_type(m: Column) -> Column:
+        out = RENDERERS[DEFAULT_FORMAT](m, cue)
+        for name, renderer in RENDERERS.items():
+            if name != DEFAULT_FORMAT:
+                out = F.when(model_type == name, renderer(m, cue)).otherwise(out)
+        return out
+
+    return bind(messages, by_type)
 
 
 def merge_system_into_user(messages: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairforge.fixed_values import ALL_PREFIXES, END_TAG, ID_PREFIXES, SCHEMA_PREFIXES, START_TAG
+from pairforge.functions.binding import bind
 from pairforge.functions.text import strip_all
 
 ID = r":([QPL]\d+)(?!\d)"
@@ -52,8 +53,10 @@ def _prefix_rows(prefixes: dict[str, str]) -> Column:
 
 def prepend_schema_prefixes(query: Column) -> Column:
     """Put a PREFIX line before the query for each schema word it uses, the last one on top."""
-    used = F.array_distinct(F.transform(schema_terms(query), term_prefix))
-    hits = F.filter(_prefix_rows(SCHEMA_PREFIXES), lambda p: F.array_contains(used, p["name"]))
+    hits = bind(
+        F.array_distinct(F.transform(schema_terms(query), term_prefix)),
+        lambda used: F.filter(_prefix_rows(SCHEMA_PREFIXES), lambda p: F.array_contains(used, p["name"])),
+    )
     lines = F.transform(hits, lambda p: F.concat(F.lit("PREFIX "), p["name"], F.lit(": <"), p["url"], F.lit("> \n")))
     return F.concat(F.array_join(F.reverse(lines), ""), query)
 
@@ -62,17 +65,20 @@ def add_missing_prefixes(query: Column) -> Column:
     """Declare every used and undeclared prefix, in dictionary order, with a blank line after the block."""
     # One look-behind scan finds all used prefixes, instead of one scan per prefix.
     pattern = rf"(?<=\W)({_any_of(ALL_PREFIXES)}):"
-    used = F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(1)))
 
     def line(p: Column) -> Column:
         return F.concat(F.lit("PREFIX "), p["name"], F.lit(": <"), p["url"], F.lit(">"))
 
-    missing = F.filter(
-        _prefix_rows(ALL_PREFIXES),
-        lambda p: F.array_contains(used, p["name"]) & ~F.contains(query, line(p)),
+    missing = bind(
+        found,
+        lambda used: F.filter(
+            _prefix_rows(ALL_PREFIXES),
+            lambda p: F.array_contains(used, p["name"]) & ~F.contains(query, line(p)),
+        ),
     )
     block = F.array_join(F.transform(missing, lambda p: F.concat(line(p), F.lit("\n"))), "")
-    return F.when(block == "", query).otherwise(F.concat(block, F.lit("\n"), query))
+    return bind(block, lambda b: F.when(b == "", query).otherwise(F.concat(b, F.lit("\n"), query)))
 
 
 def annotations(text: Column) -> Column:

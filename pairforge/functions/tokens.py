@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairforge.functions.binding import bind
+
 IGNORE = -100
 
 
@@ -16,15 +18,18 @@ def template_starts(tokens: Column, template: Column) -> Column:
     return F.filter(spots, lambda i: F.slice(tokens, i, n) == template)
 
 
-def _masked_through(tokens: Column, end: Column) -> Column:
-    return F.transform(tokens, lambda t, i: F.when(i < end, F.lit(IGNORE)).otherwise(t))
+def _response_end(tokens: Column, response: Column) -> Column:
+    """Number of tokens through the last response template; all of them without one."""
+    start = F.array_max(template_starts(tokens, response))
+    return F.coalesce(start + F.size(response) - 1, F.size(tokens))
 
 
 def completion_labels(tokens: Column, response: Column) -> Column:
     """Labels that keep only what follows the last response template; without one nothing is kept."""
-    start = F.array_max(template_starts(tokens, response))
-    end = F.coalesce(start + F.size(response) - 1, F.size(tokens))
-    return _masked_through(tokens, end)
+    return bind(
+        _response_end(tokens, response),
+        lambda end: F.transform(tokens, lambda t, i: F.when(i < end, F.lit(IGNORE)).otherwise(t)),
+    )
 
 
 def keep_last_token(labels: Column, tokens: Column) -> Column:
@@ -41,6 +46,12 @@ def multi_turn_labels(tokens: Column, response: Column, human: Column) -> Column
     """
     ends = F.transform(template_starts(tokens, response), lambda i: i - 1 + F.size(response))
     found = F.transform(template_starts(tokens, human), lambda i: i - 1)
+    return bind(
+        F.struct(ends.alias("ends"), found.alias("found")), lambda at: _span_labels(tokens, at["ends"], at["found"])
+    )
+
+
+def _span_labels(tokens: Column, ends: Column, found: Column) -> Column:
     lead = (F.size(found) > 0) & (F.size(ends) > 0) & (F.get(found, F.lit(0)) > F.get(ends, F.lit(0)))
     starts = F.when(lead, F.concat(F.array(F.lit(0)), found)).otherwise(found)
     spans = F.filter(
@@ -53,18 +64,23 @@ def multi_turn_labels(tokens: Column, response: Column, human: Column) -> Column
     open_from = F.when(F.size(ends) < F.size(starts), F.element_at(starts, -1))
     nothing = (F.size(found) == 0) | (F.size(ends) == 0)
 
-    def label(t: Column, i: Column) -> Column:
-        inside = F.exists(spans, lambda s: (i >= s["a"]) & (i < s["b"]))
-        return F.when(nothing | inside | F.coalesce(i >= open_from, F.lit(False)), F.lit(IGNORE)).otherwise(t)
+    def labels(marks: Column) -> Column:
+        def label(t: Column, i: Column) -> Column:
+            inside = F.exists(marks["spans"], lambda s: (i >= s["a"]) & (i < s["b"]))
+            outside = marks["nothing"] | F.coalesce(i >= marks["open_from"], F.lit(False)) | inside
+            return F.when(outside, F.lit(IGNORE)).otherwise(t)
+
+        return F.transform(tokens, label)
 
-    return F.transform(tokens, label)
+    return bind(F.struct(spans.alias("spans"), open_from.alias("open_from"), nothing.alias("nothing")), labels)
 
 
 def prompt_attention(tokens: Column, response: Column) -> Column:
     """Ones through the last response template, zeros after it; all ones without one."""
-    start = F.array_max(template_starts(tokens, response))
-    end = F.coalesce(start + F.size(response) - 1, F.size(tokens))
-    return F.transform(tokens, lambda t, i: F.when(i < end, F.lit(1)).otherwise(F.lit(0)))
+    return bind(
+        _response_end(tokens, response),
+        lambda end: F.transform(tokens, lambda t, i: F.when(i < end, F.lit(1)).otherwise(F.lit(0))),
+    )
 
 
 def kept_ids(ids: Column, within: Column) -> Column:
