@@ -15,6 +15,11 @@ def json_records(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_array_texts(docs: DataFrame, schema: str, text: str = "value") -> DataFrame:
+    """Records of texts that each hold one JSON array, such as one array per line of a file."""
+    return docs.select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -37,19 +42,26 @@ def columnar_json(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return columnar_rows(docs, columns)
 
 
-def table_by_suffix(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Parquet or JSON by the ending of the path; anything else is an error."""
+def table_by_suffix(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, lines: bool = False
+) -> DataFrame:
+    """Parquet or JSON by the ending of the path; anything else is an error.
+
+    A JSON file holds one array of records, or with ``lines`` one record per line.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if path.endswith((".parquet", ".parquet.gzip")):
         return reader.parquet(path)
     if path.endswith(".json"):
-        return reader.option("multiLine", True).json(path)
+        return reader.option("multiLine", not lines).json(path)
     raise ValueError(f"unknown table format: {path}; use .parquet, .parquet.gzip or .json")
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes; text columns unless a schema is given."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.options(
+        header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return reader.csv(path) if schema is None else reader.schema(schema).csv(path)
 
 

@@ -19,8 +19,10 @@ def write_parquet(df: DataFrame, path: str, codec: str | None = None) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled, so that the text survives :func:`csv_table`."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; quotes are doubled and blanks kept, so that text survives ``csv_table``."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_neighbour_index(lists: DataFrame, path: str) -> None:
