@@ -12,6 +12,7 @@ from pairforge.operators import assemble as asm
 from pairforge.operators import clean as cl
 from pairforge.operators import outcomes as oc
 from pairforge.operators.ordered import dense_index
+from pairforge.session import spread
 
 # The fold by another way: strip accents, widen the sharp s, and drop what is left outside ASCII.
 _FOLD = "regexp_replace(strip_accents(replace({0}, 'ß', 'ss')), '[^\\x00-\\x7F]', '', 'g')"
@@ -28,7 +29,7 @@ def _trimmed(text: str) -> str:
 
 @query("C1_normalise_text", f"SELECT doc_id, {_normal('text')} AS text FROM documents")
 def normalise_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalise_text(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.normalise_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -54,18 +55,18 @@ _URL = "regexp_replace({0}, 'https:[a-zA-Z%:./#_0-9]+', ' ', 'g')"
 
 @query("C4_remove_markup", f"SELECT page_id, {_MARKUP.format('html')} AS text FROM pages")
 def remove_markup(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.remove_markup(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", tx.remove_markup(F.col("html")).alias("text"))
 
 
 @query("C5_remove_style_attributes", f"SELECT page_id, {_STYLE.format('html')} AS text FROM pages")
 def remove_style(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.remove_style_attributes(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", tx.remove_style_attributes(F.col("html")).alias("text"))
 
 
 @query("C6_remove_urls", f"SELECT page_id, {_URL.format('url || chr(10) || html')} AS text FROM pages")
 def remove_urls(spark, sf):
     both = F.concat("url", F.lit("\n"), "html")
-    return table(spark, sf, "pages").select("page_id", tx.remove_urls(both).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", tx.remove_urls(both).alias("text"))
 
 
 _LOOSE = "' ' || replace(text, '. ', chr(10) || chr(10) || chr(10)) || chr(9) || chr(10)"
@@ -73,7 +74,7 @@ _LOOSE = "' ' || replace(text, '. ', chr(10) || chr(10) || chr(10)) || chr(9) ||
 
 @query("C7_post_trim", f"SELECT doc_id, {_trimmed(_LOOSE)} AS text FROM documents")
 def post_trim(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.post_trim(F.expr(_LOOSE)).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.post_trim(F.expr(_LOOSE)).alias("text"))
 
 
 @query(
@@ -162,7 +163,7 @@ def drop_listed(spark, sf):
     f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower({_normal('text')})",
 )
 def drop_copies(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return cl.drop_exact_copies(docs, F.lower(tx.normalise_text(F.col("text"))), "doc_id").select("doc_id")
 
 

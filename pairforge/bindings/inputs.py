@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -28,7 +30,7 @@ WIKI_LINE = f"({_HEAD}) || line || ({_TEMPLATE})"
 
 def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
     text = f"array_join(transform(split(text, '\\n', -1), (line, i) -> {WIKI_LINE}), '\\n')"
-    return table(spark, sf, "documents").selectExpr("doc_id AS page_id", "source AS title", f"{text} AS text")
+    return spread(table(spark, sf, "documents")).selectExpr("doc_id AS page_id", "source AS title", f"{text} AS text")
 
 
 WIKI_CTE = f"""
@@ -86,7 +88,7 @@ CUSTOMER_LABEL = "replace(c_name, '#', ' ')"
 
 
 def query_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").selectExpr("c_custkey AS id", f"{QUERY_TEXT} AS query")
+    return spread(table(spark, sf, "customer")).selectExpr("c_custkey AS id", f"{QUERY_TEXT} AS query")
 
 
 def label_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +139,7 @@ VARIANTS = ["original", "limit_10", "no_limit"]
 
 
 def executions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(
+    return spread(table(spark, sf, "events")).selectExpr(
         "event_id AS id", f"{VARIANT} AS variant", f"{EXECUTION} AS execution"
     )
 

@@ -12,6 +12,7 @@ from pairforge.functions import similarity as sim
 from pairforge.operators import match as mt
 from pairforge.operators import profile as pf
 from pairforge.operators import tables as tb
+from pairforge.session import spread
 
 # Catalog columns as SQL text of both engines: real columns, and some made from them for the rarer types.
 CATALOG = {
@@ -48,7 +49,7 @@ def catalog(spark, sf) -> DataFrame:
     parts = []
     for name, columns in CATALOG.items():
         cells = [F.struct(F.lit(c).alias("column"), F.expr(e).alias("value")) for c, e in columns.items()]
-        parts.append(table(spark, sf, name).select(F.lit(name).alias("table"), F.inline(F.array(*cells))))
+        parts.append(spread(table(spark, sf, name)).select(F.lit(name).alias("table"), F.inline(F.array(*cells))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -69,7 +70,7 @@ _JSON = """'[{"item": {"type": "uri", "value": "Q' || user_id || '"}, "tags": ["
 
 
 def _json_docs(spark, sf):
-    return table(spark, sf, "events").selectExpr("event_id AS id", f"{_JSON} AS json")
+    return spread(table(spark, sf, "events")).selectExpr("event_id AS id", f"{_JSON} AS json")
 
 
 _PROP = "regexp_extract(props, '[0-9]+')"
@@ -131,7 +132,14 @@ def _quoted(text):
 _BARE = "replace(value, ',', '')"
 _DIGITS = _replaced(_BARE, UNITS)
 _UNIT = "CASE " + " ".join(f"WHEN contains({_BARE}, '{u}') THEN {f}" for u, f in UNITS.items()) + " ELSE 1 END"
-_YEAR = "coalesce(" + ", ".join(f"nullif(regexp_extract(value, '{s}', 1), '')" for s in pf.DATE_SHAPES) + ")::INT"
+# Dates by another way: each shape apart, with the year read and compared as a number.
+_DAY, _MONTHS = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.]?"
+_SHAPES = [
+    rf"^\s*(\d{{4}})[-/.](?:0?[1-9]|1[0-2])[-/.]{_DAY}", rf"^\s*{_DAY}[-/.]{_DAY}[-/.](\d{{4}})",
+    rf"(?i)^\s*{_MONTHS} {_DAY},? (\d{{4}})", rf"(?i)^\s*{_DAY} {_MONTHS},? (\d{{4}})",
+]
+_TIME = "([ T]\\d{1,2}:\\d{2}.*)?$"
+_YEAR = "coalesce(" + ", ".join(f"nullif(regexp_extract(value, '{s}{_TIME}', 1), '')" for s in _SHAPES) + ")::INT"
 
 
 def _among(chars):
@@ -142,7 +150,7 @@ _PROFILE_CTE = f"""{_CATALOG_CTE},
 read_cells AS (SELECT "table", "column", regexp_matches(value, '{pf.FLOAT_TEXT}') AS is_float,
     length(regexp_replace({_DIGITS}, '[^0-9]', '', 'g')) AS n_digits, length({_DIGITS}) AS n_bare,
     regexp_matches(value, '{URL_PATTERN}') AS is_url,
-    coalesce(regexp_matches(value, '{pf.CJK_DATE_MARKS}') OR {_YEAR} BETWEEN 2000 AND 2030, false) AS is_date,
+    coalesce(regexp_matches(value, '[月日年]') OR {_YEAR} BETWEEN 2000 AND 2030, false) AS is_date,
     CASE WHEN regexp_matches({_BARE}, '{pf.FLOAT_TEXT}') THEN try_cast({_BARE} AS DOUBLE)
       ELSE try_cast(nullif(regexp_extract({_BARE}, '-?(?:[0-9]*[.])?[0-9]+', 0), '') AS DOUBLE) * ({_UNIT}) END AS num,
     length(value)::DOUBLE AS len, {_among("' ' || chr(9) || chr(10)")} AS space, {_among(_quoted(PUNCTUATION))} AS punct,

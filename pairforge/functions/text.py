@@ -33,23 +33,36 @@ def _accent_folds() -> dict[str, str]:
 _NARROW = {**_accent_folds(), **NARROW_FOLDS}
 
 
+# What ``str.strip`` cuts.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_all(text: Column) -> Column:
-    """Strip every kind of white space at both ends (``trim`` only cuts blanks)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Strip every kind of white space at both ends; ``btrim`` looks at the ends only, a pattern at all of it."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def ascii_fold(text: Column) -> Column:
-    """Write accented letters and typographic signs in ASCII; drop what has no ASCII form."""
-    folded = F.translate(text, "".join(_NARROW), "".join(_NARROW.values()))
-    for wide, plain in WIDE_FOLDS.items():
-        folded = F.replace(folded, F.lit(wide), F.lit(plain))
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    """Write accented letters and typographic signs in ASCII; drop what has no ASCII form.
+
+    Text that is ASCII already is passed on after one scan.
+    """
+    narrow = F.translate(text, "".join(_NARROW), "".join(_NARROW.values()))
+    wide = narrow
+    for sign, plain in WIDE_FOLDS.items():
+        wide = F.replace(wide, F.lit(sign), F.lit(plain))
+    folded = F.when(text.rlike(f"[{''.join(WIDE_FOLDS)}]"), wide).otherwise(narrow)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]+", "")).otherwise(text)
 
 
 def normalise_space(text: Column) -> Column:
     """White space around and between line breaks becomes one break, other runs one blank."""
     breaks = F.regexp_replace(text, r"\s*[\n\r\x0B\f]\s*", "\n")
-    return strip_all(F.regexp_replace(breaks, r"[^\S\n]+", " "))
+    # Single blanks stay as they are, so only longer runs and other signs are rewritten.
+    return strip_all(F.regexp_replace(breaks, r"[^\S\n]{2,}|[^\S\n ]", " "))
 
 
 def normalise_text(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import similarity as sim
 from pairforge.functions.text import strip_all
 from pairforge.operators.profile import FEATURES
+from pairforge.session import pinned
 
 PAIR = ["left_table", "right_table", "left_column", "right_column"]
 TABLES = PAIR[:2]
@@ -27,7 +28,12 @@ MASKED_NAMES = [0.0, 12.0, 0.0, 0.2, 0.0]
 
 
 def column_pairs(profiles: DataFrame, table_pairs: DataFrame) -> DataFrame:
-    """Every column of the left with every column of the right table of each listed table pair."""
+    """Every column of the left with every column of the right table of each listed table pair.
+
+    Profiles are one small row per column but cost a scan of all values, and both sides need them, so
+    they are computed once and pinned.
+    """
+    profiles = pinned(profiles)
 
     def side(name: str) -> DataFrame:
         rest = [c for c in profiles.columns if c not in ("table", "column")]

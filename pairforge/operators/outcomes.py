@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.fixed_values import ERROR_INDEX, OUTCOMES
+from pairforge.functions.binding import bind
 
 
 def outcome_class(execution: Column) -> Column:
@@ -67,60 +68,70 @@ def last_cause(execution: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(execution, F.lit("(?d)(Caused by: .+)"), F.lit(1)), F.lit(-1))
 
 
+def _has(text: Column, part: str) -> Column:
+    return F.contains(text, F.lit(part))
+
+
 def client_error_tags(execution: Column) -> Column:
-    cause = last_cause(execution)
-    has = lambda text: F.contains(cause, F.lit(text))
-    limit = has("limit") | has("LIMIT")
-    return _tags(
-        [
-            (has("undefined prefix"), "undefined prefix"),
-            (cause.rlike("ast.ParseException") & limit, "parse exception due to limit"),
-            (cause.rlike("ast.ParseException") & ~limit, "parse exception"),
-            (has("Lexical error"), "lexical error"),
-            (has("Non-aggregate variable in select expression"), "non-aggregate variable in select expression"),
-            (has("Multiple prefix declarations for prefix"), "Prefix duplicates"),
-        ]
-    )
+    def tags(cause: Column) -> Column:
+        limit = _has(cause, "limit") | _has(cause, "LIMIT")
+        parse = cause.rlike("ast.ParseException")
+        return _tags(
+            [
+                (_has(cause, "undefined prefix"), "undefined prefix"),
+                (parse & limit, "parse exception due to limit"),
+                (parse & ~limit, "parse exception"),
+                (_has(cause, "Lexical error"), "lexical error"),
+                (
+                    _has(cause, "Non-aggregate variable in select expression"),
+                    "non-aggregate variable in select expression",
+                ),
+                (_has(cause, "Multiple prefix declarations for prefix"), "Prefix duplicates"),
+            ]
+        )
+
+    return bind(last_cause(execution), tags)
 
 
 def server_error_tags(execution: Column) -> Column:
-    cause = F.coalesce(last_cause(execution), F.lit(""))
-    has = lambda text: F.contains(cause, F.lit(text))
-    return _tags(
-        [
-            (has("StackOverflowError"), "stack overflow"),
-            (
-                has("Input could not be resolved as point"),
-                "GeoSpatialSearchException: input could not be resolved as point",
-            ),
-            (has("The estimated execution time"), "estimated time to execute too long"),
-            (has("MemoryManagerOutOfMemory"), "Out of memory"),
-            (cause.rlike("java.lang.NullPointerException"), "NullPointerException"),
-            (
-                F.contains(
-                    execution, F.lit("exception: 500 Server Error: the response has an Invalid chunk length")
+    chunk = "exception: 500 Server Error: the response has an Invalid chunk length"
+
+    def tags(cause: Column) -> Column:
+        return _tags(
+            [
+                (_has(cause, "StackOverflowError"), "stack overflow"),
+                (
+                    _has(cause, "Input could not be resolved as point"),
+                    "GeoSpatialSearchException: input could not be resolved as point",
                 ),
-                "Invalid JSON",
-            ),
-        ]
-    )
+                (_has(cause, "The estimated execution time"), "estimated time to execute too long"),
+                (_has(cause, "MemoryManagerOutOfMemory"), "Out of memory"),
+                (cause.rlike("java.lang.NullPointerException"), "NullPointerException"),
+                (_has(execution, chunk), "Invalid JSON"),
+            ]
+        )
+
+    return bind(F.coalesce(last_cause(execution), F.lit("")), tags)
 
 
 def request_error_tags(execution: Column) -> Column:
     text = "exception: module 'requests.exceptions' has no attribute 'JSONDecodeError'"
-    return _tags([(F.contains(F.left(execution, F.lit(100)), F.lit(text)), "no attribute 'JSONDecodeError'")])
+    return _tags([(_has(F.left(execution, F.lit(100)), text), "no attribute 'JSONDecodeError'")])
 
 
 def error_tags(execution: Column) -> Column:
     """Tags by error type; null without a type, ``other`` for a status code without rules."""
-    kind = error_type(execution)
-    return (
-        F.when(kind == "400", client_error_tags(execution))
-        .when(kind == "500", server_error_tags(execution))
-        .when(kind == "requests", request_error_tags(execution))
-        .when(kind.isin("server timeout", "empty query"), F.array(kind))
-        .when(kind.isNotNull(), F.array(F.lit("other")))
-    )
+
+    def tags(kind: Column) -> Column:
+        return (
+            F.when(kind == "400", client_error_tags(execution))
+            .when(kind == "500", server_error_tags(execution))
+            .when(kind == "requests", request_error_tags(execution))
+            .when(kind.isin("server timeout", "empty query"), F.array(kind))
+            .when(kind.isNotNull(), F.array(F.lit("other")))
+        )
+
+    return bind(error_type(execution), tags)
 
 
 def error_number(tags: Column) -> Column:
@@ -131,11 +142,11 @@ def error_number(tags: Column) -> Column:
 
 def with_errors(executions: DataFrame) -> DataFrame:
     """Failed executions with their error type, tags and tag number."""
-    failed = outcome_subset(executions, "fail")
-    tags = error_tags(F.col("execution"))
-    return failed.withColumn("error_type", error_type(F.col("execution"))).withColumn("tags", tags).withColumn(
-        "error_number", error_number(F.col("tags"))
+    execution = F.col("execution")
+    failed = outcome_subset(executions, "fail").withColumns(
+        {"error_type": error_type(execution), "tags": error_tags(execution)}
     )
+    return failed.withColumn("error_number", error_number(F.col("tags")))
 
 
 def error_type_examples(errors: DataFrame, key: str = "id", width: int = 256) -> DataFrame:

@@ -8,20 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS, URL_PATTERN
+from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS
 from pairforge.operators.tables import present
 
 FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
-# Dates are recognised by shape; group 1 is the year.
-_TIME = r"([ T]\d{1,2}:\d{2}.*)?$"
-_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-DATE_SHAPES = [
-    r"^\s*(\d{4})[-/.](?:0?[1-9]|1[0-2])[-/.](?:0?[1-9]|[12]\d|3[01])" + _TIME,
-    r"^\s*(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|[12]\d|3[01])[-/.](\d{4})" + _TIME,
-    r"(?i)^\s*" + _MONTH + r" (?:0?[1-9]|[12]\d|3[01]),? (\d{4})" + _TIME,
-    r"(?i)^\s*(?:0?[1-9]|[12]\d|3[01]) " + _MONTH + r",? (\d{4})" + _TIME,
-]
-CJK_DATE_MARKS = "[月日年]"
+# A CJK date mark, or a date recognised by its shape with a year from 2000 to 2030.
+_YEAR = "(?:20[0-2][0-9]|2030)"
+_DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
+_MONTH = "(?:0?[1-9]|1[0-2])"
+_MONTH_NAME = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[.]?"
+DATE = (
+    rf"(?i)[月日年]|^\s*(?:{_YEAR}[-/.]{_MONTH}[-/.]{_DAY}|{_DAY}[-/.]{_DAY}[-/.]{_YEAR}"
+    rf"|{_MONTH_NAME} {_DAY},? {_YEAR}|{_DAY} {_MONTH_NAME},? {_YEAR})(?:[ T][0-9]{{1,2}}:[0-9]{{2}}.*)?$"
+)
+# Where a url has been found, more characters around it change nothing: one before the point will do.
+URL = r"[-a-zA-Z0-9@:%._\+~#=]\.[a-zA-Z0-9()]{1,6}\b"
 TYPES = ["url", "numeric", "date", "string"]
 STATS = ["mean", "min", "max", "var", "cv", "unique"]
 CHARS = ["space", "punct", "special", "digit"]
@@ -40,34 +41,48 @@ def is_float(value: Column) -> Column:
     return value.rlike(FLOAT_TEXT)
 
 
-def is_mostly_digits(value: Column) -> Column:
-    """At least half digits once separators and units are gone."""
-    bare = F.replace(value, F.lit(","), F.lit(""))
+def _without_units(value: Column) -> Column:
+    """Separators and units taken out, one-character ones in a single pass."""
+    bare = F.translate(value, "," + "".join(u for u in UNITS if len(u) == 1), "")
     for unit in UNITS:
-        bare = F.replace(bare, F.lit(unit), F.lit(""))
-    digits = F.regexp_count(bare, F.lit(r"\d"))
-    return (digits > 0) & (digits >= 0.5 * F.length(bare))
+        if len(unit) > 1:
+            bare = F.replace(bare, F.lit(unit), F.lit(""))
+    return bare
+
+
+def _among(value: Column, chars: str) -> Column:
+    return F.length(value) - F.length(F.translate(value, chars, ""))
+
+
+def is_mostly_digits(value: Column) -> Column:
+    """At least half digits once separators and units are gone; neither of them holds digits."""
+    digits = _among(value, "0123456789")
+    size = F.when(value.rlike("[,+万亿萬億]"), F.length(_without_units(value))).otherwise(F.length(value))
+    return (digits > 0) & (digits >= 0.5 * size)
 
 
 def is_url(value: Column) -> Column:
-    return value.rlike(URL_PATTERN)
+    return F.contains(value, F.lit(".")) & value.rlike(URL)
 
 
 def is_date(value: Column) -> Column:
-    """A CJK date mark, or a date shape with a year from 2000 to 2030."""
-    years = [F.regexp_extract(value, shape, 1) for shape in DATE_SHAPES]
-    year = F.coalesce(*[F.nullif(y, F.lit("")) for y in years]).cast("int")
-    return F.coalesce(value.rlike(CJK_DATE_MARKS) | year.between(2000, 2030), F.lit(False))
+    # Every year in range holds a 20, and few other values do: most never meet the pattern.
+    likely = F.contains(value, F.lit("20")) | F.contains(value, F.lit("月")) | F.contains(value, F.lit("日"))
+    return (likely | F.contains(value, F.lit("年"))) & value.rlike(DATE)
 
 
 def number(value: Column) -> Column:
     """The number in a text: a float as such, else its first number times its unit."""
-    bare = F.replace(value, F.lit(","), F.lit(""))
+    bare = F.translate(value, ",", "")
     found = F.regexp_extract(bare, r"-?(?:[0-9]*[.])?[0-9]+", 0).try_cast("double")
     scale = F.lit(1)
     for unit, factor in reversed(UNITS.items()):
         scale = F.when(F.contains(bare, F.lit(unit)), factor).otherwise(scale)
-    parsed = F.when(is_float(bare), F.trim(bare).try_cast("double")).otherwise(found * scale)
+    parsed = (
+        F.when(is_float(value), F.trim(value).try_cast("double"))
+        .when(F.contains(value, F.lit(",")) & is_float(bare), F.trim(bare).try_cast("double"))
+        .otherwise(found * scale)
+    )
     return F.nullif(parsed, F.lit(float("nan")))
 
 
@@ -78,10 +93,7 @@ def _ratio(value: Column, hits: Column) -> Column:
 def character_ratios(value: Column) -> dict[str, Column]:
     """Shares of white space, punctuation, special characters and digits in a text."""
 
-    def among(chars: str) -> Column:
-        return F.length(value) - F.length(F.translate(value, chars, ""))
-
-    hits = [among(" \t\n"), among(PUNCTUATION), among(SPECIAL_CHARACTERS), among("0123456789")]
+    hits = [_among(value, c) for c in (" \t\n", PUNCTUATION, SPECIAL_CHARACTERS, "0123456789")]
     return {name: _ratio(value, h) for name, h in zip(CHARS, hits)}
 
 
@@ -92,19 +104,38 @@ def _stats(prefix: str, x: str) -> list[Column]:
         F.max(x).alias(f"{prefix}_max"),
         F.var_pop(x).alias(f"{prefix}_var"),
         F.try_divide(F.var_pop(x), F.avg(x)).alias(f"{prefix}_cv"),
-        F.try_divide(F.count_distinct(x), F.count(x)).alias(f"{prefix}_unique"),
+        F.count(x).alias(f"{prefix}_count"),
     ]
 
 
+def _distinct_counts(cells: DataFrame, groups: list[str]) -> DataFrame:
+    """Distinct numbers and lengths per column.
+
+    Repeated texts fold on the map side before any of them is read as a number; then numbers are
+    spread over tasks by value and only counted.
+    """
+    texts = cells.select(*groups, "value").distinct()
+    sides = F.array(
+        F.struct(F.lit("num").alias("kind"), number(F.col("value")).alias("x")),
+        F.struct(F.lit("len").alias("kind"), F.length("value").cast("double").alias("x")),
+    )
+    seen = texts.select(*groups, F.inline(sides)).where("x is not null").distinct()
+    return seen.groupBy(*groups).agg(
+        F.count_if(F.col("kind") == "num").alias("num_distinct"), F.count_if(F.col("kind") == "len").alias("len_distinct")
+    )
+
+
 def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``values(table, column, value)`` to one row per column with type shares and :data:`FEATURES`.
 
     Numeric features are -1 for other types; character features are -1 unless the column is text or
-    only mainly numeric.
+    only mainly numeric. Distinct counts are an aggregate of their own: inside the first one they would
+    multiply its input.
     """
     groups = [*(by or ["table"]), "column"]
     value = F.col("value")
-    cells = values.where(present(value) & ~F.contains(F.col("column"), F.lit("Unnamed:"))).select(
+    present_cells = values.where(present(value) & ~F.contains(F.col("column"), F.lit("Unnamed:")))
+    cells = present_cells.select(
         *groups,
         is_float(value).alias("_float"),
         is_mostly_digits(value).alias("_digits"),
@@ -118,7 +149,7 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
     def share(flag: str, least: float) -> Column:
         return F.count_if(flag) >= least * F.count(F.lit(1))
 
-    rows = cells.groupBy(*groups).agg(
+    folded = cells.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_values"),
         share("_float", 0.95).alias("strict_numeric"),
         share("_digits", 0.9).alias("mainly_numeric"),
@@ -129,6 +160,9 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
         *[F.avg(f"_{c}").alias(f"{c}_mean") for c in CHARS],
         *[F.try_divide(F.var_pop(f"_{c}"), F.avg(f"_{c}")).alias(f"{c}_cv") for c in CHARS],
     )
+    rows = folded.join(_distinct_counts(present_cells, groups), groups).withColumns(
+        {f"{p}_unique": F.try_divide(F.col(f"{p}_distinct"), F.col(f"{p}_count")) for p in ("num", "len")}
+    ).drop("num_distinct", "len_distinct", "num_count", "len_count")
     kind = (
         F.when(F.col("url_share"), "url")
         .when(F.col("date_share"), "date")
