@@ -354,11 +354,11 @@ def profile_differences(spark, sf):
 @query(
     "X17d_instance_similarity",
     f"""WITH {_VECTOR_CTE} SELECT a.t AS left_table, b.t AS right_table, a.c AS left_column, b.c AS right_column,
-  round(list_cosine_similarity(a.v, b.v), 6) AS instance_cosine FROM column_vectors a JOIN column_vectors b ON a.t = 'set0' AND b.t = 'set1'""",
+  round(list_cosine_similarity(a.v, b.v), 6) AS instance_cosine FROM column_vectors a JOIN column_vectors b ON a.t <> b.t""",
 )
 def instance_similarity(spark, sf):
     vectors = pf.column_embeddings(_vector_cells(spark, sf), sample=1 << 30)
-    tables = spark.sql("SELECT 'set0' AS left_table, 'set1' AS right_table")
+    tables = spark.sql("SELECT * FROM VALUES ('set0', 'set1'), ('set1', 'set0') AS t(left_table, right_table)")
     pairs = mt.column_pairs(vectors.select("table", "column", F.lit(1).alias("x")), tables).select(*mt.PAIR)
     return mt.instance_similarity(pairs, vectors).withColumn("instance_cosine", F.round("instance_cosine", 6))
 

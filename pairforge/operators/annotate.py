@@ -60,6 +60,14 @@ def _pieces(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return df.select(key, F.posexplode(zipped).alias("pos", "part")).select(key, "pos", "part.*")
 
 
+def _lookup_key(token: Column, key: str) -> Column:
+    """The token to look up, or for a text's last piece a value of its own that nothing matches.
+
+    Null keys would all meet in one partition of the join.
+    """
+    return F.coalesce(token, F.concat(F.lit("\n"), F.col(key).cast("string")))
+
+
 def _rejoined(pieces: DataFrame, key: str, replacement: Column, name: str) -> DataFrame:
     """Texts from their pieces. A group is the pieces of one text, never more than that text."""
     text = F.concat(F.col("piece"), F.coalesce(replacement, F.lit("")))
@@ -69,12 +77,12 @@ def _rejoined(pieces: DataFrame, key: str, replacement: Column, name: str) -> Da
 
 def annotate_ids(queries: DataFrame, labels: DataFrame, key: str = "id", text: str = "query") -> DataFrame:
     """``:Q5`` becomes ``:[entity:label]``, likewise for properties and lexemes."""
-    token_id = F.substr("token", F.lit(2))
-    pieces = _pieces(queries, key, text, sq.ID).withColumn("_item", token_id)
+    pieces = _pieces(queries, key, text, sq.ID).withColumn("_item", _lookup_key(F.substr("token", F.lit(2)), key))
     known = best_labels(labels).select(F.col("id").alias("_item"), F.col("label").alias("_label"))
     mark = F.concat(
         F.lit(":["), sq.id_kind(F.col("_item")), F.lit(":"), F.coalesce("_label", "_item"), F.lit("]")
     )
+    mark = F.when(F.col("token").isNotNull(), mark)
     return _rejoined(pieces.join(known, "_item", "left"), key, mark, "query_annotated")
 
 
@@ -89,7 +97,7 @@ def readable_ids(queries: DataFrame, labels: DataFrame, key: str = "id") -> Data
     ``resolved`` is false when an id of the query has no label.
     """
     pieces = _pieces(queries, key, "query", sq.id_terms_pattern()).withColumn(
-        "_item", F.split_part("token", F.lit(":"), F.lit(2))
+        "_item", _lookup_key(F.split_part("token", F.lit(":"), F.lit(2)), key)
     )
     known = best_labels(labels).select(F.col("id").alias("_item"), F.col("label").alias("_label"))
     joined = pieces.join(known, "_item", "left").withColumns(
@@ -182,8 +190,8 @@ def resolve_annotations(queries: DataFrame, labels: DataFrame, key: str = "id",
     """Marks back to ids: the reverse of :func:`annotate_ids`."""
     pieces = _pieces(queries, key, text, sq.ANNOTATION).withColumns(
         {
-            "kind": F.regexp_extract("token", sq.ANNOTATION, 1),
-            "name": F.regexp_extract("token", sq.ANNOTATION, 2),
+            "kind": F.coalesce(F.regexp_extract("token", sq.ANNOTATION, 1), F.lit("none")),
+            "name": _lookup_key(F.regexp_extract("token", sq.ANNOTATION, 2), key),
         }
     )
     names = pieces.where("token is not null").select("kind", "name")

@@ -56,11 +56,14 @@ def drop_ids(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def drop_exact_copies(records: DataFrame, text: Column, key: str = "id") -> DataFrame:
     """Keep the lowest key of each normalised text.
 
-    Texts meet by their 256-bit digest, so the shuffle carries digests and keys. Copies are folded
-    on the map side first; the kept keys are unique, so the join back is not skewed.
+    Texts meet by their 256-bit digest: the grouping carries digests and keys, folded on the map side.
+    Only digests that repeat are joined back, so a corpus with few copies is not shuffled a second
+    time, and a text with very many copies is split by the adaptive join.
     """
-    kept = records.select(F.sha2(text, 256).alias("_digest"), F.col(key)).groupBy("_digest").agg(F.min(key).alias(key))
-    return records.join(kept.select(key), key, "left_semi")
+    digests = records.select(F.sha2(text, 256).alias("_digest"), F.col(key).alias("_key"))
+    repeated = digests.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    marked = records.withColumn("_digest", F.sha2(text, 256)).join(repeated, "_digest", "left")
+    return marked.where(F.col("_first").isNull() | (F.col("_first") == F.col(key))).drop("_digest", "_first", "_n")
 
 
 def first_rows(records: DataFrame, n: int, order: str = "id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,54 +13,92 @@ from pyspark.sql import functions as F
 from pairforge.fixed_values import END_TAG, START_TAG
 from pairforge.functions.text import word_count
 
-BLOCK_BYTES = 32 << 20  # float64 vectors of one block
+BLOCK_BYTES = 32 << 20  # float64 vectors of one block, and the most that is broadcast
+RANKED = pa.schema([("query_id", pa.int64()), ("base_id", pa.int64()), ("similarity", pa.float64())])
+RANKED_DDL = "query_id bigint, base_id bigint, similarity double"
 
 
-def _blocks(rows: int, dims: int) -> int:
-    return max(1, math.ceil(rows * dims * 8 / BLOCK_BYTES))
-
-
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in column.chunks])
+def _unit_rows(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    if not rows:
+        return np.zeros((0, 0))
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = np.concatenate([np.asarray(c.flatten(), dtype=np.float64) for c in chunks])
     vectors = flat.reshape(rows, -1)
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
 
 
-def _block_top_k(k: int, digits: int):
-    schema = pa.schema([("query_id", pa.int64()), ("base_id", pa.int64()), ("similarity", pa.float64())])
+def _cut(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row: by similarity, then by id."""
+    best = np.lexsort((ids, -sims), axis=1)[:, :k]
+    return np.take_along_axis(ids, best, axis=1), np.take_along_axis(sims, best, axis=1)
+
+
+def _nearest(asked: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, digits: int):
+    """Ids and similarities of the k nearest base rows, a bounded slice of the matrix at a time."""
+    step = max(1, BLOCK_BYTES // (8 * len(base_ids)))
+    parts = []
+    for at in range(0, len(asked), step):
+        # Rounded, so that copies tie and the lower id wins.
+        sims = np.round(asked[at:at + step] @ base.T, digits)
+        parts.append(_cut(np.broadcast_to(base_ids, sims.shape), sims, k))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _rows(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> list[np.ndarray]:
+    return [np.repeat(query_ids, ids.shape[1]), ids.ravel(), sims.ravel()]
+
 
+def _block_top_k(k: int, digits: int):
     def run(queries: pa.Table, base: pa.Table) -> pa.Table:
-        nq, nb = queries.num_rows, base.num_rows
-        if not nq or not nb:
-            return schema.empty_table()
-        base_ids = base["base_id"].to_numpy()
-        by_id = np.argsort(base_ids, kind="stable")
-        base_ids = base_ids[by_id]
-        vectors = _matrix(base["vector"], nb)[by_id].T
-        asked, query_ids = _matrix(queries["vector"], nq), queries["query_id"].to_numpy()
-        parts = []
-        step = max(1, BLOCK_BYTES // (8 * nb))  # rows of the similarity matrix held at once
-        for at in range(0, nq, step):
-            # Rounded, so that copies tie and the lowest id wins: columns are in id order and the sort is stable.
-            sims = np.round(asked[at:at + step] @ vectors, digits)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            width = best.shape[1]
-            parts.append(
-                pa.table(
-                    [
-                        np.repeat(query_ids[at:at + step], width),
-                        base_ids[best].ravel(),
-                        np.take_along_axis(sims, best, axis=1).ravel(),
-                    ],
-                    schema=schema,
-                )
-            )
-        return pa.concat_tables(parts)
+        if not queries.num_rows or not base.num_rows:
+            return RANKED.empty_table()
+        asked, vectors = _unit_rows(queries["vector"], queries.num_rows), _unit_rows(base["vector"], base.num_rows)
+        best = _nearest(asked, base["base_id"].to_numpy(), vectors, k, digits)
+        return pa.table(_rows(queries["query_id"].to_numpy(), *best), schema=RANKED)
+
+    return run
+
+
+def _scan_top_k(broadcast, k: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, asked = broadcast.value
+        if not len(asked):
+            return
+        ids, sims = np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0))
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _unit_rows(batch.column("vector"), batch.num_rows)
+                more = _nearest(asked, batch.column("base_id").to_numpy(), vectors, k, digits)
+                ids, sims = _cut(np.hstack([ids, more[0]]), np.hstack([sims, more[1]]), k)
+        if ids.size:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _rows(query_ids, ids, sims)], schema=RANKED)
 
     return run
 
 
+def _scanned(queries: DataFrame, base: DataFrame, k: int, digits: int) -> DataFrame:
+    """Few queries: they are broadcast and the base is read in place, without a shuffle."""
+    asked = queries.toArrow()
+    packed = asked["query_id"].to_numpy(), _unit_rows(asked["vector"], asked.num_rows)
+    sent = queries.sparkSession.sparkContext.broadcast(packed)
+    return base.mapInArrow(_scan_top_k(sent, k, digits), RANKED_DDL)
+
+
+def _blocked(queries: DataFrame, base: DataFrame, k: int, digits: int, query_blocks: int, base_blocks: int) -> DataFrame:
+    """Many queries: both sides are hashed into blocks, and each pair of blocks is one matrix product."""
+
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = queries.select("*", block("query_id", query_blocks).alias("q")).select("*", every(base_blocks).alias("b"))
+    right = base.select("*", block("base_id", base_blocks).alias("b")).select("*", every(query_blocks).alias("q"))
+    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_block_top_k(k, digits), RANKED_DDL)
+
+
 def cosine_top_k(
     queries: DataFrame,
     base: DataFrame,
@@ -70,34 +109,26 @@ def cosine_top_k(
 ) -> DataFrame:
     """The k most similar base rows of each query row, exactly: (query_id, base_id, similarity, rank).
 
-    ``queries(query_id, vector)``, ``base(base_id, vector)``. Both sides are hashed into blocks of
-    bounded size and each pair of blocks is one task-sized matrix product that keeps only its k best
-    per query, so pairs are never emitted. The last step merges k rows per base block. Block numbers
-    come from a row count; similarities are rounded to ``digits`` and ties go to the lower id.
+    ``queries(query_id, vector)``, ``base(base_id, vector)``. Every pair is compared inside a matrix
+    product that keeps its k best per query, so pairs are never emitted. The counted size of the query
+    side decides how: up to :data:`BLOCK_BYTES` it is broadcast and each base partition is scanned once;
+    beyond that both sides are cut into blocks of that size. The last step merges k rows per partition
+    or block. Similarities are rounded to ``digits`` and ties go to the lower id.
     """
+    queries = queries.select(F.col("query_id").cast("bigint"), "vector")
+    base = base.select(F.col("base_id").cast("bigint"), "vector")
     if query_blocks is None or base_blocks is None:
-        dims = base.select(F.size("vector")).first()
-        dims = dims[0] if dims else 1
-        query_blocks = query_blocks or _blocks(queries.count(), dims)
-        base_blocks = base_blocks or _blocks(base.count(), dims)
-
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.select(
-        F.col("query_id").cast("bigint"), "vector", block("query_id", query_blocks).alias("q")
-    ).select("*", every(base_blocks).alias("b"))
-    right = base.select(
-        F.col("base_id").cast("bigint"), "vector", block("base_id", base_blocks).alias("b")
-    ).select("*", every(query_blocks).alias("q"))
-    partial = (
-        left.groupBy("q", "b")
-        .cogroup(right.groupBy("q", "b"))
-        .applyInArrow(_block_top_k(k, digits), "query_id bigint, base_id bigint, similarity double")
-    )
+        first = base.select(F.size("vector")).first()
+        row_bytes = 8 * (first[0] if first else 1)
+        query_blocks = math.ceil(queries.count() * row_bytes / BLOCK_BYTES) or 1
+        base_blocks = 1 if query_blocks == 1 else math.ceil(base.count() * row_bytes / BLOCK_BYTES) or 1
+        partial = (
+            _scanned(queries, base, k, digits)
+            if query_blocks == 1
+            else _blocked(queries, base, k, digits, query_blocks, base_blocks)
+        )
+    else:
+        partial = _blocked(queries, base, k, digits, query_blocks, base_blocks)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
