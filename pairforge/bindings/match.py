@@ -193,7 +193,7 @@ _KEY = '"table", "column"'
 
 @query("X4_X8_column_types", f"WITH {_PROFILE_CTE} SELECT {_KEY}, n_values, type, strict AS strict_numeric, mainly AS mainly_numeric FROM profiles")
 def column_types(spark, sf):
-    return profiles(spark, sf).select("table", "column", "n_values", "type", "strict_numeric", "mainly_numeric")
+    return pf.column_types(catalog(spark, sf)).select("table", "column", "n_values", "type", "strict_numeric", "mainly_numeric")
 
 
 _TESTS = {
@@ -227,13 +227,13 @@ def numbers(spark, sf):
     return _leading(rows.where("n > 0"), ["total"])
 
 
-def _register_features(name, features):
+def _register_features(name, features, build=pf.column_profiles):
     @query(name, f"WITH {_PROFILE_CTE} SELECT {_KEY}, {_leading_list(features)} FROM profiles")
     def selected(spark, sf):
-        return _leading(profiles(spark, sf), features).select("table", "column", *features)
+        return _leading(build(catalog(spark, sf)), features).select("table", "column", *features)
 
 
-_register_features("X8_type_indicators", [f"is_{t}" for t in pf.TYPES])
+_register_features("X8_type_indicators", [f"is_{t}" for t in pf.TYPES], pf.column_types)
 _register_features("X10_numeric_features", [f"num_{s}" for s in pf.STATS])
 _register_features("X11_length_features", [f"len_{s}" for s in pf.STATS])
 _register_features("X12_character_features", [f"{c}_{s}" for s in ("mean", "cv") for c in pf.CHARS])
@@ -278,18 +278,23 @@ labelled AS (SELECT p.*, EXISTS (SELECT 1 FROM gold g WHERE (g.a, g.b) = (least(
 
 
 def column_pairs(spark, sf):
+    """Pairs of the kept columns by name, without their profiles."""
+    return mt.column_pairs(tb.kept_columns(catalog(spark, sf)), _pairs_table(spark))
+
+
+def profiled_pairs(spark, sf):
     return mt.column_pairs(profiles(spark, sf), _pairs_table(spark))
 
 
-def _mapping(spark, sf):
+def _mapping(spark):
     """Gold pairs: equal names after the two-letter table mark, listed in either order."""
-    names = tb.kept_columns(catalog(spark, sf)).select("column", F.substr("column", F.lit(3)).alias("stem"))
-    left, right = names.withColumnRenamed("column", "b"), names.withColumnRenamed("column", "a")
-    return left.join(right, "stem").where("a <> b").select("a", "b").distinct()
+    names = [c for columns in CATALOG.values() for c in columns]
+    pairs = [(a, b) for a in names for b in names if a != b and a[2:] == b[2:]]
+    return spark.createDataFrame(pairs, "a string, b string")
 
 
 def _labelled(spark, sf):
-    return mt.gold_labels(column_pairs(spark, sf), _mapping(spark, sf))
+    return mt.gold_labels(column_pairs(spark, sf), _mapping(spark))
 
 
 @query("X14_column_pairs", f"WITH {_PAIR_CTE} SELECT left_table, right_table, left_column, right_column FROM pairs")
@@ -347,7 +352,7 @@ _DIFF_SQL = ", ".join(
 
 @query("X17c_profile_differences", f"WITH {_PAIR_CTE} SELECT left_table, right_table, left_column, right_column, {_DIFF_SQL} FROM pairs")
 def profile_differences(spark, sf):
-    rows = mt.profile_differences(column_pairs(spark, sf)).select(*mt.PAIR, *mt.DIFFS)
+    rows = mt.profile_differences(profiled_pairs(spark, sf)).select(*mt.PAIR, *mt.DIFFS)
     return rows.withColumns({d: F.expr(f"coalesce({_leading_sql(d)}, 0.0)") for d in mt.DIFFS})
 
 
@@ -389,7 +394,8 @@ def masked_copies(spark, sf):
 
 def pair_features(spark, sf):
     """All 30 features of the catalog pairs, with their gold label."""
-    rows = mt.name_features(mt.profile_differences(_labelled(spark, sf))).withColumn("instance_cosine", F.lit(0.0))
+    labelled = mt.gold_labels(profiled_pairs(spark, sf), _mapping(spark))
+    rows = mt.name_features(mt.profile_differences(labelled)).withColumn("instance_cosine", F.lit(0.0))
     return rows.select(*mt.PAIR, "label", *mt.PAIR_FEATURES)
 
 
@@ -407,7 +413,7 @@ def trained_matcher(spark, sf):
     + 0.5 * (1 - ({' + '.join(f'abs(l_is_{t} - r_is_{t})' for t in pf.TYPES)}) / 2), 6)::DOUBLE AS score FROM pairs""",
 )
 def rule_score(spark, sf):
-    return mt.rule_score(column_pairs(spark, sf)).select(*mt.PAIR, F.round("score", 6).alias("score"))
+    return mt.rule_score(mt.column_pairs(pf.column_types(catalog(spark, sf)), _pairs_table(spark))).select(*mt.PAIR, F.round("score", 6).alias("score"))
 
 
 # --- selection: scores of (brand, type) pairs by three members --------------------------------------------------

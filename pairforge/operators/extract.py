@@ -6,6 +6,8 @@ the row, so the whole step is a narrow transform however many pages one source h
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,12 +144,14 @@ def short_link_queries(
 
 
 def harvested(*parts: DataFrame) -> DataFrame:
-    """All queries of all ways to find them: page, query, metadata."""
-    columns = ["page_id", "query", "metadata"]
-    out = parts[0].select(columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(columns))
-    return out
+    """All queries of all ways to find them. ``page_id, origin, section_id, pos`` name each one:
+    ``origin`` is the place of its part among the arguments."""
+
+    def named(origin: int, part: DataFrame) -> DataFrame:
+        section = F.col("section_id") if "section_id" in part.columns else F.lit(0).alias("section_id")
+        return part.select("page_id", F.lit(origin).alias("origin"), section, "pos", "query", "metadata")
+
+    return reduce(DataFrame.unionByName, [named(i, part) for i, part in enumerate(parts)])
 
 
 def queries_per_page(pages: DataFrame) -> DataFrame:

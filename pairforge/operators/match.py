@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import similarity as sim
 from pairforge.functions.text import strip_all
-from pairforge.operators.profile import FEATURES
+from pairforge.operators.profile import FEATURES, TYPES
 from pairforge.session import pinned
 
 PAIR = ["left_table", "right_table", "left_column", "right_column"]
@@ -133,11 +133,10 @@ def masked_copies(pairs: DataFrame, every: int = 5) -> DataFrame:
 
 
 def rule_score(pairs: DataFrame) -> DataFrame:
-    """A score without a model: half name similarity, half agreement of the bounded profile features."""
+    """A score without a model: half name similarity, half agreement of the column types."""
     left, right = normalised_name(F.col("left_column")), normalised_name(F.col("right_column"))
     name = 1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
-    bounded = [f for f in FEATURES if f.startswith("is_")]
-    gaps = sum((F.abs(F.col(f"left.{f}") - F.col(f"right.{f}")) for f in bounded), F.lit(0.0))
+    gaps = sum((F.abs(F.col(f"left.is_{t}") - F.col(f"right.is_{t}")) for t in TYPES), F.lit(0.0))
     return pairs.withColumn("score", 0.5 * name + 0.5 * (1 - gaps / 2))
 
 

@@ -125,61 +125,82 @@ def _distinct_counts(cells: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
+def _cells(values: DataFrame) -> DataFrame:
+    return values.where(present(F.col("value")) & ~F.contains(F.col("column"), F.lit("Unnamed:")))
+
+
+def _tests() -> list[Column]:
+    value = F.col("value")
+    return [
+        is_float(value).alias("_float"), is_mostly_digits(value).alias("_digits"), is_url(value).alias("_url"),
+        is_date(value).alias("_date"),
+    ]
+
+
+def _shares() -> list[Column]:
+    def share(flag: str, least: float) -> Column:
+        return F.count_if(flag) >= least * F.count(F.lit(1))
+
+    return [
+        F.count(F.lit(1)).alias("n_values"),
+        share("_float", 0.95).alias("strict_numeric"),
+        share("_digits", 0.9).alias("mainly_numeric"),
+        share("_url", 0.9).alias("_urls"),
+        share("_date", 0.9).alias("_dates"),
+    ]
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    kind = (
+        F.when(F.col("_urls"), "url")
+        .when(F.col("_dates"), "date")
+        .when(F.col("strict_numeric") | F.col("mainly_numeric"), "numeric")
+        .otherwise("string")
+    )
+    typed = rows.withColumn("type", kind).drop("_urls", "_dates")
+    return typed.withColumns({f"is_{t}": (F.col("type") == t).cast("double") for t in TYPES})
+
+
+def column_types(values: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``values(table, column, value)`` to the type of each column, with its indicators."""
+    groups = [*(by or ["table"]), "column"]
+    return _typed(_cells(values).select(*groups, *_tests()).groupBy(*groups).agg(*_shares()))
+
+
 def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``values(table, column, value)`` to one row per column with type shares and :data:`FEATURES`.
+    """:func:`column_types` with all :data:`FEATURES`.
 
     Numeric features are -1 for other types; character features are -1 unless the column is text or
     only mainly numeric. Distinct counts are an aggregate of their own: inside the first one they would
     multiply its input.
     """
     groups = [*(by or ["table"]), "column"]
-    value = F.col("value")
-    present_cells = values.where(present(value) & ~F.contains(F.col("column"), F.lit("Unnamed:")))
-    cells = present_cells.select(
+    value, cells = F.col("value"), _cells(values)
+    read = cells.select(
         *groups,
-        is_float(value).alias("_float"),
-        is_mostly_digits(value).alias("_digits"),
-        is_url(value).alias("_url"),
-        is_date(value).alias("_date"),
+        *_tests(),
         number(value).alias("_num"),
         F.length(value).cast("double").alias("_len"),
         *[ratio.alias(f"_{name}") for name, ratio in character_ratios(value).items()],
     )
-
-    def share(flag: str, least: float) -> Column:
-        return F.count_if(flag) >= least * F.count(F.lit(1))
-
-    folded = cells.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n_values"),
-        share("_float", 0.95).alias("strict_numeric"),
-        share("_digits", 0.9).alias("mainly_numeric"),
-        share("_url", 0.9).alias("url_share"),
-        share("_date", 0.9).alias("date_share"),
+    folded = read.groupBy(*groups).agg(
+        *_shares(),
         *_stats("num", "_num"),
         *_stats("len", "_len"),
         *[F.avg(f"_{c}").alias(f"{c}_mean") for c in CHARS],
         *[F.try_divide(F.var_pop(f"_{c}"), F.avg(f"_{c}")).alias(f"{c}_cv") for c in CHARS],
     )
-    rows = folded.join(_distinct_counts(present_cells, groups), groups).withColumns(
+    rows = folded.join(_distinct_counts(cells, groups), groups).withColumns(
         {f"{p}_unique": F.try_divide(F.col(f"{p}_distinct"), F.col(f"{p}_count")) for p in ("num", "len")}
     ).drop("num_distinct", "len_distinct", "num_count", "len_count")
-    kind = (
-        F.when(F.col("url_share"), "url")
-        .when(F.col("date_share"), "date")
-        .when(F.col("strict_numeric") | F.col("mainly_numeric"), "numeric")
-        .otherwise("string")
-    )
-    typed = rows.withColumn("type", kind)
     numeric = F.col("type") == "numeric"
     textual = (F.col("type") == "string") | (~F.col("strict_numeric") & F.col("mainly_numeric"))
-    return typed.withColumns(
+    return _typed(rows).withColumns(
         {
-            **{f"is_{t}": (F.col("type") == t).cast("double") for t in TYPES},
             **{f"num_{s}": F.when(numeric, F.col(f"num_{s}")).otherwise(-1.0) for s in STATS},
             **{f"{c}_{s}": F.when(textual, F.col(f"{c}_{s}")).otherwise(-1.0) for c in CHARS for s in ("mean", "cv")},
-            "textual": textual,
         }
-    ).drop("url_share", "date_share")
+    )
 
 
 def column_embeddings(

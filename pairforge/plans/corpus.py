@@ -10,14 +10,12 @@ from pairforge.operators.ordered import dense_index
 
 
 def query_corpus(pages: DataFrame, redirects: DataFrame) -> DataFrame:
-    """All queries of the pages, cleaned, once each, with ids 0..n-1."""
+    """All queries of the pages, cleaned, with ids 0..n-1 in page order."""
     found = extract.harvested(
         extract.template_queries(pages), extract.link_queries(pages), extract.short_link_queries(pages, redirects)
     )
     tidy = clean.strip_comments(clean.remove_styling(clean.clean_queries(found)))
-    # Equal rows have nothing to tell them apart, so one of each goes on.
-    distinct = tidy.dropDuplicates(["page_id", "query", "description", "context"])
-    return dense_index(distinct, ["page_id", "query", "description", "context"], "id")
+    return dense_index(tidy, ["page_id", "origin", "section_id", "pos"], "id")
 
 
 def annotated_corpus(corpus: DataFrame, labels: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ def test_evaluation_prompts(spark):
     base = rows.where("id >= 2").select(F.col("id").alias("base_id"), vector.alias("vector"))
     got = training.evaluation_prompts(rows.where("id < 2"), rows, rt.cosine_top_k(asked, base, 3), "phi3", 1).collect()
     assert len(got) == 2
+    nearest = {0: 5, 1: 2}
     for r in got:
-        assert "Examples:\n- User: ask 2\nAnswer" in r["prompt"] and r["prompt"].endswith("<|assistant|>\n")
+        assert f"Examples:\n- User: ask {nearest[r['id']]}\nAnswer" in r["prompt"] and r["prompt"].endswith("<|assistant|>\n")
 
 
 def test_report(spark):
