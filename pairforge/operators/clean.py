@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions import text as tx
+from pairforge.session import pinned
 
 
 def first_metadata(records: DataFrame) -> DataFrame:
@@ -56,14 +57,14 @@ def drop_ids(records: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def drop_exact_copies(records: DataFrame, text: Column, key: str = "id") -> DataFrame:
     """Keep the lowest key of each normalised text.
 
-    Texts meet by their 256-bit digest: the grouping carries digests and keys, folded on the map side.
-    Only digests that repeat are joined back, so a corpus with few copies is not shuffled a second
-    time, and a text with very many copies is split by the adaptive join.
+    Normalising is the costly part, so each text is read once and its 256-bit digest pinned with its
+    key. Digests are folded on the map side, and only the keys of later copies meet the records again:
+    a corpus with few copies is not shuffled.
     """
-    digests = records.select(F.sha2(text, 256).alias("_digest"), F.col(key).alias("_key"))
-    repeated = digests.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    marked = records.withColumn("_digest", F.sha2(text, 256)).join(repeated, "_digest", "left")
-    return marked.where(F.col("_first").isNull() | (F.col("_first") == F.col(key))).drop("_digest", "_first", "_n")
+    digests = pinned(records.select(F.sha2(text, 256).alias("_digest"), key))
+    repeated = digests.groupBy("_digest").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    copies = digests.join(repeated, "_digest").where(F.col(key) != F.col("_first")).select(key)
+    return records.join(copies, key, "left_anti")
 
 
 def first_rows(records: DataFrame, n: int, order: str = "id") -> DataFrame:
