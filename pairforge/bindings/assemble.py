@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairforge.bindings import query
-from pairforge.bindings.inputs import ROW_CTE, question_rows, table
+from pairforge.bindings.inputs import ROW_CTE, question_rows, sql_draw, table
 from pairforge.operators import assemble as asm
 
 
@@ -45,7 +45,11 @@ def first_instructions(spark, sf):
     return asm.first_instructions(question_rows(spark, sf), 2).select("id", "instruction", "complexity")
 
 
-@query("D5_sampled_instructions")
+@query(
+    "D5_sampled_instructions",
+    f"""WITH {ROW_CTE} SELECT id, d::INT AS draw, instructions[1 + ({sql_draw(7, 'id', 'd')} % len(instructions))::INT] AS instruction
+  FROM question_rows, (VALUES (0), (1), (2)) v(d)""",
+)
 def sampled_instructions(spark, sf):
     return asm.sampled_instructions(question_rows(spark, sf), 3, seed=7).select("id", "draw", "instruction")
 

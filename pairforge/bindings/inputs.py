@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def sql_draw(seed: int, *parts: str) -> str:
+    """SQL of the draw that samples are picked by."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)}, '{seed}')), 1, 15))::BIGINT"
+
+
 # --- wiki pages: each document is a page; headings, templates and stray marks around its lines -------
 
 _HEAD = """CASE WHEN i % 3 <> 1 THEN '' WHEN doc_id % 7 = 0 THEN '==Part ' || i || '==' || chr(10)

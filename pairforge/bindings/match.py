@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.bindings import query
-from pairforge.bindings.inputs import table
+from pairforge.bindings.inputs import sql_draw, table
 from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS, URL_PATTERN
 from pairforge.functions import similarity as sim
 from pairforge.operators import match as mt
@@ -255,14 +255,20 @@ column_vectors AS (SELECT t, c, list(x ORDER BY d) AS v FROM column_means GROUP
     f"""WITH {_VECTOR_CTE} SELECT t AS "table", c AS "column", d::INT - 1 AS dim, round(x, 6) AS x FROM column_means""",
 )
 def column_embeddings(spark, sf):
-    every = pf.column_embeddings(_vector_cells(spark, sf), sample=1 << 30)
+    every = pf.column_embeddings(_vector_cells(spark, sf), sample=None)
     return every.select("table", "column", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("X13_sampled_column_embeddings")
+@query(
+    "X13_sampled_column_embeddings",
+    f"""WITH picked AS (SELECT 'set' || vec_id % 2 AS t, 'label_' || label AS c, embedding FROM embeddings
+  QUALIFY row_number() OVER (PARTITION BY vec_id % 2, label ORDER BY {sql_draw(0, 'vec_id')}, vec_id) <= 20),
+d AS (SELECT t, c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS dim FROM picked)
+SELECT t AS "table", c AS "column", dim, round(avg(x), 6) AS x FROM d GROUP BY ALL""",
+)
 def sampled_column_embeddings(spark, sf):
     rows = pf.column_embeddings(_vector_cells(spark, sf), sample=20)
-    return rows.select("table", "column", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.size("embedding").alias("dims"))
+    return rows.select("table", "column", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
 # --- pairs -------------------------------------------------------------------------------------------------------
@@ -319,6 +325,16 @@ def balanced_counts(spark, sf):
     )
 
 
+@query(
+    "X16_balanced_pairs",
+    f"""WITH {_PAIR_CTE}, r AS (SELECT left_table, right_table, left_column, right_column, label, sum(label) OVER (PARTITION BY left_table, right_table) AS positives,
+    row_number() OVER (PARTITION BY left_table, right_table, label ORDER BY {sql_draw(200, 'left_table', 'right_table', 'left_column', 'right_column')}) AS k FROM labelled)
+SELECT left_table, right_table, left_column, right_column, label FROM r WHERE label = 1 OR k <= 2 * positives""",
+)
+def balanced_pairs(spark, sf):
+    return mt.balanced(_labelled(spark, sf), per_positive=2).select(*mt.PAIR, "label")
+
+
 @query(
     "X17_normalised_names",
     f"""WITH {_CATALOG_CTE} SELECT DISTINCT "column", trim(regexp_replace(lower("column"), '[\\s_.]', ' ', 'g')) AS name FROM cells""",
@@ -362,7 +378,7 @@ def profile_differences(spark, sf):
   round(list_cosine_similarity(a.v, b.v), 6) AS instance_cosine FROM column_vectors a JOIN column_vectors b ON a.t <> b.t""",
 )
 def instance_similarity(spark, sf):
-    vectors = pf.column_embeddings(_vector_cells(spark, sf), sample=1 << 30)
+    vectors = pf.column_embeddings(_vector_cells(spark, sf), sample=None)
     tables = spark.sql("SELECT * FROM VALUES ('set0', 'set1'), ('set1', 'set0') AS t(left_table, right_table)")
     pairs = mt.column_pairs(vectors.select("table", "column", F.lit(1).alias("x")), tables).select(*mt.PAIR)
     return mt.instance_similarity(pairs, vectors).withColumn("instance_cosine", F.round("instance_cosine", 6))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairforge.bindings import query
-from pairforge.bindings.inputs import EXECUTION_CTE, PAIR_CTE, executions, table, turn_pairs
+from pairforge.bindings.inputs import EXECUTION_CTE, PAIR_CTE, executions, sql_draw, table, turn_pairs
 from pairforge.fixed_values import QUERY_KEYWORDS
 from pairforge.functions.sparql import tagged_query
 from pairforge.functions.text import round_significant
@@ -279,9 +279,9 @@ def significant(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", round_significant(x).alias("rounded"))
 
 
-@query("M17_sampled_rows")
+@query("M17_sampled_rows", f"WITH {PAIR_CTE} SELECT id, target FROM turn_pairs ORDER BY {sql_draw(3, 'id')}, id LIMIT 5")
 def sampled_rows(spark, sf):
-    return sc.sampled_rows(turn_pairs(spark, sf), 5, seed=3)
+    return sc.sampled_rows(turn_pairs(spark, sf), 5, seed=3).select("id", "target")
 
 
 @query(

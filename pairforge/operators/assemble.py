@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.functions.sampling import draw
 from pairforge.operators.clean import drop_ids
 from pairforge.operators.ordered import dense_index
 
@@ -59,7 +60,7 @@ def first_instructions(records: DataFrame, k: int = 1) -> DataFrame:
 
 def sampled_instructions(records: DataFrame, k: int = 1, seed: int = 0, key: str = "id") -> DataFrame:
     """k draws with replacement per row, by hash of (key, draw, seed): the same on every run and partitioning."""
-    spot = lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.size("instructions")).cast("int")
+    spot = lambda i: F.pmod(draw(seed, key, i), F.size("instructions")).cast("int")
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)),
         lambda i: F.struct(i.alias("draw"), F.get("instructions", spot(i)).alias("instruction")),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import similarity as sim
+from pairforge.functions.sampling import draw
 from pairforge.functions.text import strip_all
 from pairforge.operators.profile import FEATURES, TYPES
 from pairforge.session import pinned
@@ -67,7 +68,7 @@ def gold_labels(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
 def balanced(labelled: DataFrame, per_positive: int = 9, seed: int = 200) -> DataFrame:
     """All positives and, per table pair, at most ``per_positive`` negatives for each of them, by hash."""
     tables = Window.partitionBy(*TABLES)
-    by_hash = Window.partitionBy(*TABLES, "label").orderBy(F.xxhash64(*PAIR, F.lit(seed)), *PAIR)
+    by_hash = Window.partitionBy(*TABLES, "label").orderBy(draw(seed, *PAIR), *PAIR)
     return (
         labelled.withColumns({"_positives": F.sum("label").over(tables), "_rank": F.row_number().over(by_hash)})
         .where((F.col("label") == 1) | (F.col("_rank") <= per_positive * F.col("_positives")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS
+from pairforge.functions.sampling import draw
 from pairforge.operators.tables import present
 
 FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
@@ -204,16 +205,18 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def column_embeddings(
-    cells: DataFrame, by: list[str] | None = None, sample: int = 20, seed: int = 0, key: str = "id"
+    cells: DataFrame, by: list[str] | None = None, sample: int | None = 20, seed: int = 0, key: str = "id"
 ) -> DataFrame:
-    """Mean embedding of up to ``sample`` values per column, picked by hash of (key, seed).
+    """Mean embedding of up to ``sample`` values per column, picked by hash of (key, seed); None takes all.
 
     ``cells(table, column, <key>, embedding)``. The rank limit runs before the shuffle, so each map
     task sends at most ``sample`` rows per column however many values the column has.
     """
     groups = [*(by or ["table"]), "column"]
-    order = Window.partitionBy(*groups).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    picked = cells.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
+    picked = cells
+    if sample is not None:
+        order = Window.partitionBy(*groups).orderBy(draw(seed, key), key)
+        picked = cells.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
     dims = picked.select(*groups, F.posexplode("embedding").alias("dim", "x"))
     means = dims.groupBy(*groups, "dim").agg(F.avg("x").alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.fixed_values import QUERY_KEYWORDS
 from pairforge.functions import ngrams as ng
+from pairforge.functions.sampling import draw
 from pairforge.functions.similarity import rouge_l
 from pairforge.functions.text import round_significant
 
@@ -269,7 +270,7 @@ def score_grid(rows: DataFrame, model: str, annotated: str, metrics: list[str])
 
 def sampled_rows(rows: DataFrame, n: int = 5, seed: int = 0, key: str = "id") -> DataFrame:
     """n rows by hash of (key, seed)."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(draw(seed, key), key).limit(n)
 
 
 def snippet(rows: DataFrame, columns: list[str], numbers: list[str], n: int = 5, order: str = "id") -> DataFrame:
