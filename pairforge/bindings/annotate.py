@@ -164,18 +164,19 @@ def resolve_annotations(spark, sf):
 
 
 # Names to look up: region and nation names asked for in the wrong kind, with extra words, or unknown.
-_ASKED = """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'entity' ELSE 'property' END AS kind,
-  CASE c_custkey % 4 WHEN 0 THEN 'NATION_' || c_nationkey WHEN 1 THEN 'nation_' || c_nationkey || ' of the world'
-  WHEN 2 THEN replace(c_name, '#', ' ') ELSE 'nothing known ' || c_custkey END AS name FROM customer"""
+_ASKED_KIND = "CASE WHEN c_custkey % 2 = 0 THEN 'entity' ELSE 'property' END AS kind"
+_ASKED_NAME = """CASE c_custkey % 4 WHEN 0 THEN 'NATION_' || c_nationkey WHEN 1 THEN 'nation_' || c_nationkey || ' of the world'
+  WHEN 2 THEN replace(c_name, '#', ' ') ELSE 'nothing known ' || c_custkey END AS name"""
+_ASKED_MARKS = _MARKS.replace(
+    "names AS (SELECT DISTINCT kind, name FROM marks WHERE kind IS NOT NULL)",
+    f"names AS (SELECT DISTINCT {_ASKED_KIND}, {_ASKED_NAME} FROM customer)",
+)
 
 
-@query(
-    "A13_name_fallback",
-    f"WITH {_MARKS.replace('names AS (SELECT DISTINCT kind, name FROM marks WHERE kind IS NOT NULL)', f'names AS (SELECT DISTINCT * FROM ({_ASKED}))')} SELECT kind, name, id FROM resolved_names",
-)
+@query("A13_name_fallback", f"WITH {_ASKED_MARKS} SELECT kind, name, id FROM resolved_names")
 def name_fallback(spark, sf):
-    table(spark, sf, "customer").createOrReplaceTempView("customer")
-    return an.resolve_names(spark.sql(_ASKED), label_table(spark, sf))
+    names = table(spark, sf, "customer").selectExpr(_ASKED_KIND, _ASKED_NAME)
+    return an.resolve_names(names, label_table(spark, sf))
 
 
 @query(
