@@ -33,9 +33,8 @@ def _hot(rows: DataFrame) -> DataFrame:
     return first.select("spread", F.least(F.lit(MOST_RUNS), F.ceil(F.col("n") / RUN_ROWS)).cast("int").alias("runs"))
 
 
-def _sorted_runs(
-    rows: DataFrame, key: str, text: str, smallest: bool, normalise: Callable[[Column], Column] | None
-) -> DataFrame:
+def _salted(rows: DataFrame, key: str, text: str, normalise: Callable[[Column], Column] | None) -> DataFrame:
+    """Our own columns, the row's other columns packed, and the salt of hot contents."""
     content = F.coalesce(F.col(text), F.lit(""))
     own = rows.select(
         F.col(key).alias("id"),
@@ -44,12 +43,16 @@ def _sorted_runs(
         F.col(text).isNull().alias("was_null"),
     ).withColumn("spread", F.xxhash64("content"))
     hot = _hot(own.select("spread"))
-    salted = own.join(F.broadcast(hot), "spread", "left").withColumns(
+    return own.join(F.broadcast(hot), "spread", "left").withColumns(
         {
             "lead": F.substring("content", 1, LEAD_CHARACTERS),
             "salt": F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.hash("id"), F.col("runs"))),
         }
     )
+
+
+def _sorted_runs(salted: DataFrame, smallest: bool) -> DataFrame:
+    """Range-partitioned, sorted, and compared with their neighbours: place, best and size in the run."""
     run = Window.partitionBy("lead", "spread", "salt", "content").orderBy(
         F.asc_nulls_last("id") if smallest else F.desc_nulls_last("id")
     )
@@ -64,10 +67,12 @@ def _sorted_runs(
 
 
 def _decided(rows: DataFrame, key: str, text: str, smallest: bool, normalise) -> DataFrame:
-    runs = _sorted_runs(rows, key, text, smallest, normalise)
-    # One row per run of a hot content; the merged table has at most HOT_CONTENTS rows.
+    salted = _salted(rows, key, text, normalise)
+    runs = _sorted_runs(salted, smallest)
+    # One row per run of a hot content, from hot rows alone; the merged table has at most HOT_CONTENTS rows.
     merged = (
-        runs.where((F.col("place") == 1) & F.col("runs").isNotNull())
+        _sorted_runs(salted.where(F.col("runs").isNotNull()).drop("row", "was_null"), smallest)
+        .where(F.col("place") == 1)
         .groupBy("content", "digest")
         .agg((F.min if smallest else F.max)("best").alias("all_best"), F.sum("n").alias("all_n"))
         .drop("content")
