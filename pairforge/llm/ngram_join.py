@@ -42,6 +42,8 @@ ORDERS = 3
 BLOCK = 512
 CENTRES = 8
 REMEMBERED = 300_000
+#: Of a class in a block: its name, the size of its set, and how many of its hashes follow.
+_HEAD = np.dtype([("name", "<i8"), ("size", "<u4"), ("count", "<u4")])
 
 
 class _Hashes(dict):
@@ -110,7 +112,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
 def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
     """(part, content): the sets of all classes, cut by ranges of shingle hashes.
 
-    ``content`` holds the number of classes, then per class its name, size and number of hashes here, then the hashes.
+    ``content`` holds the number of classes, a _HEAD for each, and then their hashes.
     """
     width = np.uint64((1 << 64) // ranges + 1)
 
@@ -118,7 +120,7 @@ def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts, 32_000_000):
+            for a, b in slices(texts):
                 sets, names = [], []
                 for one in shingle_sets(texts[a:b], words):
                     if len(one) and (name := _class_of(one)) not in seen:
@@ -137,7 +139,8 @@ def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
                 for p in np.flatnonzero(np.diff(bounds)):
                     own = owner[bounds[p] : bounds[p + 1]]
                     here, counts = np.unique(own, return_counts=True)
-                    head = np.stack([np.array(names, np.int64)[here], sizes[here], counts], 1)
+                    head = np.empty(len(here), _HEAD)
+                    head["name"], head["size"], head["count"] = np.array(names, np.int64)[here], sizes[here], counts
                     contents.append(np.int64(len(here)).tobytes() + head.tobytes() + hashes[bounds[p] : bounds[p + 1]].tobytes())
                     parts.append(int(p))
                 yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "content": pa.array(contents, pa.binary())})
@@ -150,10 +153,10 @@ def _unpacked(contents) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, sizes, hashes = [], [], []
     for content in contents:
         k = int(np.frombuffer(content, np.int64, 1)[0])
-        head = np.frombuffer(content, np.int64, 3 * k, 8).reshape(k, 3)
-        names.append(np.repeat(head[:, 0], head[:, 2]))
-        sizes.append(np.repeat(head[:, 1], head[:, 2]))
-        hashes.append(np.frombuffer(content, np.uint64, -1, 8 + 24 * k))
+        head = np.frombuffer(content, _HEAD, k, 8)
+        names.append(np.repeat(head["name"], head["count"]))
+        sizes.append(np.repeat(head["size"].astype(np.int64), head["count"]))
+        hashes.append(np.frombuffer(content, np.uint64, -1, 8 + _HEAD.itemsize * k))
     return np.concatenate(names), np.concatenate(sizes), np.concatenate(hashes)
 
 
@@ -345,7 +348,7 @@ def linked(
     """
     own = keyed(docs, key, text)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or 4 * partitions
+    ranges = ranges or partitions
     members = classes(own, words)
     blocks = _blocks(own, words, ranges)
     shared = blocks.groupBy("part").applyInPandas(_shared(ranges), "bucket int, content binary")
