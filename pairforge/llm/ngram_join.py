@@ -39,7 +39,7 @@ from pairforge.llm.common import arrow_map, keyed, mixed, pinned, slices, texts_
 from pairforge.llm.components import components
 
 ORDERS = 3
-BLOCK = 512
+BLOCK = 256
 CENTRES = 8
 REMEMBERED = 300_000
 #: Of a class in a block: its name, the size of its set, and how many of its hashes follow.
