@@ -204,7 +204,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
         ids = [array("i", codec.encode(t)).tolist() for t in batch.column("text").to_pylist()]
         yield {k: batch.column(k) for k in keep} | {"ids": pa.array(ids, pa.list_(pa.int32()))}
 
-    return arrow_map(docs.select("text", *keep), work, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["ids array<int>"]))
+    return arrow_map(docs.select(*dict.fromkeys(["text", *keep])), work, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["ids array<int>"]))
 
 
 def decoded(rows: DataFrame, path: str, *keep: str) -> DataFrame:
@@ -216,7 +216,7 @@ def decoded(rows: DataFrame, path: str, *keep: str) -> DataFrame:
         out = [codec.decode(array("i", ids).tobytes()) for ids in batch.column("ids").to_pylist()]
         yield {k: batch.column(k) for k in keep} | {"content": pa.array(out, pa.binary())}
 
-    return arrow_map(rows.select("ids", *keep), work, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["content binary"]))
+    return arrow_map(rows.select(*dict.fromkeys(["ids", *keep])), work, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["content binary"]))
 
 
 def round_trip(

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.llm.common import pinned
+
 WORDS = 5
 LITERALS = 3
 FILTER_BITS = 1 << 20
@@ -141,7 +143,8 @@ def contaminated(
         F.slice("words", F.col("pos") + 1, WORDS).alias("said"),
         F.explode(F.array_distinct(F.array("plain", "template"))).alias("hash"),
     )
-    found = asked.join(known, "hash").withColumns(
+    found = asked.join(known, "hash")
+    found = pinned(found.select("id", "pos", "said", "item", "item_pos", "slots", "values")).withColumns(
         {
             "offset": F.col("pos") - F.col("item_pos"),
             "pairs": F.filter(F.arrays_zip("slots", "values", "said"), lambda x: x["slots"]),

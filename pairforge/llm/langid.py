@@ -143,7 +143,7 @@ def predicted(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double"])
     lettered = F.col("text").rlike(r"\p{L}").alias("lettered")
-    return arrow_map(docs.select("text", lettered, *keep), work, schema)
+    return arrow_map(docs.select(lettered, *dict.fromkeys(["text", *keep])), work, schema)
 
 
 def languages(docs: DataFrame, trainable: Column, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:

@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
         yield {k: batch.column(k) for k in keep} | {"score": pa.array(scores, pa.float64())}
 
     kinds = dict(docs.dtypes)
-    return arrow_map(docs.select("text", *keep), work, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double"]))
+    return arrow_map(docs.select(*dict.fromkeys(["text", *keep])), work, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["score double"]))
 
 
 def scored(docs: DataFrame, labels: DataFrame, trainable: Column, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:

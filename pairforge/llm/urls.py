@@ -124,8 +124,8 @@ def threshold(calibration: DataFrame) -> DataFrame:
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rates = bins.select(
         "bin",
-        (F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(whole)).alias("lost"),
-        (1 - F.coalesce(F.sum("b").over(below), F.lit(0)) / F.sum("b").over(whole)).alias("let_in"),
+        F.try_divide(F.coalesce(F.sum("a").over(below), F.lit(0)), F.sum("a").over(whole)).alias("lost"),
+        (1 - F.try_divide(F.coalesce(F.sum("b").over(below), F.lit(0)), F.sum("b").over(whole))).alias("let_in"),
     )
     wrong = F.round(F.col("lost") + F.col("let_in"), 9)
     return rates.where(wrong.isNotNull()).orderBy(wrong, F.abs("bin"), "bin").limit(1).select("bin")

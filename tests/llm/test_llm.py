@@ -1,0 +1,342 @@
+"""The training-data operators against brute force and their edge cases."""
+
+import base64
+import collections
+import hashlib
+import math
+import os
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pairforge.llm import bpe, components, decontaminate, exact, langid, lm, ngram_join, quality, queries, secrets, urls, warc
+from pairforge.llm.common import fold
+from tests import oracle
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, id string, uid string, `class` string, digest string, score string"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+LONG = "eins zwei drei vier fünf sechs sieben acht neun zehn " * 3000
+
+
+def crc(key, parts):
+    return zlib.crc32(str(key).encode()) % parts
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns whose names operators use themselves."""
+    texts = [(1, "a b c d e f g"), (2, None), (3, ""), (4, LONG), (4, LONG), (5, " \n\t "), (None, "a b c d e f g"), (6, LONG + "x"), (7, "ein 'll 漢字 \U0001f600 z")]
+    return spark.createDataFrame([(k, t, "de", "x", "y", "z", None, "w") for k, t in texts], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def rows_of(frame):
+    return [tuple(r) for r in frame.collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    assert oracle.difference(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("smallest", [True, False])
+def test_exact_groups_with_split_hot_contents(spark, odd, monkeypatch, smallest):
+    many = odd.unionByName(spark.createDataFrame([(k, "hot") for k in range(100, 400)], "doc_id bigint, text string"), allowMissingColumns=True)
+    for runs in (64, 10**6):
+        monkeypatch.setattr(exact, "RUN_ROWS", runs)
+        found = exact.exact_groups(many, smallest=smallest).collect()
+        assert len(found) == 309 and sum(r["kept"] for r in found) == 7
+        hot = [r for r in found if r["text_sha256"] == hashlib.sha256(b"hot").hexdigest()]
+        assert {r["group_size"] for r in hot} == {300} and [r["doc_id"] for r in hot if r["kept"]] == [100 if smallest else 399]
+        assert {r["keep_id"] for r in found if r["doc_id"] in (2, 3)} == {2 if smallest else 3}
+
+
+def test_drop_exact_keeps_columns_and_nulls(odd, none):
+    kept = exact.drop_exact(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6, 7]
+    assert [r["text"] for r in kept.where("doc_id = 2").collect()] == [None]
+    assert len(exact.drop_exact(odd, normalise=lambda c: F.trim(F.translate(c, "\n\t", "  "))).collect()) == 5
+    assert exact.exact_groups(none).count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.quality_classifier(spark, sf).collect()
+    labels = dict(rows_of(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")))
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert all(r["held_out"] == (crc(r["doc_id"], 4) == 2) and 0 <= r["score"] <= 1 for r in got)
+    assert sum(p == y for p, y in held) / len(held) > 0.95
+
+
+def test_quality_edge_cases(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (4, None), (4, 1), (6, 0), (7, 1), (None, 1)], "doc_id bigint, quality int")
+    got = quality.scored(odd, labels, F.lit(True)).collect()
+    assert len(got) == 9 and all(0 <= r["score"] <= 1 for r in got)
+    assert quality.scored(none, labels, F.lit(True)).count() == 0
+    unlabelled = quality.scored(odd, labels.where("quality > 5"), F.lit(True)).collect()
+    assert {r["score"] for r in unlabelled} == {0.0}
+    kept = quality.keep_good(odd, labels, F.lit(True), 0.0)
+    assert kept.columns == odd.columns and kept.count() == 9
+
+
+def test_the_risk_is_not_negative():
+    """Positives and unlabelled of two clouds: the network separates them although nothing is labelled 0."""
+    draw = np.random.default_rng(1)
+    good, bad = draw.normal(1, 1, (3000, 5)).astype(np.float32), draw.normal(-1, 1, (1000, 5)).astype(np.float32)
+    model = quality.train(good[:1000], np.concatenate([good[1000:2500], bad[:500]]), 0.75, steps=600)
+    score = lambda x: quality._sigmoid(quality._forward(model, x)[1])
+    assert (score(good[2500:]) > 0.5).mean() > 0.9 and (score(bad[500:]) < 0.5).mean() > 0.9
+
+
+def test_secrets(spark, none):
+    rows = [(k, f'the token = "{hashlib.sha1(str(k).encode()).hexdigest()}" of it') for k in range(60)]
+    rows += [(100 + k, f"a number {k}495293590025305{k % 10} in it") for k in range(60)] + [(300, None), (301, "")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["secret"] for r in found} == {k: k < 100 for k, _ in rows if k < 300}
+    assert secrets.scan(none).count() == 0
+
+
+def brute_components(pairs, words, percent):
+    sets = {}
+    for key, text in pairs:
+        w = (text or "").encode().lower().split()
+        sets[key] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+@pytest.mark.parametrize("block", [4, 256])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_ngram_join_is_brute_force(spark, monkeypatch, block, percent):
+    """Chains of edits make large families that only blocks and their meeting can join."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    draw, rows = np.random.default_rng(5), []
+    for base in range(6):
+        words = [f"w{draw.integers(0, 40)}" for _ in range(60)]
+        for _ in range(12):
+            words = list(words)
+            words[draw.integers(0, 60)] = f"edit{draw.integers(0, 99)}"
+            rows.append((len(rows) * 7 % 101, " ".join(words)))
+    rows += [(200, None), (201, ""), (202, "one two"), (203, "ONE\ttwo"), (204, rows[0][1]), (205, LONG)]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, percent)
+
+
+def test_ngram_join_edge_cases(odd, none):
+    got = ngram_join.linked(odd).collect()
+    assert len(got) == 9 and {r["component_id"] for r in got if r["doc_id"] in (4, 6)} == {4}
+    assert ngram_join.linked(none).count() == 0
+    kept = ngram_join.keep_first(odd)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 7}
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(5, 5), (50, 51), (51, 50), (None, 3)]
+    got = dict(rows_of(components.components(spark.createDataFrame(edges, "a bigint, b bigint"))))
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)} | {50: 50, 51: 50}
+
+
+def test_lm_base_is_exact_and_the_model_better(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 500)
+    monkeypatch.setattr(lm, "CLASSES", 200)
+    got = {r["doc_id"]: r for r in lm.scored(docs, fold(F.col("id"), 7) != 2).collect()}
+    words = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [None] for r in docs.collect()}
+    counts = collections.Counter(w for k, ws in words.items() if crc(k, 7) != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for key, ws in words.items():
+        row = got[key]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
+        assert math.isclose(row["base_score"], base, rel_tol=1e-9) and row["n_known"] == sum(counts[w] > 0 for w in ws)
+        assert (row["n_tokens"], row["train_tokens"], row["held_out"]) == (len(ws), n, crc(key, 7) == 2)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_filter_gives_back_quantised_counts():
+    draw = np.random.default_rng(2)
+    codes = np.unique(draw.integers(0, 10**9, 20000))
+    counts = draw.integers(1, 500, len(codes))
+    levels, part, bits = lm.level_of(counts), lm.segment_of(codes), 200_000
+    filter_ = np.concatenate([lm.build_segment(codes[part == s], levels[part == s], bits) for s in range(lm.SEGMENTS)])
+    found = lm.levels_in(filter_, bits, codes)
+    assert (found >= levels).all() and (found == levels).mean() > 0.99
+    assert (lm.levels_in(filter_, bits, codes + 10**10) == 0).mean() > 0.98
+    assert (np.abs(lm.count_of(levels) / counts - 1) <= 0.5).all()
+
+
+def test_lm_probabilities_sum_to_one(docs, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 60)
+    model, _ = lm.fit(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    size = model["size"]
+    for before in (0, 7, size, size + 1):
+        logs = lm.class_logs(model, np.full(size + 1, before), np.arange(size + 1))
+        assert abs((10.0**logs).sum() - 1) < 0.02  # the filter's false positives
+
+
+def test_lm_edge_cases(odd, none):
+    got = lm.scored(odd, F.lit(True)).collect()
+    assert len(got) == 9 and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 5)} == {1}
+    assert {(r["base_score"], r["score"]) for r in lm.scored(odd, F.lit(False)).collect()} == {(0.0, 0.0)}
+    assert lm.scored(none, F.lit(True)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_is_tiktoken(odd, none, docs, encoding):
+    for table in (odd, docs):
+        made = bpe.encoded(table.withColumn("text", F.coalesce("text", F.lit(""))), RANKS, public_tokenizers.PATTERN, "text")
+        for row in made.collect():
+            assert row["ids"] == encoding.encode_ordinary(row["text"])
+        back = bpe.decoded(made, RANKS, "text").collect()
+        assert all(bytes(r["content"]).decode() == r["text"] for r in back)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for row in bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, with_ids=True).collect():
+        ids = encoding.encode_ordinary(texts[row["doc_id"]])
+        assert row["ids"] == ids and row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
+    assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_heap_on_odd_words(encoding):
+    vocabulary = bpe.Vocabulary(bpe.read_ranks(RANKS))
+    draw = np.random.default_rng(3)
+    words = ["a" * 5000, "ab" * 777, "the" * 99] + ["".join(chr(c) for c in draw.choice([97, 98, 116, 104, 228, 0x4E2D], n)) for n in range(1, 60)]
+    codec = bpe.Codec(vocabulary, public_tokenizers.PATTERN)
+    for word in words:
+        assert np.frombuffer(codec.encode(word), "<u4").tolist() == encoding.encode_ordinary(word)
+    assert sorted(vocabulary.hash.place(k) for k in vocabulary.hash.slots) == list(range(len(vocabulary.ranks)))
+    assert vocabulary.hash.place(b"\xff\xfe\xfd no entry") == -1
+
+
+def test_language_on_held_out_rows(spark, odd, none):
+    sf = "/root/testdata/sf0.01"
+    langs = dict(rows_of(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")))
+    held = [r for r in queries.language_id(spark, sf).collect() if r["held_out"]]
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) / len(held) > 0.95
+    got = langid.languages(odd, F.lit(True)).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (2, 3, 5)} == {"und"} and {r["lang_pred"] for r in got} == {"und", "de"}
+    assert {r["lang_pred"] for r in langid.languages(odd, F.lit(False)).collect()} == {"und"}
+    assert langid.languages(none, F.lit(True)).count() == 0
+
+
+def test_decontamination_catches_new_parameters(spark, odd, none):
+    question = "Every day the farmer called Peter sells 12 apples and 30 pears to each of his neighbours for 5 euros before Peter goes home"
+    items = spark.createDataFrame([(1, question), (2, "too short"), (None, question), (3, None)], "item_id bigint, text string")
+    texts = [
+        (1, "Intro. " + question + " The end."),
+        (2, question.upper()),
+        (3, question.replace("12", "47").replace("Peter", "Maria").replace("30", "8")),
+        (4, question.replace("goes home", "and Maria go").replace("called Peter", "called Anna").replace("12 apples and 30 pears", "fruit")),
+        (5, "Every day the farmer called Peter sells nothing at all"),
+        (6, None),
+        (7, ""),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 1), (3, 1)}
+    assert {r["doc_id"]: r["reworded"] for r in got} == {1: False, 2: False, 3: True}
+    split = question.replace("called Peter", "called Maria")  # one name, two values: the windows on names don't count
+    share = decontaminate.contaminated(spark.createDataFrame([(8, split)], "doc_id bigint, text string"), items, least=0.1).collect()[0]
+    assert share["n_found"] < share["n_windows"] and not share["reworded"]
+    assert decontaminate.contaminated(odd, items).count() == decontaminate.contaminated(none, items).count() == 0
+    assert decontaminate.contaminated(odd, items.where("false")).count() == 0
+    assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
+
+
+def test_warc_reads_back_what_was_selected(spark, none):
+    pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "http://c", None), (5, "http://d", ""), (4, "http://e", "ü\r\n\r\nx" * 50000), (None, "f", "alone")]
+    table = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, digest string")
+    folder, index = warc.archive(table)
+    got = {warc_id(r): r for r in warc.read(folder, index).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {
+        "3": ("revisit", "<urn:page:1>"), "1": ("response", None), "2": ("response", None), "5": ("revisit", "<urn:page:2>"), "4": ("response", None), "None": ("response", None),
+    }
+    assert bytes(got["4"]["payload"]).decode() == "ü\r\n\r\nx" * 50000 and got["3"]["payload_bytes"] == 4
+    assert [warc_id(r) for r in warc.read(folder, index.where("url = 'http://e'")).collect()] == ["4"]
+    folder, index = warc.archive(none.selectExpr("doc_id AS page_id", "text AS url", "text AS html"))
+    assert warc.read(folder, index).count() == 0
+
+
+def warc_id(row):
+    return row["record_id"].removeprefix("<urn:page:").removesuffix(">")
+
+
+def test_near_ranges_are_read_together():
+    far = warc.GAP_BYTES + 200
+    assert [(b, e) for _, b, e, _ in warc.coalesced([("f", 0, 10), ("f", 10, 10), ("f", far, 5), ("g", far, 5)])] == [(0, 20), (far, far + 5), (far, far + 5)]
+
+
+def test_url_rules_and_model(spark, none):
+    urls_ = [
+        ("http://X.Example.com/en/1", "allow"), ("https://www.example.com/en/", "allow"), ("https://blog.www.example.com/en/x", "allow"),
+        ("http://example.com/en/a", "block"), ("http://a.net/es/", "block"), ("http://badcom/x", None), ("http://x.com", None),
+        ("no scheme", None), ("", None), (None, None), ("ftp://u.com/p?q=/en/", "allow"),
+    ]
+    table = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls_)], "page_id bigint, url string")
+    got = {r["page_id"]: r for r in urls.judged(table, queries.URL_RULES).collect()}
+    assert got[0]["verdict"] == "block" and got[0]["host"] == "x.example.com" and got[0]["rule"] == "example.com/en/"
+    for k, (_, verdict) in list(enumerate(urls_))[1:]:
+        assert got[k]["verdict"] == verdict if verdict else got[k]["rule"] is None, k
+    assert (got[9]["host"], got[9]["path"], got[10]["path"]) == ("", "", "/p")
+    assert urls.judged(none.selectExpr("doc_id AS page_id", "text AS url"), queries.URL_RULES).count() == 0
+    assert urls.judged(table, []).where("verdict = 'allow'").count() == len(urls_)
+
+
+def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark, docs):
+    stages, now = [f for _, f in corpus_pipeline.STAGES], docs
+    kept = []
+    for stage in stages[:4]:
+        now = spark.createDataFrame(stage(spark, now, SF).collect(), docs.schema)
+        assert now.columns == docs.columns
+        kept.append({r["doc_id"]: r["text"] for r in now.collect()})
+    assert len(set(kept[1].values())) == len(kept[1]) == len(set(kept[0].values()))
+    groups = {k: g for k, (_, g) in brute_components(kept[1].items(), 5, 80).items()}
+    assert set(kept[2]) == {k for k, g in groups.items() if k == g}
+    found = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert set(kept[3]) == set(kept[2]) - found
+    assert {r["doc_id"] for r in stages[4](spark, now, SF).collect()} == set(kept[3])
+    assert corpus_pipeline.run(spark, SF).count() == len(kept[3])
+
+
+def test_native_plans_hold_no_python(spark):
+    for name in ("op1_exact_dedup", "op3_secret_scan", "op8_benchmark_decontamination", "op10_url_filter"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct")), name
+
+
+def test_scans_read_two_columns(docs):
+    plan = exact.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "lang" not in plan and os.path.exists(SF)
