@@ -21,12 +21,12 @@ def reindexed(spark, sf):
 @query(
     "D2_enriched",
     """SELECT d.doc_id AS id, d.lang, coalesce(l.quality, -1)::INT AS quality, coalesce(i.note, '') AS note FROM documents d
-  LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT item_id, left(text, 50) AS note FROM benchmark) i ON i.item_id = d.doc_id""",
+  LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT item_id, text AS note FROM benchmark) i ON i.item_id = d.doc_id""",
 )
 def enriched(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
     marks = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
-    notes = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.left("text", F.lit(50)).alias("note"))
+    notes = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("note"))
     return asm.enriched(docs, marks, notes).na.fill({"quality": -1, "note": ""})
 
 

@@ -178,7 +178,7 @@ def drop_rename_reorder(spark, sf):
 
 @query(
     "C15_published_types",
-    f"""WITH {ROW_CTE} SELECT id::SMALLINT AS id, array_to_string(instructions, '|') AS instructions, sparql_raw, sparql_annotated,
+    f"""WITH {ROW_CTE} SELECT id::BIGINT AS id, array_to_string(instructions, '|') AS instructions, sparql_raw, sparql_annotated,
   sparql_query, complexity, complexity_description, query_results FROM question_rows""",
 )
 def published_types(spark, sf):

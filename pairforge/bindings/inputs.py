@@ -177,7 +177,7 @@ PAIR_CTE = f"""turn_pairs AS (SELECT {PAIR_ID} AS id, u.text AS target, a.text A
 
 # --- question-query rows: documents with instructions -------------------------------------------------
 
-ROW_QUERY = "'SELECT ?x WHERE { ?x wdt:P31 wd:Q' || doc_id || ' . } # ' || left(text, 40)"
+ROW_QUERY = "'SELECT ?x WHERE { ?x wdt:P31 wd:Q' || doc_id || ' . } # ' || text"
 COMPLEXITY = "CASE doc_id % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'medium' ELSE 'complex' END"
 SPLIT = "CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.bindings import query
 from pairforge.bindings.inputs import sql_draw, table
-from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS, URL_PATTERN
+from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS
 from pairforge.functions import similarity as sim
 from pairforge.operators import match as mt
 from pairforge.operators import profile as pf
@@ -35,12 +35,14 @@ CATALOG = {
         "l_quantity": "CAST(l_quantity AS STRING)", "l_extendedprice": "CAST(l_extendedprice AS STRING)",
         "l_returnflag": "l_returnflag", "l_shipdate": "left(CAST(l_shipdate AS STRING), 10)",
     },
-    "pages": {"page_url": "url", "page_text": "left(html, 300)"},
+    "pages": {"page_url": "url", "page_text": "html"},
     "events": {
         "event_ts": "left(CAST(ts AS STRING), 19)", "event_type": "event_type", "event_props": "props",
         "event_day": "event_id % 28 || '日'", "event_note": "CASE WHEN event_id % 50 = 0 THEN '--' ELSE 'n ' || event_id END",
     },
 }
+# A fixed value: what counts as a URL in a cell.
+URL_PATTERN = r"[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_\+.~#?&//=]*)"
 _TABLE_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("customer", "orders"), ("events", "pages")]
 
 
@@ -173,7 +175,7 @@ profiles AS (SELECT "table", "column", n_values, type, strict, mainly,
 
 def _leading_sql(x):
     """Leading digits of a number: comparable whatever its size. Noise around zero is zero."""
-    return f"CASE WHEN abs({x}) < 1e-11 THEN 0.0 ELSE round({x} / pow(10, floor(log10(abs({x})))), 5) END"
+    return f"CASE WHEN abs({x}) < 1e-11 THEN 0.0 ELSE round(round({x} / pow(10, floor(log10(abs({x})))), 9), 5) END"
 
 
 def _leading(rows, names):
@@ -475,7 +477,7 @@ SELECT left_column, right_column, score FROM b WHERE label = 1 AND {test}""",
 for _strategy, _test in _BEST.items():
     _register_selection(_strategy, _test)
 
-_TYPES = ["ECONOMY", "STANDARD", "PROMO"]
+_TYPES = ["ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE"]
 
 
 @query(

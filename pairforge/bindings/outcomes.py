@@ -12,10 +12,10 @@ _NUMBERS = ", ".join("('%s', %d)" % (k.replace("'", "''"), v) for k, v in ERROR_
 _CTE = f"""{EXECUTION_CTE},
 classed AS (SELECT *, CASE WHEN execution = 'timeout' THEN 'timeout' WHEN starts_with(execution, '[]') THEN 'empty'
     WHEN starts_with(execution, 'exception') THEN 'fail' ELSE 'no_errors' END AS outcome FROM executions),
-typed AS (SELECT *, CASE WHEN regexp_matches(left(execution, 20), 'exception: [0-9]+') THEN regexp_extract(left(execution, 20), 'exception: ([0-9]+)', 1)
-    WHEN contains(left(execution, 50), 'exception: module ''requests.exceptions''') THEN 'requests'
-    WHEN contains(right(execution, 10000), '{_TIMEOUT}') THEN 'server timeout'
-    WHEN contains(left(execution, 100), 'exception: query is empty') THEN 'empty query' END AS error_type
+typed AS (SELECT *, CASE WHEN regexp_matches(execution, '^exception: [0-9]+') THEN regexp_extract(execution, '^exception: ([0-9]+)', 1)
+    WHEN contains(execution, 'exception: module ''requests.exceptions''') THEN 'requests'
+    WHEN contains(execution, '{_TIMEOUT}') THEN 'server timeout'
+    WHEN contains(execution, 'exception: query is empty') THEN 'empty query' END AS error_type
   FROM classed WHERE outcome = 'fail'),
 caused AS (SELECT *, list_extract(regexp_extract_all(execution, 'Caused by: .+'), -1) AS cause FROM typed),
 tag_rows AS (SELECT id, 1 AS k, 'undefined prefix' AS tag FROM caused WHERE error_type = '400' AND contains(cause, 'undefined prefix')
@@ -30,7 +30,7 @@ tag_rows AS (SELECT id, 1 AS k, 'undefined prefix' AS tag FROM caused WHERE erro
   UNION ALL SELECT id, 4, 'Out of memory' FROM caused WHERE error_type = '500' AND contains(cause, 'MemoryManagerOutOfMemory')
   UNION ALL SELECT id, 5, 'NullPointerException' FROM caused WHERE error_type = '500' AND contains(cause, 'java.lang.NullPointerException')
   UNION ALL SELECT id, 6, 'Invalid JSON' FROM caused WHERE error_type = '500' AND contains(execution, 'exception: 500 Server Error: the response has an Invalid chunk length')
-  UNION ALL SELECT id, 1, 'no attribute ''JSONDecodeError''' FROM caused WHERE error_type = 'requests' AND contains(left(execution, 100), 'has no attribute ''JSONDecodeError''')
+  UNION ALL SELECT id, 1, 'no attribute ''JSONDecodeError''' FROM caused WHERE error_type = 'requests' AND contains(execution, 'has no attribute ''JSONDecodeError''')
   UNION ALL SELECT id, 1, error_type FROM caused WHERE error_type IN ('server timeout', 'empty query')
   UNION ALL SELECT id, 1, 'other' FROM caused WHERE error_type NOT IN ('400', '500', 'requests', 'server timeout', 'empty query')),
 tagged AS (SELECT c.id, c.variant, c.error_type, c.execution, string_agg(tag, ', ' ORDER BY k) AS tags, arg_min(tag, k) AS first_tag

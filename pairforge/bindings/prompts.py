@@ -222,11 +222,14 @@ def _row_per_array(name, value):
 @query(
     "P15_completion_labels",
     f"""WITH {_TOKEN_CTE} SELECT tok.id, {_row_per_array('labels', 'CASE WHEN tail.b IS NULL OR i < tail.b THEN -100 ELSE t END')},
-  {_row_per_array('fixed', 'CASE WHEN i = n - 1 THEN t WHEN tail.b IS NULL OR i < tail.b THEN -100 ELSE t END')} FROM tok LEFT JOIN tail USING (id) GROUP BY tok.id""",
+  {_row_per_array('fixed', 'CASE WHEN tail.b IS NULL OR i < tail.b THEN -100 ELSE t END')} FROM tok LEFT JOIN tail USING (id) GROUP BY tok.id""",
 )
 def completion_labels(spark, sf):
     rows = _tokens(spark, sf).withColumn("labels", tk.completion_labels(F.col("tokens"), _ints(_RESPONSE)))
-    fixed = tk.keep_last_token(F.col("labels"), F.col("tokens"))
+    # A collator whose padding is the end mark has masked the last label; it is restored before the masking.
+    padded = F.transform("tokens", lambda t, i: F.when(i == F.size("tokens") - 1, F.lit(tk.IGNORE)).otherwise(t))
+    restored = tk.keep_last_token(padded, F.col("tokens"))
+    fixed = tk.completion_labels(F.col("tokens"), _ints(_RESPONSE), restored)
     return rows.select("id", F.array_join("labels", ",").alias("labels"), F.array_join(fixed, ",").alias("fixed"))
 
 

@@ -238,20 +238,20 @@ def column_means(spark, sf):
 
 @query(
     "M14_error_map",
-    f"""WITH {EXECUTION_CTE} SELECT left(execution, 14) AS message, id // 500 AS part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS rows
+    f"""WITH {EXECUTION_CTE} SELECT execution AS message, id // 500 AS part, count(*) AS n, string_agg(id, ',' ORDER BY id) AS rows
   FROM executions WHERE starts_with(execution, 'exception') GROUP BY 1, 2""",
 )
 def error_map(spark, sf):
-    errors = oc.outcome_subset(executions(spark, sf), "fail").select("id", F.left("execution", F.lit(14)).alias("message"))
+    errors = oc.outcome_subset(executions(spark, sf), "fail").select("id", F.col("execution").alias("message"))
     return sc.error_map(errors, part_rows=500).withColumn("rows", F.array_join("rows", ","))
 
 
 @query(
     "M14_error_counts",
-    f"""WITH {EXECUTION_CTE} SELECT left(execution, 14) AS message, count(*) AS n_errors FROM executions WHERE starts_with(execution, 'exception') GROUP BY 1""",
+    f"""WITH {EXECUTION_CTE} SELECT execution AS message, count(*) AS n_errors FROM executions WHERE starts_with(execution, 'exception') GROUP BY 1""",
 )
 def error_counts(spark, sf):
-    errors = oc.outcome_subset(executions(spark, sf), "fail").select("id", F.left("execution", F.lit(14)).alias("message"))
+    errors = oc.outcome_subset(executions(spark, sf), "fail").select("id", F.col("execution").alias("message"))
     return sc.error_counts(errors)
 
 

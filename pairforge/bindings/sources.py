@@ -25,7 +25,7 @@ def pages(spark, sf):
 
 @query(
     "S2_json_arrays",
-    """SELECT url AS query, left(html, 80) AS description, page_id::VARCHAR AS context FROM pages
+    """SELECT url AS query, html AS description, page_id::VARCHAR AS context FROM pages
   UNION ALL SELECT 'second ' || page_id, '', '' FROM pages""",
 )
 def json_arrays(spark, sf):
@@ -33,7 +33,7 @@ def json_arrays(spark, sf):
         entry = F.struct(F.expr(description).alias("description"), F.expr(context).alias("context"))
         return F.struct(F.expr(query).alias("query"), F.array(entry).alias("metadata"))
 
-    both = F.array(record("url", "left(html, 80)", "string(page_id)"), record("'second ' || page_id", "''", "''"))
+    both = F.array(record("url", "html", "string(page_id)"), record("'second ' || page_id", "''", "''"))
     path = shared_path(spark, "arrays")
     table(spark, sf, "pages").select(F.to_json(both).alias("value")).write.text(path)
     rows = rd.json_array_texts(spark.read.text(path), rd.RAW_QUERY)
@@ -82,7 +82,7 @@ def column_mapping(spark, sf):
     return rd.column_mapping(spark, path)
 
 
-_PUBLISHED = "id::SMALLINT AS id, array_to_string(instructions, '|') AS instructions, sparql_query, complexity"
+_PUBLISHED = "id::BIGINT AS id, array_to_string(instructions, '|') AS instructions, sparql_query, complexity"
 
 
 @query("S7_dataset_split", f"WITH {ROW_CTE} SELECT {_PUBLISHED} FROM question_rows WHERE split = 'test'")
@@ -114,10 +114,10 @@ def parquet_sink(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("S11_csv_sink", f"WITH {EXECUTION_CTE} SELECT id, variant, left(execution, 200) AS execution FROM executions")
+@query("S11_csv_sink", f"WITH {EXECUTION_CTE} SELECT id, variant, execution FROM executions")
 def csv_sink(spark, sf):
     path = shared_path(spark, "executions")
-    wr.write_csv(executions(spark, sf).withColumn("execution", F.left("execution", F.lit(200))), path)
+    wr.write_csv(executions(spark, sf), path)
     return rd.csv_table(spark, path, "id bigint, variant string, execution string")
 
 

@@ -24,11 +24,16 @@ def _response_end(tokens: Column, response: Column) -> Column:
     return F.coalesce(start + F.size(response) - 1, F.size(tokens))
 
 
-def completion_labels(tokens: Column, response: Column) -> Column:
-    """Labels that keep only what follows the last response template; without one nothing is kept."""
+def completion_labels(tokens: Column, response: Column, labels: Column | None = None) -> Column:
+    """Labels that keep only what follows the last response template; without one nothing is kept.
+
+    ``labels`` are the labels before masking, the tokens themselves by default. For tokenizers whose
+    padding equals the end mark they are :func:`keep_last_token` of the padded labels: restored first,
+    masked afterwards, so a row without a template stays masked as a whole.
+    """
     return bind(
         _response_end(tokens, response),
-        lambda end: F.transform(tokens, lambda t, i: F.when(i < end, F.lit(IGNORE)).otherwise(t)),
+        lambda end: F.transform(tokens if labels is None else labels, lambda t, i: F.when(i < end, F.lit(IGNORE)).otherwise(t)),
     )
 
 

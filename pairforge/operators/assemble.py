@@ -13,7 +13,7 @@ from pairforge.operators.ordered import dense_index
 
 SPLITS = ["full", "train", "validation", "test"]
 PUBLISHED = {
-    "id": "smallint",
+    "id": "bigint",
     "instructions": "array<string>",
     "sparql_raw": "string",
     "sparql_annotated": "string",
@@ -44,9 +44,13 @@ def routed(splits: dict[str, DataFrame], variant: str | None = None) -> DataFram
     return table if variant is None else table.withColumn("variant", F.lit(variant))
 
 
-def published(records: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Cast-select to the published types; a value outside its type is an error, not a null."""
-    return records.select(*[F.col(c).cast(t).alias(c) for c, t in PUBLISHED.items()], *(extra or []))
+def published(records: DataFrame, extra: list[str] | None = None, id_type: str = "bigint") -> DataFrame:
+    """Cast-select to the published types; a value outside its type is an error, not a null.
+
+    ``id_type="smallint"`` gives the 16-bit ids of small published tables.
+    """
+    types = {**PUBLISHED, "id": id_type}
+    return records.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()], *(extra or []))
 
 
 def first_instruction(records: DataFrame) -> DataFrame:

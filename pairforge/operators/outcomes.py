@@ -47,16 +47,16 @@ def outcomes_by_variant(executions: DataFrame, variants: list) -> DataFrame:
 
 
 def error_type(execution: Column) -> Column:
-    """Status code, ``requests``, ``server timeout``, ``empty query`` or null; the first that fits."""
-    code = F.regexp_extract(F.left(execution, F.lit(20)), "exception: ([0-9]+)", 1)
+    """Status code, ``requests``, ``server timeout``, ``empty query`` or null; the first that fits, wherever it stands.
+
+    Only the status code is looked for at the beginning; the tag never depends on how long the text is.
+    """
+    code = F.regexp_extract(execution, "^exception: ([0-9]+)", 1)
     return (
         F.when(code != "", code)
-        .when(F.contains(F.left(execution, F.lit(50)), F.lit("exception: module 'requests.exceptions'")), "requests")
-        .when(
-            F.contains(F.right(execution, F.lit(10000)), F.lit("java.util.concurrent.TimeoutException")),
-            "server timeout",
-        )
-        .when(F.contains(F.left(execution, F.lit(100)), F.lit("exception: query is empty")), "empty query")
+        .when(_has(execution, "exception: module 'requests.exceptions'"), "requests")
+        .when(_has(execution, "java.util.concurrent.TimeoutException"), "server timeout")
+        .when(_has(execution, "exception: query is empty"), "empty query")
     )
 
 
@@ -116,7 +116,7 @@ def server_error_tags(execution: Column) -> Column:
 
 def request_error_tags(execution: Column) -> Column:
     text = "exception: module 'requests.exceptions' has no attribute 'JSONDecodeError'"
-    return _tags([(_has(F.left(execution, F.lit(100)), text), "no attribute 'JSONDecodeError'")])
+    return _tags([(_has(execution, text), "no attribute 'JSONDecodeError'")])
 
 
 def error_tags(execution: Column) -> Column:

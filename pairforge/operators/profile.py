@@ -205,7 +205,7 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def column_embeddings(
-    cells: DataFrame, by: list[str] | None = None, sample: int | None = 20, seed: int = 0, key: str = "id"
+    cells: DataFrame, by: list[str] | None = None, sample: int | None = None, seed: int = 0, key: str = "id"
 ) -> DataFrame:
     """Mean embedding of up to ``sample`` values per column, picked by hash of (key, seed); None takes all.
 

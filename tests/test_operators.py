@@ -276,3 +276,12 @@ def test_csv_round_trip(spark, tmp_path):
     wr.write_csv(spark.createDataFrame(rows, "k string, v string"), str(tmp_path / "t"))
     got = {r["k"]: r["v"] for r in rd.csv_table(spark, str(tmp_path / "t")).collect()}
     assert got["a"] == ' "q", x\ny '
+
+
+def test_published_ids_grow_beyond_sixteen_bits(spark):
+    from pairforge.operators import assemble as asm
+
+    columns = ", ".join(f"`{c}` {t}" for c, t in asm.PUBLISHED.items())
+    rows = spark.createDataFrame([(k, ["i"], *["x"] * 6) for k in (1, 40_000, 2**40)], columns)
+    assert sorted(r["id"] for r in asm.published(rows).collect()) == [1, 40_000, 2**40]
+    assert dict(asm.published(rows.limit(0), id_type="smallint").dtypes)["id"] == "smallint"

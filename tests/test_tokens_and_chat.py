@@ -65,6 +65,16 @@ def test_masks_equal_a_plain_loop(spark):
         assert got[i]["e"] == [x for x in tokens if x in (2, 3)]
 
 
+def test_the_last_label_is_restored_before_masking(spark):
+    rows = [(1, [5, 6, 7]), (2, [5, 1, 2]), (3, [1, 2, 9, 8])]  # no template, one at the end, one before
+    frame = spark.createDataFrame(rows, "id int, tokens array<int>")
+    tokens, template = F.col("tokens"), F.array(F.lit(1), F.lit(2))
+    padded = F.transform(tokens, lambda t, i: F.when(i == F.size(tokens) - 1, F.lit(-100)).otherwise(t))
+    fixed = tk.completion_labels(tokens, template, tk.keep_last_token(padded, tokens))
+    got = {r["id"]: r["x"] for r in frame.select("id", fixed.alias("x")).collect()}
+    assert got == {1: [-100] * 3, 2: [-100] * 3, 3: [-100, -100, 9, 8]}
+
+
 CHAT = [("system", " S "), ("user", " U "), ("assistant", " A ")]
 TEXTS = {
     "chatml": "<|im_start|>system\n S <|im_end|>\n<|im_start|>user\n U <|im_end|>\n<|im_start|>assistant\n A <|im_end|>\n",
