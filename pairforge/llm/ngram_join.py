@@ -42,6 +42,8 @@ ORDERS = 3
 BLOCK = 256
 CENTRES = 8
 REMEMBERED = 300_000
+#: The largest components, named by a broadcast table of so many rows at most.
+HOT_COMPONENTS = 1000
 #: Of a class in a block: its name, the size of its set, and how many of its hashes follow.
 _HEAD = np.dtype([("name", "<i8"), ("size", "<u4"), ("count", "<u4")])
 
@@ -338,6 +340,21 @@ def _verified(candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
     return edges.unionByName(across)
 
 
+def _named(classes_found: DataFrame) -> DataFrame:
+    """(class, component_id): the smallest id in the component of each class (class, first, found).
+
+    A component of very many classes is no hot group: the HOT_COMPONENTS largest ones are broadcast,
+    and any other holds less than 1/HOT_COMPONENTS of the classes.
+    """
+    lowest = classes_found.groupBy("found").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("k"))
+    hot = lowest.where(F.col("k") > BLOCK).orderBy(F.desc("k"), "found").limit(HOT_COMPONENTS)
+    marked = classes_found.join(F.broadcast(hot.select("found", F.col("lowest").alias("hot_id"))), "found", "left")
+    # Classes that have their name already get a key of their own.
+    place = F.when(F.col("hot_id").isNull(), F.col("found")).otherwise(F.col("class"))
+    rest = marked.withColumn("found", place).join(lowest.drop("k"), "found", "left")
+    return rest.select("class", F.coalesce("hot_id", "lowest").alias("component_id"))
+
+
 def linked(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, ranges: int | None = None
 ) -> DataFrame:
@@ -356,10 +373,8 @@ def linked(
     found = components(_verified(candidates, percent, ranges)).select(F.col("node").alias("class"), F.col("component").alias("found"))
     members = pinned(members)
     by_class = members.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first"))
-    named = by_class.join(found, "class", "left").withColumn("found", F.coalesce("found", "class"))
     # A class is a row here, so a component of many copies is not a hot group.
-    lowest = named.groupBy("found").agg(F.min("first").alias("component_id"))
-    of_class = named.join(lowest, "found").select("class", "component_id")
+    of_class = _named(pinned(by_class.join(found, "class", "left").withColumn("found", F.coalesce("found", "class"))))
     return members.join(of_class, "class", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
