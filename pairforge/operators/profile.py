@@ -1,6 +1,8 @@
 """Column profiles: one row of features per (table, column) of a long value table.
 
-Everything is one grouped aggregate, so a column with a third of all values is folded on the map side.
+Types and lengths of all cells come first; then only numeric columns are read as numbers, and only
+textual ones for their characters. Each pass is one grouped aggregate, so a column with a third of
+all values is folded on the map side and no cell text crosses the network.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS
 from pairforge.functions.sampling import draw
 from pairforge.operators.tables import present
+from pairforge.session import pinned
 
 FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 # A CJK date mark, or a date recognised by its shape with a year from 2000 to 2030.
@@ -28,6 +31,8 @@ TYPES = ["url", "numeric", "date", "string"]
 STATS = ["mean", "min", "max", "var", "cv", "unique"]
 CHARS = ["space", "punct", "special", "digit"]
 EPSILON = 1e-12
+# So many columns are broadcast at most to pick their cells; beyond that they are joined.
+BROADCAST_COLUMNS = 100_000
 # The 24 numbers that describe a column, in feature order.
 FEATURES = [
     *[f"is_{t}" for t in TYPES],
@@ -99,33 +104,17 @@ def character_ratios(value: Column) -> dict[str, Column]:
 
 
 def _stats(prefix: str, x: str) -> list[Column]:
+    """Repeated numbers fold on the map side; with one distinct count the input is not multiplied."""
     return [
         F.avg(x).alias(f"{prefix}_mean"),
         F.min(x).alias(f"{prefix}_min"),
         F.max(x).alias(f"{prefix}_max"),
         F.var_pop(x).alias(f"{prefix}_var"),
         F.try_divide(F.var_pop(x), F.avg(x)).alias(f"{prefix}_cv"),
-        F.count(x).alias(f"{prefix}_count"),
+        F.try_divide(F.count_distinct(x), F.count(x)).alias(f"{prefix}_unique"),
     ]
 
 
-def _distinct_counts(cells: DataFrame, groups: list[str]) -> DataFrame:
-    """Distinct numbers and lengths per column.
-
-    Repeated texts fold on the map side before any of them is read as a number; then numbers are
-    spread over tasks by value and only counted.
-    """
-    texts = cells.select(*groups, "value").distinct()
-    sides = F.array(
-        F.struct(F.lit("num").alias("kind"), number(F.col("value")).alias("x")),
-        F.struct(F.lit("len").alias("kind"), F.length("value").cast("double").alias("x")),
-    )
-    seen = texts.select(*groups, F.inline(sides)).where("x is not null").distinct()
-    return seen.groupBy(*groups).agg(
-        F.count_if(F.col("kind") == "num").alias("num_distinct"), F.count_if(F.col("kind") == "len").alias("len_distinct")
-    )
-
-
 def _cells(values: DataFrame) -> DataFrame:
     return values.where(present(F.col("value")) & ~F.contains(F.col("column"), F.lit("Unnamed:")))
 
@@ -172,31 +161,27 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
     """:func:`column_types` with all :data:`FEATURES`.
 
     Numeric features are -1 for other types; character features are -1 unless the column is text or
-    only mainly numeric. Distinct counts are an aggregate of their own: inside the first one they would
-    multiply its input.
+    only mainly numeric. The types are stored while the query is built, one row per column.
     """
     groups = [*(by or ["table"]), "column"]
     value, cells = F.col("value"), _cells(values)
-    read = cells.select(
-        *groups,
-        *_tests(),
-        number(value).alias("_num"),
-        F.length(value).cast("double").alias("_len"),
-        *[ratio.alias(f"_{name}") for name, ratio in character_ratios(value).items()],
-    )
-    folded = read.groupBy(*groups).agg(
-        *_shares(),
-        *_stats("num", "_num"),
-        *_stats("len", "_len"),
+    read = cells.select(*groups, *_tests(), F.length(value).cast("double").alias("_len"))
+    types = pinned(_typed(read.groupBy(*groups).agg(*_shares(), *_stats("len", "_len"))))
+    few = types.limit(BROADCAST_COLUMNS + 1).count() <= BROADCAST_COLUMNS
+
+    def cells_of(kind: Column) -> DataFrame:
+        wanted = types.where(kind).select(*groups)
+        return cells.join(F.broadcast(wanted) if few else wanted, groups)
+
+    numeric = F.col("type") == "numeric"
+    textual = (F.col("type") == "string") | (~F.col("strict_numeric") & F.col("mainly_numeric"))
+    numbers = cells_of(numeric).select(*groups, number(value).alias("_num")).groupBy(*groups).agg(*_stats("num", "_num"))
+    shares = [ratio.alias(f"_{name}") for name, ratio in character_ratios(value).items()]
+    characters = cells_of(textual).select(*groups, *shares).groupBy(*groups).agg(
         *[F.avg(f"_{c}").alias(f"{c}_mean") for c in CHARS],
         *[F.try_divide(F.var_pop(f"_{c}"), F.avg(f"_{c}")).alias(f"{c}_cv") for c in CHARS],
     )
-    rows = folded.join(_distinct_counts(cells, groups), groups).withColumns(
-        {f"{p}_unique": F.try_divide(F.col(f"{p}_distinct"), F.col(f"{p}_count")) for p in ("num", "len")}
-    ).drop("num_distinct", "len_distinct", "num_count", "len_count")
-    numeric = F.col("type") == "numeric"
-    textual = (F.col("type") == "string") | (~F.col("strict_numeric") & F.col("mainly_numeric"))
-    return _typed(rows).withColumns(
+    return types.join(numbers, groups, "left").join(characters, groups, "left").withColumns(
         {
             **{f"num_{s}": F.when(numeric, F.col(f"num_{s}")).otherwise(-1.0) for s in STATS},
             **{f"{c}_{s}": F.when(textual, F.col(f"{c}_{s}")).otherwise(-1.0) for c in CHARS for s in ("mean", "cv")},

@@ -29,7 +29,12 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
 
 
 def _cut(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row: by similarity, then by id."""
+    """The k best columns of each row: by similarity, then by id. Only what ties with the k-th is sorted."""
+    if sims.shape[1] > 4 * k:
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        width = int((sims >= least).sum(axis=1).max())
+        near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+        ids, sims = np.take_along_axis(ids, near, axis=1), np.take_along_axis(sims, near, axis=1)
     best = np.lexsort((ids, -sims), axis=1)[:, :k]
     return np.take_along_axis(ids, best, axis=1), np.take_along_axis(sims, best, axis=1)
 
@@ -99,6 +104,15 @@ def _blocked(queries: DataFrame, base: DataFrame, k: int, digits: int, query_blo
     return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_block_top_k(k, digits), RANKED_DDL)
 
 
+def _usable(dim: int) -> Column:
+    return F.coalesce((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull()), F.lit(False))
+
+
+def odd_vectors(rows: DataFrame, dim: int) -> DataFrame:
+    """The rows that :func:`cosine_top_k` leaves out: no vector, another length than ``dim``, or nulls in it."""
+    return rows.where(~_usable(dim))
+
+
 def cosine_top_k(
     queries: DataFrame,
     base: DataFrame,
@@ -106,6 +120,7 @@ def cosine_top_k(
     digits: int = 9,
     query_blocks: int | None = None,
     base_blocks: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """The k most similar base rows of each query row, exactly: (query_id, base_id, similarity, rank).
 
@@ -113,13 +128,17 @@ def cosine_top_k(
     product that keeps its k best per query, so pairs are never emitted. The counted size of the query
     side decides how: up to :data:`BLOCK_BYTES` it is broadcast and each base partition is scanned once;
     beyond that both sides are cut into blocks of that size. The last step merges k rows per partition
-    or block. Similarities are rounded to ``digits`` and ties go to the lower id.
+    or block. Similarities are rounded to ``digits`` and ties go to the lower id. Vectors of another
+    length than ``dim`` (by default the most frequent one of the base, counted first) or with nulls take
+    no part; :func:`odd_vectors` reports them.
     """
     queries = queries.select(F.col("query_id").cast("bigint"), "vector")
     base = base.select(F.col("base_id").cast("bigint"), "vector")
+    if dim is None:
+        dim = base.agg(F.mode(F.size("vector"), deterministic=True)).first()[0] or 0
+    queries, base = queries.where(_usable(dim)), base.where(_usable(dim))
     if query_blocks is None or base_blocks is None:
-        first = base.select(F.size("vector")).first()
-        row_bytes = 8 * (first[0] if first else 1)
+        row_bytes = 8 * max(1, dim)
         query_blocks = math.ceil(queries.count() * row_bytes / BLOCK_BYTES) or 1
         base_blocks = 1 if query_blocks == 1 else math.ceil(base.count() * row_bytes / BLOCK_BYTES) or 1
         partial = (

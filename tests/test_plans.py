@@ -39,6 +39,14 @@ def test_sampled_embeddings_are_cut_before_the_shuffle(spark):
     assert plan(pf.column_embeddings(cells, sample=20)).count("WindowGroupLimit") == 2
 
 
+def test_no_cell_text_crosses_the_network(spark):
+    cells = spark.createDataFrame([("t", "a", "1"), ("t", "b", "x y")], "table string, column string, value string")
+    profiles = pf.column_profiles(cells)
+    for exchange in re.findall(r"Exchange hashpartitioning[^\n]*", plan(profiles)):
+        assert "value" not in exchange
+    assert {r["column"]: (r["num_unique"], r["digit_mean"] > 0) for r in profiles.collect()} == {"a": (1.0, False), "b": (-1.0, True)}
+
+
 def test_ngrams_do_not_cross_the_network(spark):
     pairs = spark.createDataFrame([(1, "a", "b")], "id int, target string, generated string")
     for scores in (sc.bleu(pairs), sc.rouge_n(pairs), sc.weighted_bleu(pairs)):

@@ -103,6 +103,20 @@ def test_top_k_is_exact_for_any_blocks(spark):
     assert want[6][:2] == [3, 7]
 
 
+def test_top_k_leaves_odd_vectors_out(spark):
+    base = spark.sql("SELECT * FROM VALUES (1L, array(1d)), (2L, array(0d, 1d)), (3L, array(1d, 1d)), (4L, null), (5L, array(1d, null)) t(base_id, vector)")
+    asked = spark.sql("SELECT * FROM VALUES (1L, array(0d, 2d)), (2L, array(1d, 2d, 3d)) t(query_id, vector)")
+    got = [(r["query_id"], r["base_id"], r["similarity"]) for r in rt.cosine_top_k(asked, base, 2).orderBy("rank").collect()]
+    assert got == [(1, 2, 1.0), (1, 3, pytest.approx(2**-0.5))]
+    assert {r["base_id"] for r in rt.odd_vectors(base, 2).collect()} == {1, 4, 5}
+    assert rt.cosine_top_k(asked, base.limit(0), 2).count() == 0
+
+
+def test_cut_keeps_the_lower_ids_among_ties():
+    ids, sims = rt._cut(np.arange(20)[::-1][None], np.array([[1.0] * 15 + [0.0] * 5]), 2)
+    assert ids.tolist() == [[5, 6]] and sims.tolist() == [[1.0, 1.0]]
+
+
 def test_cosine_and_containment(spark):
     row = spark.sql("SELECT array(1f, 2f) a, array(3f, 4f) b, 'name' c, 'full name' d").select(
         sim.cosine(F.col("a"), F.col("b")).alias("x"), sim.containment(F.col("c"), F.col("d")).alias("y")
