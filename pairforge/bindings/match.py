@@ -12,7 +12,7 @@ from pairforge.functions import similarity as sim
 from pairforge.operators import match as mt
 from pairforge.operators import profile as pf
 from pairforge.operators import tables as tb
-from pairforge.session import spread
+from pairforge.session import pinned, spread
 
 # Catalog columns as SQL text of both engines: real columns, and some made from them for the rarer types.
 CATALOG = {
@@ -419,7 +419,7 @@ def pair_features(spark, sf):
 
 @query("X18_trained_matcher")
 def trained_matcher(spark, sf):
-    rows = pair_features(spark, sf).cache()
+    rows = pinned(pair_features(spark, sf))
     models = mt.train_matchers(mt.balanced(rows), members=2)
     return mt.combined(mt.predicted(rows.drop("label"), models))
 

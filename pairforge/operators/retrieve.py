@@ -179,11 +179,12 @@ def shot(instruction: Column, query: Column, start: str = START_TAG, end: str =
 def shot_blocks(ranked: DataFrame, train: DataFrame, n: int, target: str = "sparql_query") -> DataFrame:
     """``few_shots`` text of the n nearest training rows; n = 0 gives an empty text.
 
-    ``train(base_id, instruction, <target>)``.
+    ``train(base_id, instruction, <target>)``. Neighbours that are not in it are passed over, and a
+    query without any other keeps its heading alone.
     """
     if n == 0:
         return ranked.select("query_id").distinct().withColumn("few_shots", F.lit(""))
-    shots = ranked.where(F.col("rank") <= n).join(train, "base_id").select(
+    shots = ranked.where(F.col("rank") <= n).join(train, "base_id", "left").select(
         "query_id", "rank", shot(F.col("instruction"), F.col(target)).alias("text")
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))

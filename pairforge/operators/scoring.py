@@ -102,8 +102,8 @@ def rouge_n(pairs: DataFrame, reference: str = "target", candidate: str = "gener
 
 
 def rouge_lcs(pairs: DataFrame, reference: str = "target", candidate: str = "generated", key: str = "id") -> DataFrame:
-    """ROUGE-L and ROUGE-Lsum; a narrow step, in Arrow batches."""
-    both = rouge_l(ng.rouge_sentences(F.col(reference)), ng.rouge_sentences(F.col(candidate)))
+    """ROUGE-L and ROUGE-Lsum; a narrow step, in Arrow batches. Null texts count as empty."""
+    both = rouge_l(*[ng.rouge_sentences(F.coalesce(F.col(c), F.lit(""))) for c in (reference, candidate)])
     return pairs.select(key, both.alias("_r")).select(key, "_r.*")
 
 

@@ -38,16 +38,22 @@ def _leaves(node: dict, parent: str, row: int) -> Iterator[tuple]:
 
 @F.pandas_udf(_LEAVES)
 def json_leaves(texts: pd.Series) -> pd.Series:
-    """Leaves of one JSON text: the nesting is open-ended, which no fixed schema can express."""
+    """Leaves of one JSON text: the nesting is open-ended, which no fixed schema can express.
 
-    def flat(text: str) -> list[tuple]:
+    Null for a text that is no JSON object or list.
+    """
+
+    def flat(text: str) -> list[tuple] | None:
         if text is None:
             return []
-        data = json.loads(text)
+        try:
+            data = json.loads(text)
+        except (ValueError, RecursionError):
+            return None
         if isinstance(data, dict):
             return list(_leaves(data, ".", 0))
         if not isinstance(data, list):
-            raise ValueError("a result must be a JSON object or list")
+            return None
         out: list[tuple] = []
         for row, item in enumerate(data):
             out += _leaves(item, "", row) if isinstance(item, dict) else [(row, "TOPLEVEL", _leaf(item))]
@@ -61,11 +67,16 @@ def flatten_json(docs: DataFrame, key: str = "id", text: str = "json") -> DataFr
 
     A leaf is named by its parent and own key only (``item.value``). Objects inside a list are read
     as if they stood in its place, other list items are leaves. A top-level list gives plain names and
-    numbers its items in ``row``.
+    numbers its items in ``row``. Texts that cannot be read give no rows; :func:`unreadable_json` has them.
     """
     return docs.select(key, F.inline(json_leaves(F.col(text))))
 
 
+def unreadable_json(docs: DataFrame, key: str = "id", text: str = "json") -> DataFrame:
+    """The (key, text) rows whose text is no JSON object or list."""
+    return docs.where(F.col(text).isNotNull() & json_leaves(F.col(text)).isNull()).select(key, text)
+
+
 def binding_values(docs: DataFrame, key: str = "id", text: str = "bindings") -> DataFrame:
     """The usual result shape, a list of ``{variable: {type, value}}``, without leaving the JVM."""
     rows = docs.select(key, F.posexplode(F.from_json(text, BINDINGS)).alias("row", "_b"))

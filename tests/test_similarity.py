@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import similarity as sim
 from pairforge.operators import retrieve as rt
 from pairforge.operators import scoring as sc
+from pairforge.operators import tables as tb
 
 WORDS = [[random.Random(s).choice("abcd") for _ in range(random.Random(s + 99).randint(0, 14))] for s in range(60)]
 
@@ -112,6 +113,21 @@ def test_top_k_leaves_odd_vectors_out(spark):
     assert rt.cosine_top_k(asked, base.limit(0), 2).count() == 0
 
 
+def test_shots_keep_every_query(spark):
+    ranked = spark.sql("SELECT * FROM VALUES (1L, 7L, 1), (1L, 8L, 2), (2L, 8L, 1) t(query_id, base_id, rank)")
+    train = spark.sql("SELECT 7L AS base_id, 'i' AS instruction, 'q' AS sparql_query")
+    got = {r["query_id"]: r["few_shots"] for r in rt.shot_blocks(ranked, train, 2).collect()}
+    assert got[1].count("- User: i") == 1 and got[2] == "Examples:\n"
+
+
+def test_bad_rows_are_reported_not_fatal(spark):
+    docs = spark.sql("""SELECT * FROM VALUES (1, '{"a": 1}'), (2, '{"a": '), (3, '5'), (4, null) t(id, json)""")
+    assert [(r["id"], r["value"]) for r in tb.flatten_json(docs).collect()] == [(1, "1")]
+    assert sorted(r["id"] for r in tb.unreadable_json(docs).collect()) == [2, 3]
+    pairs = spark.sql("SELECT 1 AS id, 'a b' AS target, CAST(null AS STRING) AS generated")
+    assert sc.rouge_lcs(pairs).first()["rougeL"] == 0.0
+
+
 def test_cut_keeps_the_lower_ids_among_ties():
     ids, sims = rt._cut(np.arange(20)[::-1][None], np.array([[1.0] * 15 + [0.0] * 5]), 2)
     assert ids.tolist() == [[5, 6]] and sims.tolist() == [[1.0, 1.0]]
