@@ -9,8 +9,9 @@ whose prefixes hold nothing else has no link.
 
 How it runs:
 
-1. Texts become sorted sets of 64-bit shingle hashes inside a task. Equal sets share a class, named
-   by a hash of the set, and a task sends each class once. Sets travel in blocks, by ranges of hashes.
+1. Texts become sorted sets of 56-bit shingle hashes inside a task. Equal sets share a class, named
+   by a 64-bit hash of the set, and a task sends each class once. Sets travel in blocks, by ranges of
+   hashes; a block names a class once and holds seven bytes for each hash.
 2. Per range of hashes, frequencies are counted over all classes; only shingles of two classes or
    more go back, by class. Classes with enough of them are the candidates; most texts end here.
 3. Candidates that share a rarest-first prefix shingle form families (connected components). Only
@@ -44,8 +45,8 @@ CENTRES = 8
 REMEMBERED = 300_000
 #: The largest components, named by a broadcast table of so many rows at most.
 HOT_COMPONENTS = 1000
-#: Of a class in a block: its name, the size of its set, and how many of its hashes follow.
-_HEAD = np.dtype([("name", "<i8"), ("size", "<u4"), ("count", "<u4")])
+#: Shingle hashes have so many bits.
+BITS = 56
 
 
 class _Hashes(dict):
@@ -72,13 +73,14 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
         for k in range(words):
             rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + mixed(hashes[k : k + len(rolled)], k)
-    rolled = mixed(rolled, words)
+    rolled = mixed(rolled, words) >> np.uint64(64 - BITS)
     out = []
     for begin, end, size in zip(ends - sizes, ends, sizes, strict=True):
         if size >= words:
             out.append(np.unique(rolled[begin : end - words + 1]))
         elif size:
-            out.append(np.array([xxhash.xxh3_64_intdigest(hashes[begin:end].tobytes(), 7 + int(size))], np.uint64))
+            one = xxhash.xxh3_64_intdigest(hashes[begin:end].tobytes(), 7 + int(size)) >> (64 - BITS)
+            out.append(np.array([one], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -111,12 +113,36 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs, work, f"id {kind}, n bigint, class bigint")
 
 
-def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
-    """(part, content): the sets of all classes, cut by ranges of shingle hashes.
+def _packed(names: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hashes: np.ndarray, frequency: np.ndarray | None = None) -> bytes:
+    """A block: how many classes, then column by column their names, set sizes and numbers of hashes, and the hashes."""
+    low = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+    columns = [np.array([len(names)], "<i8"), names.astype("<i8"), sizes.astype("<u4"), counts.astype("<u4"), low]
+    if frequency is not None:
+        # Frequencies only order the hashes: those beyond 32 bits tie, in every block alike.
+        columns.append(np.minimum(frequency, 0xFFFFFFFF).astype("<u4"))
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _unpacked(contents, with_frequency: bool = False) -> list[np.ndarray]:
+    """Class, size of its set, hash (and frequency) of every entry of some blocks."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for content in contents:
+        k = int(np.frombuffer(content, "<i8", 1)[0])
+        names, counts = np.frombuffer(content, "<i8", k, 8), np.frombuffer(content, "<u4", k, 8 + 12 * k)
+        sizes, at, total = np.frombuffer(content, "<u4", k, 8 + 8 * k).astype(np.int64), 8 + 16 * k, int(counts.sum())
+        wide = np.zeros((total, 8), np.uint8)
+        wide[:, : BITS // 8] = np.frombuffer(content, np.uint8, total * BITS // 8, at).reshape(total, -1)
+        columns[0].append(np.repeat(names, counts))
+        columns[1].append(np.repeat(sizes, counts))
+        columns[2].append(wide.view("<u8").ravel())
+        if with_frequency:
+            columns[3].append(np.frombuffer(content, "<u4", total, at + total * BITS // 8))
+    return [np.concatenate(c) for c in columns if c]
 
-    ``content`` holds the number of classes, a _HEAD for each, and then their hashes.
-    """
-    width = np.uint64((1 << 64) // ranges + 1)
+
+def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
+    """(part, content): the sets of all classes, cut by ranges of shingle hashes, packed."""
+    width = np.uint64((1 << BITS) // ranges + 1)
 
     def run(batches):
         seen: set[int] = set()
@@ -131,6 +157,7 @@ def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
                         names.append(name)
                 if not sets:
                     continue
+                named = np.array(names, np.int64)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
                 part = (hashes // width).astype(np.int64)
@@ -141,27 +168,13 @@ def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
                 for p in np.flatnonzero(np.diff(bounds)):
                     own = owner[bounds[p] : bounds[p + 1]]
                     here, counts = np.unique(own, return_counts=True)
-                    head = np.empty(len(here), _HEAD)
-                    head["name"], head["size"], head["count"] = np.array(names, np.int64)[here], sizes[here], counts
-                    contents.append(np.int64(len(here)).tobytes() + head.tobytes() + hashes[bounds[p] : bounds[p + 1]].tobytes())
+                    contents.append(_packed(named[here], sizes[here], counts, hashes[bounds[p] : bounds[p + 1]]))
                     parts.append(int(p))
                 yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "content": pa.array(contents, pa.binary())})
 
     return docs.select("text").mapInArrow(run, "part int, content binary")
 
 
-def _unpacked(contents) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, size of its set, and hash of every entry of some blocks."""
-    names, sizes, hashes = [], [], []
-    for content in contents:
-        k = int(np.frombuffer(content, np.int64, 1)[0])
-        head = np.frombuffer(content, _HEAD, k, 8)
-        names.append(np.repeat(head["name"], head["count"]))
-        sizes.append(np.repeat(head["size"].astype(np.int64), head["count"]))
-        hashes.append(np.frombuffer(content, np.uint64, -1, 8 + _HEAD.itemsize * k))
-    return np.concatenate(names), np.concatenate(sizes), np.concatenate(hashes)
-
-
 def _shared(buckets: int):
     """Entries of one range of hashes to those that two classes or more have, by buckets of classes."""
 
@@ -176,13 +189,18 @@ def _shared(buckets: int):
         counts = np.diff(np.append(begins, len(hashes)))
         frequency = np.repeat(counts, counts)
         kept = frequency > 1
-        table = np.stack([names, sizes, hashes.view(np.int64), frequency], 1)[kept]
-        bucket = (mixed(table[:, 0].view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        table, bucket = table[order], bucket[order]
+        names, sizes, hashes, frequency = names[kept], sizes[kept], hashes[kept], frequency[kept]
+        bucket = (mixed(names.view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((names, bucket))
+        names, sizes, hashes, frequency, bucket = (c[order] for c in (names, sizes, hashes, frequency, bucket))
         bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         there = np.flatnonzero(np.diff(bounds))
-        return pd.DataFrame({"bucket": there.astype(np.int32), "content": [table[bounds[b] : bounds[b + 1]].tobytes() for b in there]})
+        contents = []
+        for b in there:
+            own = slice(bounds[b], bounds[b + 1])
+            here, at, many = np.unique(names[own], return_index=True, return_counts=True)
+            contents.append(_packed(here, sizes[own][at], many, hashes[own], frequency[own]))
+        return pd.DataFrame({"bucket": there.astype(np.int32), "content": contents})
 
     return run
 
@@ -200,18 +218,19 @@ def _candidates(percent: int):
     """Entries of one bucket of classes to the classes that may have a link."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table = np.concatenate([np.frombuffer(c, np.int64).reshape(-1, 4) for c in rows["content"]])
-        table = table[np.lexsort((table[:, 2], table[:, 0]))]
-        begins = np.flatnonzero(np.concatenate([[True], table[1:, 0] != table[:-1, 0]]))
-        ends = np.append(begins[1:], len(table))
-        enough = ends - begins >= least_overlap(table[begins, 1], percent)
+        columns = _unpacked(rows["content"], with_frequency=True)
+        order = np.lexsort((columns[2], columns[0]))
+        names, sizes, every, frequencies = (c[order] for c in columns)
+        begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        ends = np.append(begins[1:], len(names))
+        enough = ends - begins >= least_overlap(sizes[begins], percent)
         found = []
         for begin, end in zip(begins[enough], ends[enough], strict=True):
-            name, n = table[begin, :2]
-            hashes, frequency = table[begin:end, 2].view(np.uint64), table[begin:end, 3]
+            name, n = names[begin], sizes[begin]
+            hashes, frequency = every[begin:end], frequencies[begin:end]
             prefixes = [prefix_of(hashes, frequency, int(n), k, percent) for k in range(ORDERS)]
             central = (end - begin) / n + float(np.log(frequency).mean()) / 100
-            found.append((name, n, np.sort(hashes).tobytes(), *[p.tobytes() for p in prefixes], central, prefixes[0].view(np.int64).tolist()))
+            found.append((name, n, hashes.tobytes(), *[p.tobytes() for p in prefixes], central, prefixes[0].view(np.int64).tolist()))
         return pd.DataFrame(found, columns=["class", "n", "shared", *[f"p{k}" for k in range(ORDERS)], "central", "prefix"])
 
     return run
