@@ -9,6 +9,7 @@ from pairforge.functions.sparql import tagged_query
 from pairforge.functions.text import round_significant
 from pairforge.operators import outcomes as oc
 from pairforge.operators import scoring as sc
+from pairforge.plans import evaluation
 
 
 @query(
@@ -213,6 +214,49 @@ def unscored(spark, sf):
     return sc.unscored(_outcome_rows(spark, sf)).select("id", "outcome")
 
 
+# --- from executed results to scores: flattened, matched, compared, judged by outcome ---------------------
+
+
+def _cell(variable, kind, value):
+    return f"""'"{variable}": {{"type": "{kind}", "value": "' || {value} || '"}}'"""
+
+
+_OTHER = "CASE WHEN event_id % 3 = 0 THEN 'other' ELSE event_type END"
+_TARGET = f"""CASE WHEN event_id % 5 = 0 THEN '[]' ELSE '[{{' || {_cell("user", "literal", "event_type")} || '}}, {{'
+  || {_cell("user", "literal", "event_type || ' x'")} || ', ' || {_cell("kind", "uri", "event_type")} || '}}]' END"""
+_GENERATED = f"""'[{{' || {_cell("user", "literal", "event_type")} || ', ' || {_cell("sort", "uri", _OTHER)} || '}}]'"""
+_CHAIN_CTE = f"""docs AS (SELECT event_id AS id, event_type AS e, event_id % 5 <> 0 AS has_rows, {_OUTCOME} AS outcome, {_OTHER} AS o FROM events),
+cells AS (SELECT id, true AS l, unnest(['user.type', 'user.value', 'user.value', 'kind.type', 'kind.value']) AS col,
+    unnest(['literal', e, e || ' x', 'uri', e]) AS value FROM docs WHERE has_rows
+  UNION ALL SELECT id, false, unnest(['user.type', 'user.value', 'sort.type', 'sort.value']), unnest(['literal', e, 'uri', o]) FROM docs),
+cols AS (SELECT DISTINCT id, l, col FROM cells),
+pairs AS (SELECT a.id, a.col AS lc, b.col AS rc, 0.5::DOUBLE * (1 - levenshtein(a.col, b.col)::DOUBLE / greatest(length(a.col), length(b.col))) + 0.5 AS score
+  FROM cols a JOIN cols b ON a.id = b.id AND a.l AND NOT b.l),
+best AS (SELECT *, max(score) OVER (PARTITION BY id, lc) AS row_best, max(score) OVER (PARTITION BY id, rc) AS column_best FROM pairs),
+matched AS (SELECT id, lc, rc FROM best WHERE score >= 0.5 AND score = row_best AND score = column_best),
+flags AS (SELECT m.id, m.lc, m.rc, v.value, bool_or(v.l) AS l, bool_or(NOT v.l) AS r FROM matched m
+  JOIN cells v ON v.id = m.id AND ((v.l AND v.col = m.lc) OR (NOT v.l AND v.col = m.rc)) GROUP BY ALL),
+per_column AS (SELECT id, lc, rc, count(*) FILTER (WHERE l AND r) AS b, count(*) FILTER (WHERE l) AS x, count(*) FILTER (WHERE r) AS y, count(*) AS u FROM flags GROUP BY ALL),
+means AS (SELECT id, avg(b / least(x, y)) AS overlap, avg(b / u) AS jaccard, avg(2 * b / (x + y)) AS dice FROM per_column GROUP BY id)"""
+
+
+def _judged(name):
+    return f"""coalesce(round(CASE outcome WHEN 'ok' THEN CASE WHEN has_rows THEN {name} ELSE 0.0 END
+    WHEN 'server_error' THEN CASE WHEN has_rows THEN 0.0 ELSE 1.0 END ELSE 0.0 END, 6), -1)::DOUBLE AS {name}"""
+
+
+@query(
+    "M11_M12_execution_scores",
+    f"""WITH {_CHAIN_CTE} SELECT id, outcome, {', '.join(_judged(n) for n in sc.SCORES)}, CASE outcome WHEN 'bad_syntax' THEN 0.0 ELSE 1.0 END::DOUBLE AS syntax
+  FROM docs LEFT JOIN means USING (id) WHERE outcome IN ('ok', 'bad_syntax', 'server_error', 'timeout')""",
+)
+def execution_scores(spark, sf):
+    results = table(spark, sf, "events").selectExpr(
+        "event_id AS id", f"{_OUTCOME} AS outcome", f"{_TARGET} AS target", f"{_GENERATED} AS generated"
+    )
+    return _rounded(evaluation.execution_scores(results))
+
+
 _TRAIN = "CASE outcome WHEN 'ok' THEN score WHEN 'unreadable_target' THEN NULL ELSE 0.0 END"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.sparql import tagged_query
-from pairforge.operators import scoring
+from pairforge.operators import match, profile, scoring, tables
 
 TEXT_SCORES = ["bleu", "weighted_bleu", "rouge1", "rouge2", "rougeL", "rougeLsum", "exact_match"]
 
@@ -21,6 +21,41 @@ def text_scores(generations: DataFrame) -> DataFrame:
     return reduce(lambda left, right: left.join(right, "id"), parts, same)
 
 
+def matched_columns(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(id, left_column, right_column): columns of two results of one id, matched one to one by the rule score.
+
+    ``left``/``right``: (id, column, value). Only column types meet, one small row per column of a result.
+    """
+
+    def side(values: DataFrame, name: str) -> DataFrame:
+        types = profile.column_types(values, ["id"])
+        kinds = F.struct(*[f"is_{t}" for t in profile.TYPES]).alias(name)
+        return types.select("id", F.col("column").alias(f"{name}_column"), kinds)
+
+    scored = match.rule_score(side(left, "left").join(side(right, "right"), "id"))
+    labelled = scored.withColumn("label", (F.col("score") >= least).cast("int"))
+    return match.selected(labelled, tables=["id"]).select("id", "left_column", "right_column")
+
+
+def execution_scores(results: DataFrame, least: float = 0.5) -> DataFrame:
+    """Set scores and syntax of executed queries: ``results(id, outcome, target, generated)``, results as JSON bindings.
+
+    Bindings are flattened, columns matched, matched columns compared as sets, and the outcome of the
+    generated query decides what counts. Outcomes without a score are left out (``scoring.unscored``);
+    a missing or unreadable result has no rows.
+    """
+
+    def values(side: str) -> DataFrame:
+        return tables.binding_values(results.select("id", F.col(side).alias("bindings")))
+
+    left, right = values("target"), values("generated")
+    n_rows = F.coalesce(F.size(F.from_json("target", tables.BINDINGS)), F.lit(0))
+    rows = results.select("id", "outcome", F.greatest(n_rows, F.lit(0)).alias("target_rows"))
+    shown = rows.select("id", (F.col("target_rows") > 0).alias("has_rows"))
+    compared = scoring.table_scores(left, right, matched_columns(left, right, least), shown)
+    return scoring.outcome_scores(rows.join(compared, "id")).select("id", "outcome", *scoring.SCORES, "syntax")
+
+
 def report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means of all scores that the rows hold."""
     names = [c for c in [*TEXT_SCORES, *scoring.SCORES, "syntax"] if c in rows.columns]

@@ -52,3 +52,13 @@ def test_report(spark):
     )
     means = evaluation.report(evaluation.text_scores(rows)).first().asDict()
     assert set(means) == set(evaluation.TEXT_SCORES) and set(means.values()) == {0.5}
+
+
+def test_execution_scores_of_odd_results(spark):
+    hit = '[{"x": {"type": "uri", "value": "a"}}]'
+    rows = [(1, "ok", hit, hit), (2, "ok", None, hit), (3, "server_error", "no json", None), (4, "other", hit, hit), (5, "ok", hit, "[]"),
+            (6, "bad_syntax", hit, None), (7, None, hit, hit)]
+    results = spark.createDataFrame(rows, "id bigint, outcome string, target string, generated string")
+    got = {r["id"]: (r["dice"], r["syntax"]) for r in evaluation.execution_scores(results).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.0, 1.0), 3: (1.0, 1.0), 5: (None, 1.0), 6: (0.0, 0.0)}
+    assert evaluation.execution_scores(results.limit(0)).count() == 0
