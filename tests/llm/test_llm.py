@@ -201,6 +201,45 @@ def test_lm_probabilities_sum_to_one(docs, monkeypatch):
         assert abs((10.0**logs).sum() - 1) < 0.02  # the filter's false positives
 
 
+@pytest.mark.parametrize("broadcast", [10**9, 0])
+def test_lm_tells_bigrams_of_rare_words_apart(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lm, "CLASSES", 3)
+    monkeypatch.setattr(lm, "FREQUENT", 6)
+    monkeypatch.setattr(lm, "BROADCAST", broadcast)
+    monkeypatch.setattr(lm, "HOT", 30)
+    texts = [(k, f"the of and w{k % 40} x{k % 40} the of y{k % 9} rare{k}") for k in range(120)]
+    texts += [(1000, "w7 x7"), (1001, "w7 x8"), (1002, "new words"), (1003, "")]
+    got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(texts, "doc_id bigint, text string"), F.col("id") < 1000).collect()}
+    assert got[1000]["score"] > got[1001]["score"] + 0.5  # the same words, one bigram seen and one not
+    assert abs(got[1000]["base_score"] - got[1001]["base_score"]) < 1e-9
+    runs = {k: [None, *t.split(), 0] for k, t in texts}
+    pairs = collections.Counter(p for k, ws in runs.items() if k < 1000 for p in zip(ws, ws[1:]))
+    counts = collections.Counter(w for k, ws in runs.items() if k < 1000 for w in ws[1:])
+    n, v = sum(counts.values()), len(counts)
+    key = {w: int(lm._HASHES[None if w == 0 else w.encode()]) for w in counts}
+    top = sorted(counts, key=lambda w: (-counts[w], key[w]))[:3]
+
+    def level(c):
+        return float(lm.count_of(lm.level_of(np.array([c])))[0])
+
+    def mixed(of, before, after, back):
+        followers = [level(c) for (a, _), c in of.items() if a == before]
+        return (level(of[before, after]) * (of[before, after] > 0) + len(followers) * back) / (sum(followers) + len(followers)) if followers else back
+
+    kind = {w: w if w in top or w is None else "rest" for ws in runs.values() for w in ws}
+    classed = collections.Counter()
+    for (a, b), c in pairs.items():
+        classed[kind[a], kind[b]] += c
+    outside = 1 - sum(counts[w] + 1 for w in top) / (n + v + 1)
+    for k, ws in runs.items():
+        score = 0
+        for a, b in zip(ws, ws[1:]):
+            one = (counts[b] + 1) / (n + v + 1)
+            back = mixed(classed, kind[a], kind[b], one if b in top else outside) * (1 if b in top else one / outside)
+            score += math.log10(mixed(pairs, a, b, back))
+        assert math.isclose(got[k]["score"], score, rel_tol=1e-6), k
+
+
 def test_lm_edge_cases(odd, none):
     got = lm.scored(odd, F.lit(True)).collect()
     assert len(got) == 9 and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 5)} == {1}
