@@ -240,6 +240,13 @@ def test_lm_tells_bigrams_of_rare_words_apart(spark, monkeypatch, broadcast):
         assert math.isclose(got[k]["score"], score, rel_tol=1e-6), k
 
 
+def test_lm_filter_keeps_its_false_hits_when_it_grows(docs, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 4)  # far more insertions than pairs of classes
+    model, _ = lm.fit(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    codes = np.random.default_rng(5).integers(1, 2**62, 50_000).astype(np.uint64)
+    assert (lm.levels_in(model["filter"], model["bits"], codes) > 0).mean() < 0.02
+
+
 def test_lm_edge_cases(odd, none):
     got = lm.scored(odd, F.lit(True)).collect()
     assert len(got) == 9 and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3, 5)} == {1}
