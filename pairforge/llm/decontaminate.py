@@ -7,12 +7,16 @@ the same alignment must be consistent (one benchmark value, one document value);
 alignments lose their windows that rest on slots. A document is contaminated by an item if at least
 ``least`` of the item's windows are found in it, so re-parameterised questions are caught as well.
 
+An item whose windows are too few words or too many placeholders to carry evidence is looked for word
+for word: its whole word sequence, anchored by the hash of its first words and then compared in full.
+
 A name is matched as a word too, so that copies in other case are found. Before the join, windows of
 documents pass a bit filter of fixed size made from the benchmark's windows, which only saves work:
 what it lets through is joined exactly. Everything is DataFrame functions.
 
-Null texts count as empty and match nothing; items with fewer than five words, and windows with fewer
-than three words that are no placeholders, carry no evidence; rows with null item ids are passed over;
+Null texts count as empty and match nothing; windows with fewer than three words that are no
+placeholders carry no evidence, and items without any other window match whole, numbers included,
+however short they are; rows with null item ids are passed over;
 repeated item ids count as one item, of which each window may be found; repeated documents are one
 document, and all documents with a null key are one document.
 """
@@ -128,14 +132,43 @@ def _may_hold(bits: Column, hash_: Column) -> Column:
     return F.call_function("getbit", F.get(bits, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
 
 
+def _whole(docs: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(id, item) for items without a row in ``known`` whose whole word sequence stands in a document."""
+    listed = _words(items).select(F.col("id").alias("item"), F.col("words").alias("sequence")).where(F.size("sequence") > 0)
+    anchor = F.slice("sequence", 1, WORDS)
+    short = pinned(listed.join(known.select("item").distinct(), "item", "left_anti").withColumn("hash", F.xxhash64(anchor, F.size(anchor))))
+    lengths = [row[0] for row in short.select(F.size(anchor)).distinct().collect()]  # WORDS at most
+    if not lengths:
+        return None
+    bits = _bits(short).scalar()
+    each = _words(docs).select("id", "words", F.posexplode("words").alias("pos", "word")).drop("word")
+    begun = each.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.slice("words", F.col("pos") + 1, k).alias("said")) for k in lengths])).alias("run"))
+    begun = begun.where(F.size("run.said") == F.col("run.k")).withColumn("hash", F.xxhash64("run.said", "run.k"))
+    begun = begun.where(_may_hold(bits, F.col("hash")))
+    same = F.slice("words", F.col("pos") + 1, F.size("sequence")) == F.col("sequence")
+    return begun.join(short, "hash").where(same).select("id", "item").distinct()
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", least: float = 0.8
 ) -> DataFrame:
     """A row for each document and item found in it: key, item_id, n_found, n_windows, share, reworded."""
+    named = [F.col("id").alias(key), F.col("item").alias(item), "n_found", "n_windows", "share", "reworded"]
+    own = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    asked = items.where(F.col(item).isNotNull()).select(F.col(item).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = benchmark_windows(items, item)
+    found = _shared(own, known, least)
+    whole = _whole(own, asked, known)
+    if whole is not None:
+        one = F.lit(1).cast("bigint")
+        found = found.unionByName(whole.select("id", "item", one.alias("n_found"), one.alias("n_windows"), F.lit(1.0).alias("share"), F.lit(False).alias("reworded")))
+    return found.select(*named)
+
+
+def _shared(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Items of which ``least`` of the windows are in a document: id, item, n_found, n_windows, share, reworded."""
     sizes = known.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
     bits = _bits(known).scalar()
-    own = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     passed = _windows(own).where(_may_hold(bits, F.col("plain")) | _may_hold(bits, F.col("template")))
     asked = passed.select(
         "id",
@@ -170,7 +203,7 @@ def contaminated(
         counted.join(sizes, "item")
         .withColumn("share", share)
         .where(share >= least)
-        .select(F.col("id").alias(key), F.col("item").alias(item), "n_found", "n_windows", "share", "reworded")
+        .select("id", "item", "n_found", "n_windows", "share", "reworded")
     )
 
 

@@ -322,6 +322,16 @@ def test_decontamination_catches_new_parameters(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
 
 
+def test_decontamination_finds_short_and_number_heavy_items(spark):
+    asked = ["What is 17 + 25?", "Solve 3 x + 5 = 20 - 2 x", "Compute 12 * 7 - 3 + 45 / 9", "Who wrote Hamlet?", "?!"]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
+    texts = [(k, f"Some words before. {t} And some after.") for k, t in enumerate(asked)]
+    texts += [(10, "What is 17 + 26? Compute 12 * 7 - 3 + 45 / 8. Who wrote"), (11, asked[3].upper()), (12, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (11, 3)}
+    assert {(r["share"], r["reworded"]) for r in got} == {(1.0, False)}
+
+
 def test_warc_reads_back_what_was_selected(spark, none):
     pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "http://c", None), (5, "http://d", ""), (4, "http://e", "ü\r\n\r\nx" * 50000), (None, "f", "alone")]
     table = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, digest string")
