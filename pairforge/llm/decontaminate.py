@@ -7,6 +7,12 @@ the same alignment must be consistent (one benchmark value, one document value);
 alignments lose their windows that rest on slots. A document is contaminated by an item if at least
 ``least`` of the item's windows are found in it, so re-parameterised questions are caught as well.
 
+Names at the start of a text or sentence, after digits, quotes or line breaks look like any capitalised
+word, and numbers may be written with separators and decimals, or stuck to their unit. So all is done
+again on a wider form, in which every capitalised word is a name, a whole number is one placeholder
+and a unit is split from it; it adds the items that the first form did not find in a document. Only
+windows that hold under other names count there, for items in which these are half of all or more.
+
 An item whose windows are too few words or too many placeholders to carry evidence is looked for word
 for word: its whole word sequence, anchored by the hash of its first words and then compared in full.
 
@@ -23,6 +29,9 @@ document, and all documents with a null key are one document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +49,20 @@ UNITS = (
 _NAME = r"([\p{Ll},;:] )(\p{Lu}\p{Ll}+)"
 
 
+#: In the wider form: the sign that stands for a separator inside a number, and all that may be a name.
+_INSIDE = "\u00b7"
+_CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+
+
+def _folded(text: Column) -> Column:
+    """Separators inside numbers to one sign, units split from their number."""
+    inside = F.regexp_replace(F.translate(text, _INSIDE, " "), r"(?<=\p{Nd})[.,](?=\p{Nd})", _INSIDE)
+    return F.regexp_replace(inside, rf"(?i)(\p{{Nd}})({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "$1 $2")
+
+
 def _numbered(text: Column) -> Column:
     """Lower case, digits to ``#``, units after a number to ``§``."""
-    plain = F.regexp_replace(F.lower(text), r"\p{Nd}+", "#")
+    plain = F.regexp_replace(F.lower(text), rf"\p{{Nd}}+(?:{_INSIDE}\p{{Nd}}+)*", "#")
     return F.regexp_replace(plain, rf"# ({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", "# §$2")
 
 
@@ -52,18 +72,21 @@ def _named(text: Column) -> Column:
     return F.regexp_replace(twice, r"@\p{Lu}\p{Ll}+", "@")
 
 
-def _split(text: Column) -> Column:
-    return F.filter(F.split(text, r"[^\p{L}\p{N}#§@]+"), lambda w: w != "")
+def _split(text: Column, more: str = "") -> Column:
+    return F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}#§@{more}]+"), lambda w: w != "")
 
 
-def _words(rows: DataFrame) -> DataFrame:
+def _words(rows: DataFrame, wide: bool = False) -> DataFrame:
     """Three aligned word lists: as words, as a template with names, and the words themselves."""
     text = F.translate(F.col("text"), "#§@", "   ")
-    return rows.withColumn("text", text).select(
+    rows = rows.withColumn("text", _folded(text) if wide else F.translate(text, _INSIDE, " "))
+    named = F.regexp_replace("text", _CAPITALISED, "@") if wide else _named(F.col("text"))
+    more = _INSIDE if wide else ""
+    return rows.select(
         "id",
-        _split(_numbered(F.col("text"))).alias("plain"),
-        _split(_numbered(_named(F.col("text")))).alias("template"),
-        _split(F.lower("text")).alias("words"),
+        _split(_numbered(F.col("text")), more).alias("plain"),
+        _split(_numbered(named), more).alias("template"),
+        _split(F.lower("text"), more).alias("words"),
     )
 
 
@@ -74,9 +97,9 @@ def _zipped(column: str) -> Column:
     return F.when(least, F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)]))
 
 
-def _windows(rows: DataFrame) -> DataFrame:
+def _windows(rows: DataFrame, wide: bool = False) -> DataFrame:
     """(id, pos, plain, template, words): hashes of both forms of each window, and the document's words."""
-    listed = _words(rows)
+    listed = _words(rows, wide)
     both = F.arrays_zip(_zipped("plain").alias("p"), _zipped("template").alias("t"))
     each = listed.select("id", "words", F.posexplode(both).alias("pos", "window"))
     name = [f"w{k}" for k in range(WORDS)]
@@ -94,23 +117,29 @@ def _slots(form: str) -> Column:
     return F.array(*[F.col(f"window.{form}")[f"w{k}"].isin("#", "§", "@") for k in range(WORDS)])
 
 
-def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", wide: bool = False) -> DataFrame:
     """(hash, item, item_pos, slots, values): both forms of each window with enough literal words."""
     own = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    forms = _windows(own).select(
+    forms = _windows(own, wide).select(
         F.col("id").alias("item"),
         F.col("pos").alias("item_pos"),
         F.slice("words", F.col("pos") + 1, WORDS).alias("values"),
         F.explode(
             F.array_distinct(
                 F.array(
-                    F.struct(F.col("plain").alias("hash"), _slots("p").alias("slots")),
-                    F.struct(F.col("template").alias("hash"), _slots("t").alias("slots")),
+                    F.struct(F.col("plain").alias("hash"), _slots("p").alias("slots"), F.lit(not wide).alias("named")),
+                    F.struct(F.col("template").alias("hash"), _slots("t").alias("slots"), F.lit(True).alias("named")),
                 )
             )
         ).alias("form"),
     )
     literal = F.size(F.filter("form.slots", lambda s: ~s))
+    if wide:
+        counted = forms.where(literal >= LITERALS).groupBy("item").agg(
+            F.countDistinct("item_pos").alias("all"), F.countDistinct(F.when(F.col("form.named"), F.col("item_pos"))).alias("named")
+        )
+        enough = counted.where(2 * F.col("named") >= F.col("all"))
+        forms = forms.where("form.named").join(enough.select("item"), "item", "left_semi")
     return forms.where(literal >= LITERALS).select("form.hash", "item", "item_pos", "form.slots", "values")
 
 
@@ -157,7 +186,10 @@ def contaminated(
     own = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     asked = items.where(F.col(item).isNotNull()).select(F.col(item).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = benchmark_windows(items, item)
-    found = _shared(own, known, least)
+    found = pinned(_shared(own, known, least))
+    wider = _shared(own, benchmark_windows(items, item, wide=True), least, wide=True)
+    seen = found.select(F.col("id").alias("seen_id"), F.col("item").alias("seen_item"))
+    found = found.unionByName(wider.join(seen, F.col("id").eqNullSafe(F.col("seen_id")) & (F.col("item") == F.col("seen_item")), "left_anti"))
     whole = _whole(own, asked, known)
     if whole is not None:
         one = F.lit(1).cast("bigint")
@@ -165,16 +197,18 @@ def contaminated(
     return found.select(*named)
 
 
-def _shared(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
+def _shared(own: DataFrame, known: DataFrame, least: float, wide: bool = False) -> DataFrame:
     """Items of which ``least`` of the windows are in a document: id, item, n_found, n_windows, share, reworded."""
     sizes = known.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
     bits = _bits(known).scalar()
-    passed = _windows(own).where(_may_hold(bits, F.col("plain")) | _may_hold(bits, F.col("template")))
+    forms = ["template"] if wide else ["plain", "template"]
+    held = reduce(or_, [_may_hold(bits, F.col(f)) for f in forms])
+    passed = _windows(own, wide).where(held)
     asked = passed.select(
         "id",
         "pos",
         F.slice("words", F.col("pos") + 1, WORDS).alias("said"),
-        F.explode(F.array_distinct(F.array("plain", "template"))).alias("hash"),
+        F.explode(F.array_distinct(F.array(*forms))).alias("hash"),
     )
     found = asked.join(known, "hash")
     found = pinned(found.select("id", "pos", "said", "item", "item_pos", "slots", "values")).withColumns(

@@ -332,6 +332,25 @@ def test_decontamination_finds_short_and_number_heavy_items(spark):
     assert {(r["share"], r["reworded"]) for r in got} == {(1.0, False)}
 
 
+def test_decontamination_catches_names_and_numbers_anywhere(spark):
+    asked = [
+        "Weng earns 12 dollars an hour for babysitting. Yesterday, Weng did 50 minutes of babysitting. Weng also cleaned the house after that, how much did Weng earn?",
+        "Tom has 5 apples. Tom buys 3 more of them at the shop. Mary takes 2 apples from him now. How many are left?",
+        "A bag that holds 5kg of rice costs 1,050 cents in the shop, how much are 3kg of the same rice then?",
+    ]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
+    texts = [
+        (0, asked[0].replace("Weng", "Alice").replace("12", "12.50").replace("50 min", "1,050 min")),
+        (1, asked[1].replace("Tom", "Anna").replace("Mary", "Peter")),
+        (2, asked[2].replace("5kg", "7 kg").replace("1,050", "99").replace("3kg", "4 kg")),
+        (3, asked[1].replace("Tom has", "Anna has")),  # one name, two values
+        (4, "Anna has 5 apples. How many are left?"),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] != 3} == {(0, 0), (1, 1), (2, 2)}
+    assert all(r["reworded"] for r in got if r["doc_id"] < 3)
+
+
 def test_warc_reads_back_what_was_selected(spark, none):
     pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "http://c", None), (5, "http://d", ""), (4, "http://e", "ü\r\n\r\nx" * 50000), (None, "f", "alone")]
     table = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, digest string")
