@@ -1,14 +1,16 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a white-space token that holds a run of at least LEAST characters of a key alphabet
-with a digit. Its features are length, character transitions, dictionary coverage (share of its
+A candidate is a run of at least LEAST characters of a key alphabet, with a digit, in a white-space
+token; each run of a token is one, told apart by ``run``. Its features are length, character transitions, dictionary coverage (share of its
 letters in runs that are frequent words of the corpus), path shape, and the two words before it and
 the one after. A random forest trained on labelled findings scores each candidate. Everything is
 DataFrame functions and Spark's own forest.
 
 At most ``sample`` labelled findings are fitted (a documented bound). Null and empty texts hold no
-candidate; without findings of both labels each candidate gets the score of the only label, or 0;
-repeated rows are each reported.
+candidate; without findings of both labels each candidate gets the score of the only label, or 0, if
+findings are given;
+repeated rows are each reported. Without findings at all, built-in rules label the candidates, and stand
+in for the forest if they give one label only.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ _RUN = r"[A-Za-z0-9+/_=\-]{16,}"
 #: Words that stand before a credential.
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private|key)"
 
+_LOGIN = rf"(?i)://[^/@]*:[^/@]+@|://.*[?&;#][^=&]*{KEY_WORDS[4:]}[^=&]*="
+_MAIL = r"^[^A-Za-z0-9]*[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+[^A-Za-z0-9]*$"
+
 FEATURES = [
     "length", "digits", "upper", "lower", "signs", "hex", "transitions", "distinct", "slashes", "dots", "at", "scheme",
     "quoted", "coverage", "key_word", "assigned", "before_length", "after_length",
@@ -39,14 +44,19 @@ def _word(tokens: Column, at: Column) -> Column:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, pos, token, value, before, earlier, after): one row per candidate of each row."""
+    """(id, pos, run, token, value, lead, before, earlier, after): one row per candidate of each row.
+
+    ``lead`` is what stands in the token between the run and the start of the run before it.
+    """
     own = keyed(docs, key, text).withColumn("tokens", F.split(F.trim("text"), r"[ \t\n\r\x0b\f]+"))
     each = own.select("id", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    shaped = each.where((F.length("token") >= LEAST) & F.col("token").rlike(_RUN)).withColumn(
-        "value", F.regexp_extract("token", _RUN, 0)
+    shaped = each.where((F.length("token") >= LEAST) & F.col("token").rlike(_RUN)).withColumns(
+        {"runs": F.regexp_extract_all("token", F.lit(f"({_RUN})"), 1), "between": F.split("token", _RUN)}
     )
-    return shaped.where(F.col("value").rlike("[0-9]")).select(
-        "id", "pos", "token", "value",
+    split = shaped.select("*", F.posexplode("runs").alias("run", "value"))
+    return split.where(F.col("value").rlike("[0-9]")).select(
+        "id", "pos", "run", "token", "value",
+        F.concat(F.when(F.col("run") > 0, F.get("runs", F.col("run") - 1)).otherwise(""), F.get("between", F.col("run"))).alias("lead"),
         _word(F.col("tokens"), F.col("pos") - 1).alias("before"),
         _word(F.col("tokens"), F.col("pos") - 2).alias("earlier"),
         _word(F.col("tokens"), F.col("pos") + 1).alias("after"),
@@ -72,6 +82,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     covered = runs.join(F.broadcast(words), "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), "[^0aA]", "-")
     joined = found.join(covered, "value", "left")
+    first = F.col("run") == 0
     made = {
         "length": F.length("value"),
         "digits": _share("[^0-9]"),
@@ -85,23 +96,26 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "dots": F.length("token") - F.length(F.translate("token", ".", "")),
         "at": F.col("token").contains("@"),
         "scheme": F.col("token").contains("://"),
-        "quoted": F.col("token").rlike("^[\"'`]"),
+        "quoted": (first & F.col("token").rlike("^[\"'`]")) | F.col("lead").rlike("[\"'`]$"),
         "coverage": F.coalesce("covered", F.lit(0)) / F.length("value"),
-        "key_word": F.concat_ws(" ", "earlier", "before").rlike(KEY_WORDS) | F.col("token").rlike(KEY_WORDS + "[\"']?[=:]"),
-        "assigned": F.col("before").rlike("[=:]$") | F.col("token").rlike("^[A-Za-z_]+[\"']?[=:]"),
+        "key_word": (first & F.concat_ws(" ", "earlier", "before").rlike(KEY_WORDS)) | F.concat("lead", "value").rlike(KEY_WORDS + "[\"']?[=:]"),
+        "assigned": (first & F.col("before").rlike("[=:]$")) | F.col("lead").rlike("[=:][\"'`]?$") | F.col("value").rlike("^[A-Za-z_]+="),
         "before_length": F.length("before"),
         "after_length": F.length("after"),
     }
     return joined.withColumns({name: column.cast("double") for name, column in made.items()}).drop("covered")
 
 
-def scored(found: DataFrame, findings: DataFrame, sample: int = SAMPLE, trees: int = 20) -> DataFrame:
-    """Add ``score`` to candidates with features; ``findings`` are such rows with ``secret`` (boolean)."""
-    labelled = findings.where(F.col("secret").isNotNull()).orderBy(F.xxhash64("value", "id", "pos"), "value", "id", "pos").limit(sample)
+def scored(found: DataFrame, findings: DataFrame, sample: int = SAMPLE, trees: int = 20, rule: Column | None = None) -> DataFrame:
+    """Add ``score`` to candidates with features; ``findings`` are such rows with ``secret`` (boolean).
+
+    With one label only, ``rule`` (boolean) decides each candidate, or else the label.
+    """
+    labelled = findings.where(F.col("secret").isNotNull()).orderBy(F.xxhash64("value", "id", "pos", "run"), "value", "id", "pos", "run").limit(sample)
     fitted = pinned(labelled.select(*FEATURES, F.col("secret").cast("double").alias("label")))
     kinds = [row[0] for row in fitted.select("label").distinct().collect()]
     if len(kinds) < 2:
-        return found.withColumn("score", F.lit(float(kinds[0]) if kinds else 0.0))
+        return found.withColumn("score", F.lit(float(kinds[0]) if kinds else 0.0) if rule is None else rule.cast("double"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="vector")
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=8, seed=11)
     model = forest.fit(assembler.transform(fitted))
@@ -110,19 +124,24 @@ def scored(found: DataFrame, findings: DataFrame, sample: int = SAMPLE, trees: i
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """(key, pos, value_sha256, score, secret) of every candidate of every row.
+    """(key, pos, run, value_sha256, score, secret) of every candidate of every row.
 
-    ``findings``: (id, pos, secret) of labelled candidates; without them, candidates that are quoted
-    after an assigned key word count as secrets and those of digits alone, of mail addresses and of
-    URLs as false positives, and only those two kinds are trained on.
+    ``findings``: (id, pos, secret) of labelled candidates, and run where a token has several; without
+    them, candidates assigned after a key word, quoted or not, count as secrets, and those of digits
+    alone, of mail addresses and of URLs as false positives, and only those two kinds are trained on.
+    URLs with a password or a key parameter get no label.
     """
     made = pinned(with_features(candidates(docs, key, text), dictionary(docs, text)))
     if findings is None:
-        sure = (F.col("key_word") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
-        other = (F.col("digits") == 1) | (F.col("at") == 1) | (F.col("scheme") == 1)
-        labelled = made.withColumn("secret", F.when(sure, True).when(other, False))
+        login = F.col("token").rlike(_LOGIN)
+        sure = (F.col("key_word") == 1) & (F.col("assigned") == 1)
+        other = (F.col("digits") == 1) | F.col("token").rlike(_MAIL) | (F.col("scheme") == 1)
+        labelled = made.withColumn("secret", F.when(login, None).when(sure, True).when(other, False))
+        judged = scored(made, labelled, rule=sure | login)
     else:
-        labelled = made.join(findings.select("id", "pos", "secret"), ["id", "pos"])
-    return scored(made, labelled).select(
-        F.col("id").alias(key), "pos", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= least).alias("secret")
+        on = [c for c in ("id", "pos", "run") if c in findings.columns]
+        labelled = made.join(findings.select(*on, "secret"), on)
+        judged = scored(made, labelled)
+    return judged.select(
+        F.col("id").alias(key), "pos", "run", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= least).alias("secret")
     )
