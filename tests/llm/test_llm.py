@@ -125,6 +125,13 @@ def test_secrets_sees_each_run_of_a_token(spark):
     assert {r["value"]: (r["key_word"], r["assigned"], r["quoted"]) for r in made} == {other: (0, 1, 1), key: (1, 1, 1)}
 
 
+def test_secrets_with_one_kind_of_label(spark):
+    key = "4eC39HqLyjWDarjt5xYz7890"
+    texts = [f"API_KEY={key}", f"the token: {key} of it", f"see postgres://user:{key}@db.example/x now", "nothing abcdefgh12345678ijkl here"]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["secret"] for r in found} == {0: True, 1: True, 2: True, 3: False}
+
+
 def brute_components(pairs, words, percent):
     sets = {}
     for key, text in pairs:
