@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairforge.session import pinned, shared_path
 
-__all__ = ["arrow_map", "fold", "keyed", "pinned", "sampled", "shared_path", "slices", "texts_of", "words_of"]
+__all__ = ["arrow_map", "fold", "keyed", "pinned", "sampled", "shared_path", "slices", "texts_of", "with_row", "words_of"]
 
 
 def keyed(rows: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
@@ -19,6 +19,11 @@ def keyed(rows: DataFrame, key: str = "doc_id", text: str = "text", *more: Colum
     return rows.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
+def with_row(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with a unique number each, stored, so that it stays the same wherever they are read."""
+    return pinned(rows.withColumn(name, F.monotonically_increasing_id()))
+
+
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts

@@ -35,7 +35,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import pinned
+from pairforge.llm.common import pinned, with_row
 
 WORDS = 5
 LITERALS = 3
@@ -243,5 +243,7 @@ def _shared(own: DataFrame, known: DataFrame, least: float, wide: bool = False)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """The documents in which no item is found, with their own columns."""
-    found = contaminated(docs, items, key, text, least=least).select(F.col(key).alias("found")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["found"]), "left_anti")
+    # Each row is a document of its own: keys may be null or repeated. Ids are written before use, so retries agree.
+    rows = with_row(docs, "_row")
+    found = contaminated(rows.select("_row", text), items, "_row", text, least=least).select(F.col("_row").alias("found")).distinct()
+    return rows.join(found, rows["_row"] == found["found"], "left_anti").drop("_row")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import arrow_map, keyed, mixed, pinned, slices, texts_of, words_of
+from pairforge.llm.common import arrow_map, keyed, mixed, pinned, slices, texts_of, with_row, words_of
 from pairforge.llm.components import components
 
 ORDERS = 3
@@ -400,7 +400,14 @@ def linked(
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their component, with their own columns: one of each group stays."""
-    found = linked(docs, key, text, words, percent)
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    """The documents with the smallest key of their component, with their own columns: one of each group stays.
+
+    Rows are dropped one by one: others with the same key stay. Rows with a null key are all kept; of
+    equal keys in a component one row stays.
+    """
+    rows = with_row(docs, "_row")
+    # Null keys come last, so they name a component only if all its keys are null.
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row")
+    found = linked(rows.select(place.alias("place"), text), "place", text, words, percent)
+    gone = found.where((F.col("place") != F.col("component_id")) & ~F.col("place.none")).select(F.col("place._row").alias("gone"))
+    return rows.join(gone, rows["_row"] == gone["gone"], "left_anti").drop("_row")

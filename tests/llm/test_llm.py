@@ -179,6 +179,16 @@ def test_ngram_join_edge_cases(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 7}
 
 
+def test_rows_are_dropped_one_by_one(spark):
+    question = "every morning the old farmer sells twelve apples and some pears to each of his neighbours before going home"
+    other, third = "a text of its own that holds nothing which any other text of this table has in it", "und noch ein ganz anderer Text der mit keinem weiteren etwas teilt oder zu tun hat"
+    rows = [(1, question), (2, question), (2, other), (None, third), (None, question), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, question)], "item_id bigint, text string")
+    assert collections.Counter(rows_of(ngram_join.keep_first(docs))) == collections.Counter(r for r in rows if r != (2, question))
+    assert collections.Counter(rows_of(decontaminate.drop_contaminated(docs, items))) == collections.Counter(r for r in rows if r[1] != question)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(5, 5), (50, 51), (51, 50), (None, 3)]
     got = dict(rows_of(components.components(spark.createDataFrame(edges, "a bigint, b bigint"))))
