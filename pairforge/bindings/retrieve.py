@@ -48,8 +48,8 @@ def _train(spark, sf):
 
 @query(
     "D11_shot_blocks",
-    f"""WITH {_SHOT_CTE} SELECT query_id, 'Examples:' || chr(10) || string_agg(text, '' ORDER BY rank) AS few_shots
-  FROM shots WHERE rank <= 3 GROUP BY query_id""",
+    f"""WITH {_SHOT_CTE} SELECT query_id, 'Examples:' || chr(10) || coalesce(string_agg(text, '' ORDER BY rank), '') AS few_shots
+  FROM ranked LEFT JOIN shots USING (query_id, rank) WHERE rank <= 3 GROUP BY query_id""",
 )
 def shot_blocks(spark, sf):
     return rt.shot_blocks(ranked(spark, sf), _train(spark, sf), 3)
