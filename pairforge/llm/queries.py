@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, decontaminate, exact, langid, lm, ngram_join, quality, secrets, urls, warc
+from pairforge.functions.binding import bind
+from pairforge.llm import alignment, bpe, decontaminate, exact, langid, lm, ngram_join, quality, runs, secrets, urls, warc
 from pairforge.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +202,37 @@ SELECT page_id, host, path, rule, CASE WHEN coalesce(accepted, {bin_} >= coalesc
 @_query("op10_url_filter", _sql_verdict())
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"), URL_RULES).drop("score")
+
+
+@_query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = alignment.Models.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.scored(_table(spark, sf_dir, "documents"), models)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by crc32 of its id is made periodic from some word on, as the contract says."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g = F.expr("h div 10")
+
+    def periodic(w):
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(w, place(i).cast("int"))), " ")
+
+    marked = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    made = F.when(F.col("h") % 10 == 0, bind(words, lambda w: F.when(F.size(w) > 0, periodic(w)))).otherwise(F.col("text"))
+    return marked.select("doc_id", made.alias("text"))
+
+
+@_query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
