@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.binding import bind
-from pairforge.llm import alignment, bpe, decontaminate, exact, langid, lm, ngram_join, quality, runs, secrets, urls, warc
+from pairforge.llm import alignment, bpe, decontaminate, exact, langid, lm, ngram_join, quality, runs, secrets, suffixes, urls, warc
 from pairforge.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,6 +204,14 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"), URL_RULES).drop("score")
 
 
+@_query("op11_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats_removed(_table(spark, sf_dir, "documents"), least=50).select(
+        "doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["length"]).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @_query("op12_tokenizer_alignment")
 def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = alignment.Models.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
