@@ -25,10 +25,12 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,15 @@ from pairforge.llm.common import arrow_map, keyed, shared_path, slices, texts_of
 FREQUENT = 1 << 18
 #: Pairs a task counts before it hands them on.
 HELD = 1 << 20
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Links a task looks at in one piece.
+SLICE_LINKS = 500_000
+#: Pre-tokens whose ids a worker remembers.
+REMEMBERED = 200_000
+#: How the byte-level BPE cuts a text before merging. Which signs are letters, numbers or blanks depends on
+#: the Unicode version of the library, so only texts of signs that never changed are cut here.
+PRE_TOKENS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
 
 
 @dataclass(frozen=True)
@@ -71,10 +81,14 @@ class Tokenizers:
     def __init__(self, models: Models):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.first = Tokenizer.from_buffer(models.first)
-        self.first.encode_special_tokens = True
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.first, uncut = Tokenizer.from_buffer(models.first), Tokenizer.from_buffer(models.first)
+        self.first.encode_special_tokens = uncut.encode_special_tokens = True
+        cuts = isinstance(uncut.pre_tokenizer, pre_tokenizers.ByteLevel) and uncut.pre_tokenizer.use_regex and not uncut.pre_tokenizer.add_prefix_space
+        uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.uncut = uncut if cuts and uncut.normalizer is None else None
+        self.known: dict[str, list[int]] = {}
         self.second = sentencepiece.SentencePieceProcessor(model_proto=models.second)
         signs = _byte_signs()
         sizes = self.first.get_vocab_size(), self.second.get_piece_size()
@@ -91,7 +105,19 @@ class Tokenizers:
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        a = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        cut = [PRE_TOKENS.findall(" " + t) if self.uncut and SETTLED.fullmatch(t) else None for t in texts]
+        seen = set(chain.from_iterable(tokens for tokens in cut if tokens))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        missing = list(seen - self.known.keys())
+        if missing:
+            self.known.update(zip(missing, [e.ids for e in self.uncut.encode_batch_fast(missing, add_special_tokens=False)], strict=True))
+        a = [
+            list(chain.from_iterable(map(self.known.__getitem__, tokens)))
+            if tokens is not None
+            else self.first.encode(" " + text, add_special_tokens=False).ids
+            for text, tokens in zip(texts, cut, strict=True)
+        ]
         b = self.second.encode(texts, num_threads=1)
         return pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))
 
@@ -188,8 +214,15 @@ def _partial_counts(batches):
     def folded() -> pa.Table:
         return pa.concat_tables(held).group_by("code", use_threads=False).aggregate([("n", "sum")]).rename_columns(["code", "n"])
 
-    for batch in batches:
-        lists = batch.column("links")
+    def slices_of(lists: pa.ListArray):
+        """Rows of about SLICE_LINKS links, one at least."""
+        ends, begin = lists.offsets.to_numpy(), 0
+        while begin < len(lists):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_LINKS)))
+            yield lists.slice(begin, min(end, len(lists)) - begin)
+            begin = end
+
+    for lists in chain.from_iterable(slices_of(batch.column("links")) for batch in batches):
         pairs = pa.table({"row": pc.list_parent_indices(lists), "code": pc.list_flatten(lists)})
         each = pairs.group_by(["row", "code"], use_threads=False).aggregate([])
         held.append(each.group_by("code", use_threads=False).aggregate([("row", "count")]).rename_columns(["code", "n"]))

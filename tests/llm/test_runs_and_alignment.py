@@ -162,3 +162,13 @@ def test_alignment_edge_cases(spark, odd, none):  # noqa: F811
     assert all(r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"] for r in got)
     assert alignment.scored(none, models).count() == 0
     assert len(LONG) > 100_000
+
+
+def test_remembered_pre_tokens_give_the_ids_of_the_tokenizer():
+    tokenizers = alignment.Tokenizers(alignment.Models.read(A, B))
+    draw = random.Random(5)
+    signs = [" ", "  ", "\n", "\t", "\r", "'ll", "'s", "'", "a", "É", "ß", "x1", "22", "½", "²", "ª", "…", "—", "«", "漢", "あ", "ж", "Ω", "<|endoftext|>", ".", ",", "__", "\x00", "\x1f", "\xa0", " ", "😀", "ⅷ"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(1, 30))) for _ in range(3000)]
+    assert 100 < sum(bool(alignment.SETTLED.fullmatch(t)) for t in texts) < 2900
+    ids, _ = tokenizers.encode(texts)
+    assert ids.to_pylist() == [tokenizers.first.encode(" " + t, add_special_tokens=False).ids for t in texts]
