@@ -35,17 +35,24 @@ def json_arrays(spark, sf):
 
     both = F.array(record("url", "html", "string(page_id)"), record("'second ' || page_id", "''", "''"))
     path = shared_path(spark, "arrays")
-    table(spark, sf, "pages").select(F.to_json(both).alias("value")).write.text(path)
-    rows = rd.json_array_texts(spark.read.text(path), rd.RAW_QUERY)
-    return rows.select("query", F.inline("metadata"))
+    wr.write_json_arrays(table(spark, sf, "pages").select(F.inline(both)), path)
+    return rd.json_records(spark, path, rd.RAW_QUERY).select("query", F.inline("metadata"))
+
+
+@query("S3_columnar_json", "SELECT p_partkey AS idx, p_name AS query, p_type AS context, p_retailprice::VARCHAR AS price FROM part")
+def columnar_json(spark, sf):
+    path = shared_path(spark, "columns")
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS idx", "p_name AS query", "p_type AS context", "p_retailprice AS price")
+    wr.write_columnar_json(rows, path, "idx")
+    return rd.columnar_json(spark, path, ["query", "context", "price"]).drop("doc")
 
 
 @query(
-    "S3_columnar_json",
+    "S3_columnar_texts",
     """SELECT p_partkey AS doc, 0::BIGINT AS idx, p_name AS query, '' AS context FROM part
   UNION ALL SELECT p_partkey, 1, p_brand, p_type FROM part""",
 )
-def columnar_json(spark, sf):
+def columnar_texts(spark, sf):
     cells = F.create_map(
         F.lit("query"), F.create_map(F.lit("0"), F.col("p_name"), F.lit("1"), F.col("p_brand")),
         F.lit("context"), F.create_map(F.lit("1"), F.col("p_type")),
@@ -64,10 +71,10 @@ def table_by_suffix(spark, sf):
     return orders.union(customers.withColumn("kind", F.lit("json")))
 
 
-@query("S5_csv_table", "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, '\"q\", ' || text AS text FROM conversations")
+@query("S5_csv_table", "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, '\"q\", ' || chr(10) || chr(10) || text || chr(10) AS text FROM conversations")
 def csv_table(spark, sf):
     path = shared_path(spark, "turns")
-    wr.write_csv(table(spark, sf, "conversations").selectExpr("conv_id", "turn", "'\"q\", ' || text AS text"), path)
+    wr.write_csv(table(spark, sf, "conversations").selectExpr("conv_id", "turn", "'\"q\", ' || char(10) || char(10) || text || char(10) AS text"), path)
     return rd.csv_table(spark, path)
 
 

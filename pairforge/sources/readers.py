@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairforge.sources import ranges
+
 RAW_QUERY = "query string, metadata array<struct<description:string,context:string>>"
 PAGE = "page_id bigint, title string, text string"
 
 
 def json_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Files that hold one JSON array of records. Read by schema: no inference pass."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that hold one JSON array of records. Read by schema, in byte ranges: one file is many tasks."""
+    return ranges.json_objects(spark, path, schema)
 
 
 def json_array_texts(docs: DataFrame, schema: str, text: str = "value") -> DataFrame:
@@ -33,13 +35,17 @@ def columnar_rows(docs: DataFrame, columns: list[str], text: str = "json") -> Da
     cells = docs.select("doc", F.explode(table).alias("column", "cells")).select(
         "doc", "column", F.explode("cells").alias("idx", "value")
     )
+    return _rows_of_cells(cells, columns)
+
+
+def _rows_of_cells(cells: DataFrame, columns: list[str]) -> DataFrame:
     wanted = [F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
     return cells.groupBy("doc", F.col("idx").cast("bigint").alias("idx")).agg(*wanted)
 
 
 def columnar_json(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("json"))
-    return columnar_rows(docs, columns)
+    """Files of column-oriented JSON to rows of (doc, idx, columns); ``doc`` is the file. Read in byte ranges."""
+    return _rows_of_cells(ranges.columnar_cells(spark, path), columns)
 
 
 def table_by_suffix(
@@ -58,11 +64,11 @@ def table_by_suffix(
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes; text columns unless a schema is given."""
-    reader = spark.read.options(
-        header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
-    return reader.csv(path) if schema is None else reader.schema(schema).csv(path)
+    """CSV with a header, quoted line breaks and doubled quotes; text columns unless a schema is given.
+
+    Read in byte ranges: one file is many tasks, whatever its cells hold.
+    """
+    return ranges.csv_records(spark, path, schema)
 
 
 def mapping_pairs(lines: DataFrame, text: str = "value") -> DataFrame:

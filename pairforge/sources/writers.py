@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,43 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, pretty: bool = True) -> None:
+    """Files that hold one JSON array each, a file per partition; ``pretty`` lets records run over lines."""
+    text = F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower()})
+
+    def framed(batches):
+        started = False
+        for batch in batches:
+            if batch.num_rows:
+                signs = pa.array(["," if started else "["] + [","] * (batch.num_rows - 1))
+                started = True
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(signs, batch.column("value"), "")], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if started else "[]"])], names=["value"])
+
+    df.select(text.alias("value")).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
+def write_columnar_json(df: DataFrame, path: str, index: str) -> None:
+    """Column-oriented JSON files, ``{column: {"<index>": value, …}, …}``, one object a partition, sorted by column on disk."""
+    value = lambda c: F.to_json(F.struct(F.col(c).cast("string").alias("v")), {"ignoreNullFields": "false"})
+    names = [c for c in df.columns if c != index]
+    cells = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), value(c).alias("cell")) for i, c in enumerate(names)])
+    rows = df.select(F.col(index).cast("string").alias("idx"), F.inline(cells)).sortWithinPartitions("ord")
+
+    def framed(batches):
+        last = None
+        for batch in batches:
+            lines = []
+            for column, idx, cell in zip(*(batch.column(c).to_pylist() for c in ("column", "idx", "cell")), strict=True):
+                opening = "," if column == last else f"{'{' if last is None else '},'}{json.dumps(column)}: {{"
+                lines.append(f"{opening}{json.dumps(idx)}: {cell[5:-1]}")
+                last = column
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if last is None else "}}"])], names=["value"])
+
+    rows.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
 def write_parquet(df: DataFrame, path: str, codec: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.option("compression", codec) if codec else writer).parquet(path)
