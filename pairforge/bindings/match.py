@@ -9,10 +9,12 @@ from pairforge.bindings import query
 from pairforge.bindings.inputs import sql_draw, table
 from pairforge.fixed_values import PUNCTUATION, SPECIAL_CHARACTERS, UNITS
 from pairforge.functions import similarity as sim
+from pairforge.functions.sampling import draw
 from pairforge.operators import match as mt
 from pairforge.operators import profile as pf
 from pairforge.operators import tables as tb
-from pairforge.session import pinned, spread
+from pairforge.plans import matching
+from pairforge.session import pinned, shared_path, spread
 
 # Catalog columns as SQL text of both engines: real columns, and some made from them for the rarer types.
 CATALOG = {
@@ -410,18 +412,131 @@ def masked_copies(spark, sf):
     return mt.masked_copies(mt.name_features(column_pairs(spark, sf))).select(*mt.PAIR, "name_edits", "masked")
 
 
+# A vector of a name or a cell is one of the given vectors, picked by hash.
+_VECTORS = 100
+
+
+def _vector_of(seed, *parts):
+    return (draw(seed, *parts) % _VECTORS).alias("vec_id")
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+
+def name_vectors(spark, sf):
+    """A vector of each normalised name of the catalog, one row per name."""
+    names = [c for columns in CATALOG.values() for c in columns]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select(mt.normalised_name(F.col("name")).alias("name")).distinct()
+    return rows.select("name", _vector_of(7, "name")).join(_vectors(spark, sf), "vec_id").drop("vec_id")
+
+
+def catalog_embeddings(spark, sf):
+    """Embeddings of the text columns: the mean over up to twenty of their different values."""
+    cells = catalog(spark, sf).where(tb.present(F.col("value")) & ~F.contains("column", F.lit("Unnamed:")))
+    types = pinned(pf.column_types(catalog(spark, sf)).where(pf.is_textual()).select("table", "column"))
+    # Only numbers of values cross the network, each once.
+    values = cells.join(F.broadcast(types), ["table", "column"]).select("table", "column", draw(3, "value").alias("id")).distinct()
+    picked = pf.sampled_cells(values, 20).withColumn("vec_id", F.col("id") % _VECTORS)
+    return pf.column_embeddings(picked.join(F.broadcast(_vectors(spark, sf).where(F.col("vec_id") < _VECTORS)), "vec_id"))
+
+
 def pair_features(spark, sf):
     """All 30 features of the catalog pairs, with their gold label."""
     labelled = mt.gold_labels(profiled_pairs(spark, sf), _mapping(spark))
-    rows = mt.name_features(mt.profile_differences(labelled)).withColumn("instance_cosine", F.lit(0.0))
+    rows = matching.features(labelled, name_vectors(spark, sf), catalog_embeddings(spark, sf))
     return rows.select(*mt.PAIR, "label", *mt.PAIR_FEATURES)
 
 
+_FEATURE_CTE = f"""{_PAIR_CTE}, vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+text_values AS (SELECT DISTINCT "table", "column", {sql_draw(3, 'value')} AS id FROM cells JOIN profiles USING ("table", "column")
+  WHERE {_PRESENT} AND (type = 'string' OR (mainly AND NOT strict))),
+text_picked AS (SELECT * FROM text_values QUALIFY row_number() OVER (PARTITION BY "table", "column" ORDER BY {sql_draw(0, 'id')}, id) <= 20),
+text_dims AS (SELECT "table", "column", unnest(v) AS x, generate_subscripts(v, 1) AS d FROM text_picked JOIN vectors ON vec_id = id % {_VECTORS}),
+text_vectors AS (SELECT "table", "column", list(x ORDER BY d) AS v FROM (SELECT "table", "column", d, avg(x) AS x FROM text_dims GROUP BY ALL) GROUP BY ALL),
+every_vector AS (SELECT p."table", p."column", coalesce(v, list_transform(range(64), lambda i: -999.0::DOUBLE)) AS v FROM profiles p LEFT JOIN text_vectors USING ("table", "column")),
+featured AS (SELECT p.*, {_LEFT} AS left_name, {_RIGHT} AS right_name, damerau_levenshtein({_LEFT}, {_RIGHT})::DOUBLE AS name_edits,
+    (contains({_LEFT}, {_RIGHT}) OR contains({_RIGHT}, {_LEFT}))::INT::DOUBLE AS name_contained,
+    list_cosine_similarity(x.v, y.v) AS name_cosine, list_cosine_similarity(a.v, b.v) AS instance_cosine
+  FROM labelled p JOIN every_vector a ON (a."table", a."column") = (left_table, left_column) JOIN every_vector b ON (b."table", b."column") = (right_table, right_column)
+  JOIN vectors x ON x.vec_id = {sql_draw(7, _LEFT)} % {_VECTORS} JOIN vectors y ON y.vec_id = {sql_draw(7, _RIGHT)} % {_VECTORS})"""
+
+
+@query(
+    "X17b_name_cosine",
+    f"WITH {_FEATURE_CTE} SELECT left_table, right_table, left_column, right_column, round(name_cosine, 6) AS name_cosine, name_edits, name_contained FROM featured",
+)
+def name_cosine(spark, sf):
+    rows = mt.name_features(column_pairs(spark, sf), name_vectors(spark, sf))
+    return rows.select(*mt.PAIR, F.round("name_cosine", 6).alias("name_cosine"), "name_edits", "name_contained")
+
+
+@query(
+    "X17d_catalog_similarity",
+    f"WITH {_FEATURE_CTE} SELECT left_table, right_table, left_column, right_column, round(instance_cosine, 6) AS instance_cosine FROM featured",
+)
+def catalog_similarity(spark, sf):
+    rows = mt.instance_similarity(column_pairs(spark, sf).select(*mt.PAIR), catalog_embeddings(spark, sf))
+    return rows.withColumn("instance_cosine", F.round("instance_cosine", 6))
+
+
+_KEPT_CTE = f"""{_FEATURE_CTE}, share AS (SELECT 3 * sum(label) / count(*) FILTER (WHERE label = 0) AS s FROM featured),
+kept AS (SELECT f.* FROM featured f, share WHERE label = 1 OR {sql_draw(200, 'left_table', 'right_table', 'left_column', 'right_column')} < s * pow(2.0, 60))"""
+
+
+@query("X16_balanced_overall", f"WITH {_KEPT_CTE} SELECT left_table, right_table, left_column, right_column, label FROM kept")
+def balanced_overall(spark, sf):
+    return mt.balanced_overall(_labelled(spark, sf), per_positive=3).select(*mt.PAIR, "label")
+
+
+@query(
+    "X17f_training_rows",
+    f"""WITH {_KEPT_CTE}, placed AS (SELECT *, row_number() OVER (PARTITION BY left_table, right_table ORDER BY left_column, right_column) - 1 AS place FROM kept)
+SELECT left_table, right_table, left_column, right_column, label, false AS masked, name_edits, round(name_cosine, 6) AS name_cosine, round(instance_cosine, 6) AS instance_cosine FROM placed
+  UNION ALL SELECT left_table, right_table, left_column, right_column, label, true, 12.0::DOUBLE, 0.2::DOUBLE, round(instance_cosine, 6) FROM placed WHERE place % 5 = 0""",
+)
+def training_rows(spark, sf):
+    rows = matching.training_rows(pair_features(spark, sf), per_positive=3)
+    return rows.select(*mt.PAIR, "label", "masked", "name_edits", F.round("name_cosine", 6).alias("name_cosine"), F.round("instance_cosine", 6).alias("instance_cosine"))
+
+
+# Members with given weights: their scores are plain arithmetic.
+_GIVEN = [
+    (0.4, {"": 1.5, "name_edits": -0.6, "name_contained": 1.0, "name_cosine": 0.5, "diff_is_string": -1.0, "diff_is_numeric": -0.5}),
+    (0.55, {"": -0.5, "name_edits": -0.1, "instance_cosine": 1.25, "diff_len_mean": -2.0, "diff_len_unique": -0.25}),
+    (0.5, {"": 0.25, "name_cosine": 2.0, "diff_digit_mean": -0.75, "diff_is_date": -2.0, "instance_cosine": -0.5}),
+]
+
+
+def _given_sql():
+    def value(f):
+        g = f.removeprefix("diff_")
+        return f"coalesce(abs(l_{g} - r_{g}) / nullif(l_{g} + r_{g} + 1e-8, 0), 0)" if f.startswith("diff_") else f
+
+    rows = [
+        f"SELECT *, {m} AS member, 1 / (1 + exp(-({w['']} + {' + '.join(f'{x} * {value(f)}' for f, x in w.items() if f)}))) AS score, {t} AS least FROM featured"
+        for m, (t, w) in enumerate(_GIVEN)
+    ]
+    return f"""WITH {_FEATURE_CTE}, told AS ({" UNION ALL ".join(rows)}),
+mixed AS (SELECT left_table, right_table, left_column, right_column, avg(score) AS score, (avg((score > least)::INT) > 0.5)::INT AS label FROM told GROUP BY ALL)
+SELECT left_table, right_table, left_column, right_column, round(score, 6) AS score, label, (label = 1
+    AND score = max(score) OVER (PARTITION BY left_table, right_table, left_column) AND score = max(score) OVER (PARTITION BY left_table, right_table, right_column))::INT AS predicted FROM mixed"""
+
+
+@query("X18_stored_members", _given_sql())
+def stored_members(spark, sf):
+    path = shared_path(spark, "members")
+    mt.save_members(spark, [mt.Member(t, weights=w) for t, w in _GIVEN], path)
+    return matching.matched(spark, pair_features(spark, sf).drop("label"), path).withColumn("score", F.round("score", 6))
+
+
 @query("X18_trained_matcher")
 def trained_matcher(spark, sf):
-    rows = pinned(pair_features(spark, sf))
-    models = mt.train_matchers(mt.balanced(rows), members=2)
-    return mt.combined(mt.predicted(rows.drop("label"), models))
+    """Members trained on two pairs of tables, stored, and loaded again for the others."""
+    rows, path = pinned(pair_features(spark, sf)), shared_path(spark, "members")
+    seen = F.col("left_table").isin("customer", "orders") & F.col("right_table").isin("supplier", "lineitem")
+    matching.train(spark, rows.where(seen), path)
+    return matching.matched(spark, rows.where(~seen).drop("label"), path)
 
 
 @query(

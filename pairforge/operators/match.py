@@ -6,11 +6,14 @@ formed by equal joins through a list of table pairs, never by a cross join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import similarity as sim
@@ -76,6 +79,18 @@ def balanced(labelled: DataFrame, per_positive: int = 9, seed: int = 200) -> Dat
     )
 
 
+def balanced_overall(labelled: DataFrame, per_positive: int = 9, seed: int = 200) -> DataFrame:
+    """All positives and a share of all negatives, by hash, so that a tenth is positive whatever one table pair holds.
+
+    The share is ``per_positive`` times the positives over the negatives, one number for all table pairs:
+    pairs of tables without a positive keep their share of the negatives. Without any positive nothing is left out.
+    """
+    counts = labelled.agg(F.sum("label").alias("_positives"), F.count_if(F.col("label") == 0).alias("_negatives"))
+    share = F.when(F.col("_positives") > 0, per_positive * F.col("_positives") / F.col("_negatives")).otherwise(1.0)
+    kept = (F.col("label") == 1) | (draw(seed, *PAIR) < share * 2.0**60)
+    return labelled.join(F.broadcast(counts), how="cross").where(kept).drop("_positives", "_negatives")
+
+
 def profile_differences(pairs: DataFrame) -> DataFrame:
     """|a-b| / (a+b+1e-8) for each profile feature."""
 
@@ -110,17 +125,27 @@ def name_features(pairs: DataFrame, name_vectors: DataFrame | None = None) -> Da
     return out.select("*", "_names.*").drop("_names", "_left", "_right", "_left_vector", "_right_vector")
 
 
-def instance_similarity(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Cosine of the two column embeddings; 0 when a column has none."""
+def instance_similarity(pairs: DataFrame, embeddings: DataFrame, constant: float | None = -999.0) -> DataFrame:
+    """Cosine of the two column embeddings.
+
+    Columns without one are columns that hold no text: they all have the same vector, ``constant`` in every
+    place, so that two of them are alike (1) and one of them is compared with the other's direction. With
+    ``constant=None`` a missing vector gives 0.
+    """
     for side in ("left", "right"):
         own = embeddings.select(
             F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"),
             F.col("embedding").alias(f"_{side}"),
         )
         pairs = pairs.join(own, [f"{side}_table", f"{side}_column"], "left")
-    return pairs.withColumn(
-        "instance_cosine", F.coalesce(sim.cosine(F.col("_left"), F.col("_right")), F.lit(0.0))
-    ).drop("_left", "_right")
+    left, right = F.col("_left"), F.col("_right")
+    cosine = sim.cosine(left, right)
+    if constant is not None:
+        one = F.coalesce(left, right)
+        total = F.aggregate(one, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+        against = F.try_divide(total, F.sqrt(sim.dot(one, one)) * F.sqrt(F.size(one))) * (1.0 if constant > 0 else -1.0)
+        cosine = F.when(one.isNull(), 1.0).when(left.isNull() | right.isNull(), against).otherwise(cosine)
+    return pairs.withColumn("instance_cosine", F.coalesce(cosine, F.lit(0.0))).drop("_left", "_right")
 
 
 def masked_copies(pairs: DataFrame, every: int = 5) -> DataFrame:
@@ -143,30 +168,98 @@ def rule_score(pairs: DataFrame) -> DataFrame:
 
 # --- classifier ----------------------------------------------------------------------------------
 
+def _fold(members: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64(*PAIR, F.lit(seed)), F.lit(members + 1))
+
+
 def train_matchers(labelled: DataFrame, members: int = 2, seed: int = 0, rounds: int = 5) -> list[PipelineModel]:
     """One boosted-tree model per member, each on its own hash share of the pairs left out."""
     models = []
     for m in range(members):
-        fold = F.pmod(F.xxhash64(*PAIR, F.lit(seed)), F.lit(members + 1))
         stages = [
             VectorAssembler(inputCols=PAIR_FEATURES, outputCol="features", handleInvalid="keep"),
             GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=3, seed=seed + m),
         ]
-        models.append(Pipeline(stages=stages).fit(labelled.where(fold != m)))
+        models.append(Pipeline(stages=stages).fit(labelled.where(_fold(members, seed) != m)))
     return models
 
 
+def left_out(labelled: DataFrame, member: int, members: int, seed: int = 0) -> DataFrame:
+    """The pairs that a member of :func:`train_matchers` has not seen."""
+    return labelled.where(_fold(members, seed) == member)
+
+
+def linear_weights(labelled: DataFrame, penalty: float = 0.01) -> dict[str, float]:
+    """Weights of a logistic member by feature, its constant under the empty name."""
+    assembled = VectorAssembler(inputCols=PAIR_FEATURES, outputCol="features", handleInvalid="keep").transform(labelled)
+    model = LogisticRegression(featuresCol="features", labelCol="label", regParam=penalty).fit(assembled)
+    return {**dict(zip(PAIR_FEATURES, map(float, model.coefficients), strict=True)), "": float(model.intercept)}
+
+
+@dataclass(frozen=True)
+class Member:
+    """A stored member: boosted trees, or the weights of a logistic score, and the score above which it says yes."""
+
+    threshold: float
+    trees: PipelineModel | None = None
+    weights: dict[str, float] | None = None
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """PAIR and ``score``. A logistic member is one expression; features it does not name count nothing."""
+        if self.trees is not None:
+            return self.trees.transform(pairs).select(*PAIR, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        terms = [F.col(f) * F.lit(w) for f, w in sorted(self.weights.items()) if f and w]
+        total = reduce(lambda a, b: a + b, terms, F.lit(self.weights.get("", 0.0)))
+        return pairs.select(*PAIR, (1 / (1 + F.exp(-total))).alias("score"))
+
+
+def best_threshold(scored: DataFrame, bins: int = 1000, default: float = 0.5) -> float:
+    """The threshold of best F1 of ``scored(score, label)``, in steps of 1/``bins``; the lowest among equals."""
+    bin_ = F.floor(F.col("score") * bins).cast("int").alias("bin")
+    counts = scored.groupBy(bin_).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
+    above = Window.orderBy(F.desc("bin"))  # at most bins + 1 rows
+    upto = counts.select("bin", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("said"), F.sum("p").over(Window.partitionBy()).alias("all"))
+    rated = upto.select("bin", F.try_divide(2.0 * F.col("tp"), F.col("said") + F.col("all")).alias("f1"))
+    best = rated.where("f1 > 0").orderBy(F.desc("f1"), "bin").first()
+    return default if best is None else max(0.0, best["bin"] / bins - 1e-9)
+
+
+def save_members(spark: SparkSession, members: list[Member], path: str) -> None:
+    """A folder with a saved pipeline per tree member, and tables of thresholds and weights."""
+    kinds = [(m, member.threshold, member.trees is not None) for m, member in enumerate(members)]
+    weights = [(m, f, w) for m, member in enumerate(members) for f, w in (member.weights or {}).items()]
+    for m, member in enumerate(members):
+        if member.trees is not None:
+            member.trees.write().overwrite().save(f"{path}/trees/{m}")
+    spark.createDataFrame(weights, "member int, feature string, weight double").write.mode("overwrite").parquet(f"{path}/weights")
+    spark.createDataFrame(kinds, "member int, threshold double, trees boolean").write.mode("overwrite").parquet(f"{path}/members")
+
+
+def load_members(spark: SparkSession, path: str) -> list[Member]:
+    """The members of a folder, in order. What is read is a row per member and feature."""
+    weights: dict[int, dict[str, float]] = {}
+    for m, feature, weight in spark.read.parquet(f"{path}/weights").collect():
+        weights.setdefault(m, {})[feature] = weight
+    rows = spark.read.parquet(f"{path}/members").orderBy("member").collect()
+    return [
+        Member(r["threshold"], PipelineModel.load(f"{path}/trees/{r['member']}") if r["trees"] else None, weights.get(r["member"]))
+        for r in rows
+    ]
+
+
+def said(pairs: DataFrame, members: list[Member], threshold: float | None = None) -> DataFrame:
+    """(PAIR, member, score, label) of every member; ``threshold`` overrides the stored ones."""
+    rows = [
+        m.scored(pairs).select(*PAIR, F.lit(i).alias("member"), "score", (F.col("score") > F.lit(m.threshold if threshold is None else threshold)).cast("int").alias("label"))
+        for i, m in enumerate(members)
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def predicted(pairs: DataFrame, models: list[PipelineModel], threshold: float | list[float] = 0.5) -> DataFrame:
     """Score and label of every pair by every member: label 1 when the score exceeds the threshold."""
     limits = threshold if isinstance(threshold, list) else [threshold] * len(models)
-    out = None
-    for m, (model, limit) in enumerate(zip(models, limits, strict=True)):
-        scored = model.transform(pairs).select(
-            *PAIR, F.lit(m).alias("member"), F.get(vector_to_array("probability"), F.lit(1)).alias("score")
-        )
-        rows = scored.withColumn("label", (F.col("score") > limit).cast("int"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return said(pairs, [Member(limit, trees=model) for model, limit in zip(models, limits, strict=True)])
 
 
 def combined(scores: DataFrame, pair: list[str] | None = None) -> DataFrame:

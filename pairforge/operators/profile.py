@@ -157,6 +157,11 @@ def column_types(values: DataFrame, by: list[str] | None = None) -> DataFrame:
     return _typed(_cells(values).select(*groups, *_tests()).groupBy(*groups).agg(*_shares()))
 
 
+def is_textual() -> Column:
+    """Whether a typed column is text, or only mainly numeric: it has character features and an embedding."""
+    return (F.col("type") == "string") | (~F.col("strict_numeric") & F.col("mainly_numeric"))
+
+
 def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame:
     """:func:`column_types` with all :data:`FEATURES`.
 
@@ -173,8 +178,7 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
         wanted = types.where(kind).select(*groups)
         return cells.join(F.broadcast(wanted) if few else wanted, groups)
 
-    numeric = F.col("type") == "numeric"
-    textual = (F.col("type") == "string") | (~F.col("strict_numeric") & F.col("mainly_numeric"))
+    numeric, textual = F.col("type") == "numeric", is_textual()
     numbers = cells_of(numeric).select(*groups, number(value).alias("_num")).groupBy(*groups).agg(*_stats("num", "_num"))
     shares = [ratio.alias(f"_{name}") for name, ratio in character_ratios(value).items()]
     characters = cells_of(textual).select(*groups, *shares).groupBy(*groups).agg(
@@ -189,6 +193,12 @@ def column_profiles(values: DataFrame, by: list[str] | None = None) -> DataFrame
     )
 
 
+def sampled_cells(cells: DataFrame, sample: int, by: list[str] | None = None, seed: int = 0, key: str = "id") -> DataFrame:
+    """Up to ``sample`` cells of each column, picked by hash of (key, seed)."""
+    order = Window.partitionBy(*(by or ["table"]), "column").orderBy(draw(seed, key), key)
+    return cells.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
+
+
 def column_embeddings(
     cells: DataFrame, by: list[str] | None = None, sample: int | None = None, seed: int = 0, key: str = "id"
 ) -> DataFrame:
@@ -198,10 +208,7 @@ def column_embeddings(
     task sends at most ``sample`` rows per column however many values the column has.
     """
     groups = [*(by or ["table"]), "column"]
-    picked = cells
-    if sample is not None:
-        order = Window.partitionBy(*groups).orderBy(draw(seed, key), key)
-        picked = cells.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
+    picked = cells if sample is None else sampled_cells(cells, sample, by, seed, key)
     dims = picked.select(*groups, F.posexplode("embedding").alias("dim", "x"))
     means = dims.groupBy(*groups, "dim").agg(F.avg("x").alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
