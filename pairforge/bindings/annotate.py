@@ -259,3 +259,25 @@ def subject_fill(spark, sf):
         .agg(F.max("s").alias("s"), F.max("o").alias("o"))
     )
     return an.complete_triples(triples).select("query_id", "pos", "s", "o")
+
+
+_PREDICATE = "CASE WHEN l_linenumber = 1 OR l_partkey % 3 = 0 THEN 'p' || l_suppkey % 7 END"
+
+
+@query(
+    "A17_predicate_fill",
+    f"""WITH t AS (SELECT l_orderkey % 5 AS query_id, l_orderkey * 1000 + l_linenumber * 100000000000 + l_partkey % 1000 AS pos, max({_SUBJECT}) AS s, max({_PREDICATE}) AS p,
+    max({_OBJECT}) AS o FROM lineitem GROUP BY ALL),
+filled AS (SELECT query_id, pos, o, last_value(s IGNORE NULLS) OVER w AS s, last_value(p IGNORE NULLS) OVER w AS p FROM t WINDOW w AS (PARTITION BY query_id ORDER BY pos))
+SELECT query_id, pos, s, p, o FROM filled WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL""",
+)
+def predicate_fill(spark, sf):
+    """Few keys of many rows each, at sparse positions."""
+    place = "l_orderkey * 1000 + l_linenumber * 100000000000 + l_partkey % 1000 AS pos"
+    triples = (
+        table(spark, sf, "lineitem")
+        .selectExpr("l_orderkey % 5 AS query_id", place, f"{_SUBJECT} AS s", f"{_PREDICATE} AS p", f"{_OBJECT} AS o")
+        .groupBy("query_id", "pos")
+        .agg(F.max("s").alias("s"), F.max("p").alias("p"), F.max("o").alias("o"))
+    )
+    return an.complete_triples(triples, fill=("s", "p")).select("query_id", "pos", "s", "p", "o")

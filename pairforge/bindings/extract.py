@@ -30,7 +30,7 @@ contexts AS (SELECT page_id, section_id, string_agg(chr(10) || heading || chr(10
 
 @query("E1_section_outline", f"WITH {WIKI_CTE} SELECT page_id, section_id, level, heading, text FROM outline")
 def section_outline(spark, sf):
-    return ex.sections(wiki_pages(spark, sf)).select("page_id", "section_id", "level", "heading", "text")
+    return ex.outline(wiki_pages(spark, sf))
 
 
 @query(
@@ -39,20 +39,20 @@ def section_outline(spark, sf):
   (length(split_part(trim(head), ' ', 1)) - length(replace(split_part(trim(head), ' ', 1), '=', '')))::INT AS level FROM sections""",
 )
 def first_word_levels(spark, sf):
-    return ex.sections(wiki_pages(spark, sf), level_rule="first_word").select("page_id", "section_id", "level")
+    return ex.outline(wiki_pages(spark, sf), level_rule="first_word").select("page_id", "section_id", "level")
 
 
 @query("E2_section_ancestry", f"WITH {_ROWS_CTE} SELECT page_id, section_id, path FROM contexts")
 def section_ancestry(spark, sf):
     step = lambda s: F.concat(s["level"].cast("string"), F.lit(":"), s["heading"])
-    return ex.sections(wiki_pages(spark, sf)).select(
+    return ex.ancestry(wiki_pages(spark, sf)).select(
         "page_id", "section_id", F.array_join(F.transform("path", step), " > ").alias("path")
     )
 
 
 @query("E3_template_queries", f"WITH {_ROWS_CTE} SELECT page_id, section_id, pos, query FROM template_rows")
 def template_queries(spark, sf):
-    return ex.template_queries(wiki_pages(spark, sf)).select("page_id", "section_id", "pos", "query")
+    return ex.template_rows(wiki_pages(spark, sf)).select("page_id", "section_id", "pos", "query")
 
 
 @query(
@@ -61,14 +61,14 @@ def template_queries(spark, sf):
 )
 def template_pairs(spark, sf):
     field = lambda name, sep: F.array_join(F.transform("pairs", lambda p: p[name]), sep)
-    return ex.template_queries(wiki_pages(spark, sf)).select(
+    return ex.template_rows(wiki_pages(spark, sf)).select(
         "page_id", "section_id", "pos", field("key", "|").alias("keys"), field("value", "\n").alias("vals")
     )
 
 
 @query("E5_residual_text", f"WITH {_ROWS_CTE} SELECT page_id, section_id, residual FROM residuals")
 def residual_text(spark, sf):
-    return ex.sections(wiki_pages(spark, sf)).select("page_id", "section_id", "residual")
+    return ex.residuals(wiki_pages(spark, sf)).select("page_id", "section_id", "residual")
 
 
 @query(
@@ -77,7 +77,7 @@ def residual_text(spark, sf):
   THEN array_to_string(list_slice(string_split_regex(text, '(?s){_TEMPLATE}'), 1, -2), '') ELSE '' END AS residual FROM sections""",
 )
 def residual_before_last(spark, sf):
-    return ex.sections(wiki_pages(spark, sf), keep_tail=False).select("page_id", "section_id", "residual")
+    return ex.residuals(wiki_pages(spark, sf), keep_tail=False).select("page_id", "section_id", "residual")
 
 
 @query(

@@ -103,7 +103,18 @@ def macro_f1(spark, sf):
   FROM orders_of JOIN lengths USING (id) GROUP BY id""",
 )
 def weighted_bleu(spark, sf):
-    return sc.weighted_bleu(turn_pairs(spark, sf)).withColumn("weighted_bleu", F.round("weighted_bleu", 6))
+    rows = sc.weighted_bleu(turn_pairs(spark, sf)).drop("plain_bleu")
+    return rows.withColumn("weighted_bleu", F.round("weighted_bleu", 6))
+
+
+@query(
+    "M7_plain_bleu",
+    f"""WITH {_gram_cte(_PLAIN_TEXT, 4)} SELECT id, CASE WHEN min(hits) = 0 OR min(c) = 0 THEN 0.0
+  ELSE round(exp(sum(ln(CASE WHEN hits > 0 THEN hits / c ELSE 1 END)) / 4) * any_value({_BREVITY}), 6) END::DOUBLE AS plain_bleu
+  FROM orders_of JOIN lengths USING (id) GROUP BY id""",
+)
+def plain_bleu(spark, sf):
+    return sc.weighted_bleu(turn_pairs(spark, sf)).select("id", F.round("plain_bleu", 6).alias("plain_bleu"))
 
 
 _SET_CTE = """members AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag AS side FROM lineitem WHERE l_returnflag IN ('R', 'N')),

@@ -42,9 +42,9 @@ def count_words_and_signs(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams, joined by blanks, in order; none for shorter texts."""
+    """All n-grams, joined by blanks, in order; none for shorter texts. ``tokens`` should be bound: it is named per n-gram."""
     if n == 1:
         return tokens
     count = F.size(tokens) - n + 1
     spots = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.transform(spots, lambda i: F.concat_ws(" ", *[F.element_at(tokens, i + k) for k in range(n)]))

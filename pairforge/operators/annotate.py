@@ -221,8 +221,11 @@ def prefix_usage(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode(used).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n_queries"))
 
 
-def complete_triples(triples: DataFrame) -> DataFrame:
-    """``triples(query_id, pos, s, o, …)`` with missing subjects taken from the statement before;
-    rows that still lack a part are dropped."""
+def complete_triples(triples: DataFrame, fill: tuple[str, ...] = ("s",)) -> DataFrame:
+    """``triples(query_id, pos, s, o, …)`` with missing parts taken from the statement before;
+    rows that still lack a part are dropped.
+
+    A subject is left out behind ``;``. With ``fill=("s", "p")`` the predicate left out behind ``,`` is filled too.
+    """
     parts = [c for c in ("s", "p", "o") if c in triples.columns]
-    return forward_fill(triples, "query_id", "pos", "s").dropna(subset=parts)
+    return forward_fill(triples, "query_id", "pos", list(fill)).dropna(subset=parts)

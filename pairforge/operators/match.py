@@ -85,10 +85,9 @@ def balanced_overall(labelled: DataFrame, per_positive: int = 9, seed: int = 200
     The share is ``per_positive`` times the positives over the negatives, one number for all table pairs:
     pairs of tables without a positive keep their share of the negatives. Without any positive nothing is left out.
     """
-    counts = labelled.agg(F.sum("label").alias("_positives"), F.count_if(F.col("label") == 0).alias("_negatives"))
-    share = F.when(F.col("_positives") > 0, per_positive * F.col("_positives") / F.col("_negatives")).otherwise(1.0)
-    kept = (F.col("label") == 1) | (draw(seed, *PAIR) < share * 2.0**60)
-    return labelled.join(F.broadcast(counts), how="cross").where(kept).drop("_positives", "_negatives")
+    positives, negatives = F.sum("label"), F.count_if(F.col("label") == 0)
+    share = labelled.agg(F.when(positives > 0, per_positive * positives / negatives).otherwise(1.0))
+    return labelled.where((F.col("label") == 1) | (draw(seed, *PAIR) < share.scalar() * 2.0**60))
 
 
 def profile_differences(pairs: DataFrame) -> DataFrame:

@@ -60,22 +60,25 @@ def running_total(
     )
 
 
-def forward_fill(df: DataFrame, key: str, pos: str, value: str, chunk_rows: int = 65536) -> DataFrame:
-    """Fill nulls in ``value`` from the last earlier row of the same key.
+def forward_fill(df: DataFrame, key: str, pos: str, values: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Fill nulls in ``values`` from the last earlier row of the same key; positions are unique in a key.
 
-    A key is cut into chunks of ``chunk_rows`` positions, so that no task holds a whole hot key;
-    the last value of each chunk is carried over by a window on one row per (key, chunk).
+    A carry scan: rows are range-partitioned by (key, pos), so that a hot key is cut by its ranks however
+    sparse its positions are, filled inside each part, and each part of a key hands its last values on to
+    the key's next one. Parts are pinned, as both steps must see the same ones. A key has at most a row per
+    range partition in the window over parts.
     """
-    cut = df.withColumn("_cut", F.floor(F.col(pos) / chunk_rows))
-    ends = cut.groupBy(key, "_cut").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias("_end")
-    )
-    earlier = Window.partitionBy(key).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(key, "_cut", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    upto = Window.partitionBy(key, "_cut").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        cut.withColumn("_filled", F.last(value, ignorenulls=True).over(upto))
-        .join(carried, [key, "_cut"])
-        .withColumn(value, F.coalesce("_filled", "_carry"))
-        .drop("_cut", "_filled", "_carry")
+    names = [values] if isinstance(values, str) else values
+    order = [F.col(key), F.col(pos)]
+    cut = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    parts = pinned(cut.withColumn("_part", F.spark_partition_id()))
+    ends = parts.groupBy(key, "_part").agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(pos))).alias(f"_end_{v}") for v in names]
     )
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_part", *[F.last(f"_end_{v}", ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in names])
+    upto = Window.partitionBy(key, "_part").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    filled = parts.withColumns({f"_filled_{v}": F.last(v, ignorenulls=True).over(upto) for v in names})
+    matched = filled.alias("f").join(carried.alias("c"), F.col(f"f.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col("f._part") == F.col("c._part")))
+    rest = {v: F.coalesce(f"_filled_{v}", f"_carry_{v}").alias(v) for v in names}
+    return matched.select(*[rest.get(c, F.col(f"f.{c}")) for c in df.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.fixed_values import QUERY_KEYWORDS
 from pairforge.functions import ngrams as ng
+from pairforge.functions.binding import bind
 from pairforge.functions.sampling import draw
 from pairforge.functions.similarity import rouge_l
 from pairforge.functions.text import round_significant
@@ -21,40 +22,51 @@ def aligned(targets: DataFrame, generated: DataFrame, key: str = "id") -> DataFr
 
 # --- n-gram overlap ----------------------------------------------------------------------------
 
+def _matches(reference: Column, candidate: Column, weight=None) -> Column:
+    """Clipped matches of two gram arrays: equal grams stand together after a sort, those of the reference
+    first; each one of the candidate uses one of them up. One pass, whatever repeats."""
+    side = lambda grams, n: F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(n).alias("side")))
+    unit = weight or (lambda _: F.lit(1.0))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(acc["gram"] == x["gram"], acc["left"]).otherwise(0)
+        hit = (x["side"] == 1) & (left > 0)
+        return F.struct(
+            x["gram"].alias("gram"),
+            F.when(x["side"] == 0, left + 1).otherwise(F.greatest(left - 1, F.lit(0))).alias("left"),
+            F.when(hit, acc["found"] + unit(x["gram"])).otherwise(acc["found"]).alias("found"),
+        )
+
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("left"), F.lit(0.0).alias("found"))
+    return F.aggregate(F.array_sort(F.concat(side(reference, 0), side(candidate, 1))), start, step, lambda acc: acc["found"])
+
+
 def ngram_overlap(
     pairs: DataFrame, reference: Column, candidate: Column, max_n: int, key: str = "id", weight=None
 ) -> DataFrame:
     """Per pair and order n: clipped matches ``match_n`` and sizes ``ref_n``, ``can_n``.
 
-    Pairs are spread by their unique key once, as token arrays. The n-grams are exploded after that
-    shuffle and both groupings contain the key, so they run where the pair already is: n-grams never
-    cross the network. ``weight`` maps a unigram Column to its weight (default 1).
+    A narrow step: both texts are in one row and their n-grams are sorted inside it. ``weight`` maps a
+    unigram Column to its weight and adds ``weighted_match_1`` and ``weight_1``. Null texts have no tokens.
     """
-    spread = pairs.select(key, reference.alias("_ref"), candidate.alias("_can")).repartition(key)
 
-    def grams(tokens: str, n: int, side: int) -> Column:
-        return F.transform(
-            ng.ngrams(F.col(tokens), n),
-            lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(side).alias("side")),
-        )
-
-    every = F.concat(*[grams(t, n, side) for n in range(1, max_n + 1) for t, side in (("_ref", 0), ("_can", 1))])
-    counted = (
-        spread.select(key, F.inline_outer(every))
-        .groupBy(key, "n", "gram")
-        .agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    )
-    unit = weight(F.col("gram")) if weight else F.lit(1)
-    sums = {}
-    for n in range(1, max_n + 1):
-        here = F.col("n") == n
-        w = unit if n == 1 else F.lit(1)
-        sums[f"match_{n}"] = F.sum(F.when(here, F.least("r", "c") * w).otherwise(0))
-        sums[f"ref_{n}"] = F.sum(F.when(here, F.col("r")).otherwise(0))
-        sums[f"can_{n}"] = F.sum(F.when(here, F.col("c")).otherwise(0))
-        if n == 1 and weight:
-            sums["weight_1"] = F.sum(F.when(here, F.col("c") * w).otherwise(0))
-    return counted.groupBy(key).agg(*[v.alias(k) for k, v in sums.items()])
+    def counts(ref: Column, can: Column) -> Column:
+        fields = []
+        for n in range(1, max_n + 1):
+            fields += [
+                _matches(ng.ngrams(ref, n), ng.ngrams(can, n)).alias(f"match_{n}"),
+                F.greatest(F.size(ref) - (n - 1), F.lit(0)).alias(f"ref_{n}"),
+                F.greatest(F.size(can) - (n - 1), F.lit(0)).alias(f"can_{n}"),
+            ]
+        if weight:
+            total = F.aggregate(can, F.lit(0.0), lambda acc, g: acc + weight(g))
+            fields += [_matches(ref, can, weight).alias("weighted_match_1"), total.alias("weight_1")]
+        return F.struct(*fields)
+
+    none = F.array().cast("array<string>")
+    tokens = [F.coalesce(c, none) for c in (reference, candidate)]
+    bound = bind(tokens[0], lambda ref: bind(tokens[1], lambda can: counts(ref, can)))
+    return pairs.select(key, bound.alias("_n")).select(key, "_n.*")
 
 
 def _bleu(precisions: list[Column]) -> Column:
@@ -76,7 +88,7 @@ def bleu(pairs: DataFrame, reference: str = "target", candidate: str = "generate
 
 
 def weighted_bleu(pairs: DataFrame, reference: str = "target", candidate: str = "generated", key: str = "id") -> DataFrame:
-    """BLEU over blank-separated tokens, plain and with query keywords weighing five times other words."""
+    """BLEU over blank-separated tokens: with query keywords weighing five times other words, and ``plain_bleu`` without."""
 
     def weight(gram: Column) -> Column:
         return F.when(F.upper(gram).isin(QUERY_KEYWORDS), 1.0).otherwise(OTHER_WORD_WEIGHT)
@@ -84,9 +96,9 @@ def weighted_bleu(pairs: DataFrame, reference: str = "target", candidate: str =
     counts = ngram_overlap(
         pairs, ng.plain_tokens(F.col(reference)), ng.plain_tokens(F.col(candidate)), 4, key, weight
     )
-    longer = [F.try_divide(F.col(f"match_{n}"), F.col(f"can_{n}")) for n in range(2, 5)]
-    keyword = F.try_divide(F.col("match_1"), F.col("weight_1"))
-    return counts.select(key, _bleu([keyword, *longer]).alias("weighted_bleu"))
+    every = [F.try_divide(F.col(f"match_{n}"), F.col(f"can_{n}")) for n in range(1, 5)]
+    keyword = F.try_divide(F.col("weighted_match_1"), F.col("weight_1"))
+    return counts.select(key, _bleu([keyword, *every[1:]]).alias("weighted_bleu"), _bleu(every).alias("plain_bleu"))
 
 
 def rouge_n(pairs: DataFrame, reference: str = "target", candidate: str = "generated", key: str = "id") -> DataFrame:

@@ -16,7 +16,7 @@ TEXT_SCORES = ["bleu", "weighted_bleu", "rouge1", "rouge2", "rougeL", "rougeLsum
 def text_scores(generations: DataFrame) -> DataFrame:
     """``generations(id, target, raw)`` to one row of text scores each; the query is read between its tags."""
     pairs = generations.select("id", "target", tagged_query(F.col("raw")).alias("generated"))
-    parts = [scoring.bleu(pairs), scoring.weighted_bleu(pairs), scoring.rouge_n(pairs), scoring.rouge_lcs(pairs)]
+    parts = [scoring.bleu(pairs), scoring.weighted_bleu(pairs).drop("plain_bleu"), scoring.rouge_n(pairs), scoring.rouge_lcs(pairs)]
     same = pairs.select("id", (F.col("target") == F.col("generated")).cast("double").alias("exact_match"))
     return reduce(lambda left, right: left.join(right, "id"), parts, same)
 

@@ -34,15 +34,30 @@ def test_dense_index_and_running_total(spark):
     assert {r["id"]: r["t"] for r in od.running_total(frame, ["id"], "v", "t", partitions=6).collect()} == want
 
 
-def test_forward_fill_cuts_a_hot_key(spark):
+@pytest.mark.parametrize("step", [1, 1_000_000])
+def test_forward_fill_cuts_a_hot_key(spark, step):
     rng = random.Random(3)
-    rows = [(1 if rng.random() < 0.6 else rng.randint(2, 5), i, rng.choice(["a", "b", None, None, None])) for i in range(400)]
-    filled = od.forward_fill(spark.createDataFrame(rows, "k int, p int, v string"), "k", "p", "v", chunk_rows=16)
+    some = ["a", "b", None, None, None]
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), i * step, rng.choice(some), rng.choice(some), i) for i in range(600)]
+    frame = spark.createDataFrame(rows, "k int, p bigint, v string, w string, x int").repartition(5)
+    filled = od.forward_fill(frame, "k", "p", ["v", "w"], partitions=12)
     last, want = {}, {}
-    for k, p, v in rows:
-        last[k] = v or last.get(k)
-        want[p] = last[k]
-    assert {r["p"]: r["v"] for r in filled.collect()} == want
+    for k, p, v, w, x in rows:
+        before = last.get(k, (None, None))
+        last[k] = (v or before[0], w or before[1])
+        want[p] = (k, *last[k], x)
+    assert filled.columns == frame.columns
+    assert {r["p"]: (r["k"], r["v"], r["w"], r["x"]) for r in filled.collect()} == want
+    cut = frame.repartitionByRange(12, "k", "p").where("k = 1").select(F.spark_partition_id()).distinct().count()
+    assert cut > 4  # the hot key stands in several parts, however sparse
+
+
+def test_incomplete_triples_go(spark):
+    rows = [(1, 1, "s", "p", "o"), (1, 2, None, "q", "o"), (1, 3, None, None, "o2"), (1, 4, None, "r", None), (2, 1, None, "p", "o")]
+    frame = spark.createDataFrame(rows, "query_id int, pos int, s string, p string, o string")
+    order = lambda f: sorted(tuple(r) for r in f.collect())
+    assert order(an.complete_triples(frame)) == [(1, 1, "s", "p", "o"), (1, 2, "s", "q", "o")]
+    assert order(an.complete_triples(frame, fill=("s", "p"))) == [(1, 1, "s", "p", "o"), (1, 2, "s", "q", "o"), (1, 3, "s", "q", "o2")]
 
 
 # --- page text ---------------------------------------------------------------------------------------
