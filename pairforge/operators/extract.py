@@ -81,6 +81,12 @@ def _path(i: Column) -> Column:
     return F.aggregate(steps, chain, up, lambda acc: acc["path"])
 
 
+def _exploded(rows: DataFrame, keep: list[str], items: Column, place: str, item: str) -> DataFrame:
+    """One row per item with its place. The outer form, without its empty rows: the plain one would have the
+    optimizer put a filter on the array before it, which computes the whole array once more for each test."""
+    return rows.select(*keep, F.posexplode_outer(items).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def _places() -> Column:
     n = F.size("_sections")
     return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
@@ -91,7 +97,7 @@ def outline(pages: DataFrame, level_rule: str = "leading") -> DataFrame:
 
     Lines before the first heading belong to no section.
     """
-    rows = _cut(pages, level_rule).select("page_id", F.posexplode("_sections").alias("section_id", "section"))
+    rows = _exploded(_cut(pages, level_rule), ["page_id"], F.col("_sections"), "section_id", "section")
     return rows.select("page_id", "section_id", "section.*")
 
 
@@ -121,7 +127,7 @@ def sections(pages: DataFrame, level_rule: str = "leading", keep_tail: bool = Tr
         )
 
     rest = F.transform("_sections", lambda s: wt.residual_text(s["text"], keep_tail))
-    cut = rows.select("page_id", F.posexplode(bind(rest, described)).alias("section_id", "row"))
+    cut = _exploded(rows, ["page_id"], bind(rest, described), "section_id", "row")
     return cut.select("page_id", "section_id", "row.section.*", "row.residual", "row.path")
 
 
@@ -133,7 +139,7 @@ def ancestry(pages: DataFrame, level_rule: str = "leading") -> DataFrame:
         return F.struct(s["level"].alias("level"), s["heading"].alias("heading"))
 
     paths = F.transform(_places(), lambda i: F.transform(_path(i), named))
-    return _with_parents(pages, level_rule).select("page_id", F.posexplode(paths).alias("section_id", "path"))
+    return _exploded(_with_parents(pages, level_rule), ["page_id"], paths, "section_id", "path")
 
 
 def section_context(path: Column) -> Column:
@@ -163,7 +169,7 @@ def _contexts(rest: Column) -> Column:
 
 
 def _templates(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("page_id", "section_id", *more, F.posexplode(wt.template_bodies(F.col("text"))).alias("pos", "body"))
+    return _exploded(rows, ["page_id", "section_id", *more], wt.template_bodies(F.col("text")), "pos", "body")
 
 
 def template_rows(pages: DataFrame, level_rule: str = "leading") -> DataFrame:
@@ -179,7 +185,7 @@ def template_queries(pages: DataFrame, level_rule: str = "leading", keep_tail: b
     The text of ancestors is put together for sections that hold a template, and for no other.
     """
     rest = F.transform("_sections", lambda s: wt.residual_text(s["text"], keep_tail))
-    rows = _with_parents(pages, level_rule).select("page_id", F.posexplode(bind(rest, _contexts)).alias("section_id", "row"))
+    rows = _exploded(_with_parents(pages, level_rule), ["page_id"], bind(rest, _contexts), "section_id", "row")
     found = _templates(rows.select("page_id", "section_id", "row.*"), "context")
     pairs = wt.template_pairs(F.col("body"))
     description = F.array_join(F.transform(pairs, lambda p: p["value"]), "\n")

@@ -38,7 +38,7 @@ def _matches(reference: Column, candidate: Column, weight=None) -> Column:
         )
 
     start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("left"), F.lit(0.0).alias("found"))
-    return F.aggregate(F.array_sort(F.concat(side(reference, 0), side(candidate, 1))), start, step, lambda acc: acc["found"])
+    return F.aggregate(F.sort_array(F.concat(side(reference, 0), side(candidate, 1))), start, step, lambda acc: acc["found"])
 
 
 def ngram_overlap(
