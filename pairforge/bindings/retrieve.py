@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pairforge.bindings import query
 from pairforge.bindings.inputs import ROW_CTE, question_rows, table
 from pairforge.operators import retrieve as rt
+from pairforge.plans import training
 
 _RANK_CTE = """vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id,
@@ -55,6 +56,25 @@ def shot_blocks(spark, sf):
     return rt.shot_blocks(ranked(spark, sf), _train(spark, sf), 3)
 
 
+@query(
+    "D9_D11_few_shot_job",
+    f"""WITH {ROW_CTE}, vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+asked AS (SELECT id, v FROM question_rows JOIN vectors ON id = vec_id WHERE split = 'test'),
+pool AS (SELECT id, v, instructions, sparql_query FROM question_rows JOIN vectors ON id = vec_id WHERE split = 'train' AND len(string_split(sparql_raw, ' ')) < 300),
+scored AS (SELECT q.id AS query_id, b.id AS base_id, round(list_dot_product(q.v, b.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS similarity,
+    '- User: ' || instructions[1] || chr(10) || 'Answer: Here is the SPARQL query: ' || chr(10) || '[QUERY]' || chr(10) || sparql_query || chr(10) || '[/QUERY]' || chr(10) AS text
+  FROM asked q, pool b),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, base_id) AS rank FROM scored QUALIFY rank <= 5)
+SELECT query_id, string_agg(base_id, ',' ORDER BY rank) AS neighbours, 'Examples:' || chr(10) || string_agg(text, '' ORDER BY rank) FILTER (WHERE rank <= 2) AS few_shots
+  FROM best GROUP BY query_id""",
+)
+def few_shot_job(spark, sf):
+    rows = question_rows(spark, sf)
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = training.few_shots(rows.where("split = 'test'"), rows.where("split = 'train'"), vectors, k=5, shots=2, length_of="sparql_raw")
+    return found.withColumn("neighbours", F.array_join("neighbours", ","))
+
+
 @query("D11_retrieval_pool", f"WITH {ROW_CTE} SELECT id FROM question_rows WHERE len(string_split(sparql_raw, ' ')) < 300 AND split = 'train'")
 def retrieval_pool(spark, sf):
     return rt.retrieval_pool(question_rows(spark, sf).where("split = 'train'"), "sparql_raw").select("id")

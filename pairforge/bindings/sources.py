@@ -136,6 +136,14 @@ def typed_export(spark, sf):
     return rows.select("split", "id", F.array_join("instructions", "|").alias("instructions"), "sparql_query", "complexity")
 
 
+@query("S12_shards_by_bytes", f"WITH {ROW_CTE} SELECT split, {_PUBLISHED} FROM question_rows")
+def shards_by_bytes(spark, sf):
+    path = shared_path(spark, "shards")
+    wr.write_dataset(question_rows(spark, sf), path, max_bytes_per_file=2_000_000)
+    rows = rd.dataset(spark, path)
+    return rows.select("split", "id", F.array_join("instructions", "|").alias("instructions"), "sparql_query", "complexity")
+
+
 @query(
     "S13_error_map_sink",
     f"""WITH {ERROR_CTE} SELECT coalesce(error_type, 'none') AS message, id // 10000 AS part, count(*) AS n,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import chat
 from pairforge.operators import assemble, prompts, retrieve
+from pairforge.session import pinned
 
 
 def training_text(
@@ -36,3 +37,20 @@ def evaluation_prompts(
     asked = assemble.first_instructions(test, 1).join(blocks, "id", "left")
     messages = prompts.eval_messages(F.col("instruction"), F.coalesce("few_shots", F.lit("")), annotated)
     return asked.select("id", chat.render(messages, F.lit(model_type), cue=True).alias("prompt"))
+
+
+def few_shots(
+    test: DataFrame, train: DataFrame, vectors: DataFrame, k: int = 10, shots: int = 3, words: int = 300,
+    length_of: str = "sparql_query", annotated: bool = False,
+) -> DataFrame:
+    """(query_id, neighbours, few_shots): nearest short training rows of each test row, as ids and as prompt text.
+
+    ``vectors(id, embedding)`` holds the instructions' vectors of both tables. Training rows of ``words`` words or
+    more (counted in ``length_of``) are left out before the search, so that no place of the k goes to them.
+    """
+    pool = retrieve.retrieval_pool(train, length_of, words)
+    vector = lambda rows, name: rows.select("id").join(vectors, "id").select(F.col("id").alias(name), F.col("embedding").alias("vector"))
+    ranked = pinned(retrieve.cosine_top_k(vector(test, "query_id"), vector(pool, "base_id"), k))
+    target = "sparql_annotated" if annotated else "sparql_query"
+    base = pool.select(F.col("id").alias("base_id"), F.get("instructions", F.lit(0)).alias("instruction"), target)
+    return retrieve.neighbour_lists(ranked).join(retrieve.shot_blocks(ranked, base, shots, target), "query_id")

@@ -97,8 +97,8 @@ def pages(spark: SparkSession, path: str, titles: list[str] | None = None) -> Da
 
 
 def dataset(spark: SparkSession, root: str, subset: str | None = None, split: str | None = None) -> DataFrame:
-    """A published dataset; ``subset`` names a folder and ``split`` prunes partitions."""
-    table = spark.read.parquet(f"{root}/{subset}" if subset else root)
+    """A published dataset; ``subset`` names a folder and ``split`` prunes partitions. How it is cut into shards does not show."""
+    table = spark.read.parquet(f"{root}/{subset}" if subset else root).drop("shard")
     return table if split is None else table.where(F.col("split") == split)
 
 

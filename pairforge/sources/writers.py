@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.operators.assemble import published
+from pairforge.operators.ordered import running_total
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -72,11 +74,32 @@ def write_neighbour_index(lists: DataFrame, path: str) -> None:
     lists.select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_dataset(df: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> None:
-    """The typed table, a folder per split, in files of bounded size."""
-    published(df, ["split"]).write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).partitionBy(
-        "split"
-    ).parquet(path)
+def _sizes(df: DataFrame) -> Column:
+    """Bytes of a row's texts, with a word for each of them and for each number."""
+    parts = []
+    for name, kind in df.dtypes:
+        text = F.array_join(name, "") if kind.startswith("array<string") else F.col(name).cast("string")
+        parts.append(F.coalesce(F.octet_length(text), F.lit(0)) + 8)
+    return reduce(lambda a, b: a + b, parts).cast("bigint")
+
+
+def write_dataset(df: DataFrame, path: str, max_rows_per_file: int = 1_000_000, max_bytes_per_file: int | None = None) -> None:
+    """The typed table, a folder per split, in files of bounded size.
+
+    With ``max_bytes_per_file`` the rows of a split, by id, are cut into shards at every half of it in a running
+    sum of their bytes before compression, a folder and a file each: no file is larger as long as no row
+    exceeds that half. Ids are unique in a split; only ids and sizes are ordered.
+    """
+    rows = published(df, ["split"])
+    writer = lambda frame: frame.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file)
+    if max_bytes_per_file is None:
+        writer(rows).partitionBy("split").parquet(path)
+        return
+    sizes = rows.select("split", "id", _sizes(rows).alias("size"))
+    places = running_total(sizes, ["split", "id"], "size", "upto")
+    shard = F.floor((F.col("upto") - 1) / max(1, max_bytes_per_file // 2)).alias("shard")
+    cut = rows.join(places.select("split", "id", shard), ["split", "id"]).select(*rows.columns, "shard")
+    writer(cut.repartition("split", "shard")).partitionBy("split", "shard").parquet(path)
 
 
 def write_error_map(parts: DataFrame, path: str) -> None:

@@ -95,3 +95,17 @@ def test_a_file_without_rows(spark, tmp_path):
     assert readers.csv_table(spark, str(tmp_path / "t.csv")).count() == 0
     (tmp_path / "c.json").write_text("{}")
     assert readers.columnar_json(spark, str(tmp_path / "c.json"), ["a"]).count() == 0
+
+
+def test_no_file_is_larger_than_its_bytes(spark, tmp_path):
+    draw = random.Random(4)
+    names = ["sparql_raw", "sparql_annotated", "sparql_query", "complexity", "complexity_description", "query_results"]
+    rows = [(i, ["x"] * draw.randrange(3), draw.choice(["train", "test"]), *["".join(draw.choices("abcdefghij", k=draw.choice([0, 5, 4000]))) for _ in names]) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id bigint, instructions array<string>, split string, " + ", ".join(f"{n} string" for n in names))
+    limit = 60_000
+    writers.write_dataset(frame, str(tmp_path / "d"), max_bytes_per_file=limit)
+    files = [os.path.join(d, f) for d, _, found in os.walk(tmp_path / "d") for f in found if f.endswith(".parquet")]
+    assert len(files) > 10 and max(map(os.path.getsize, files)) < limit
+    read = readers.dataset(spark, str(tmp_path / "d"))
+    assert "shard" not in read.columns and sorted((r["id"], r["split"], r["sparql_raw"]) for r in read.collect()) == sorted((r[0], r[2], r[3]) for r in rows)
+    assert readers.dataset(spark, str(tmp_path / "d"), split="test").count() == sum(r[2] == "test" for r in rows)
