@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.fixed_values import END_TAG, START_TAG
 from pairforge.functions.text import word_count
+from pairforge.session import shared_path
 
-BLOCK_BYTES = 32 << 20  # float64 vectors of one block, and the most that is broadcast
+BLOCK_BYTES = 32 << 20  # float64 vectors of one block, and one slice of its similarities
+MERGE_GROUPS = 64  # of base tasks, in the first of two merges
 RANKED = pa.schema([("query_id", pa.int64()), ("base_id", pa.int64()), ("similarity", pa.float64())])
 RANKED_DDL = "query_id bigint, base_id bigint, similarity double"
 
@@ -50,106 +54,86 @@ def _nearest(asked: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int,
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _rows(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> list[np.ndarray]:
-    return [np.repeat(query_ids, ids.shape[1]), ids.ravel(), sims.ravel()]
+def _by_length(rows: pa.Table, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors of the rows, by the length of the vectors."""
+    lengths = pc.list_value_length(rows["vector"])
+    found = {}
+    for dim in pc.unique(lengths).to_pylist():
+        same = rows.filter(pc.equal(lengths, dim))
+        found[dim] = same[key].to_numpy(), _unit_rows(same["vector"], same.num_rows)
+    return found
 
 
-def _block_top_k(k: int, digits: int):
-    def run(queries: pa.Table, base: pa.Table) -> pa.Table:
-        if not queries.num_rows or not base.num_rows:
-            return RANKED.empty_table()
-        asked, vectors = _unit_rows(queries["vector"], queries.num_rows), _unit_rows(base["vector"], base.num_rows)
-        best = _nearest(asked, base["base_id"].to_numpy(), vectors, k, digits)
-        return pa.table(_rows(queries["query_id"].to_numpy(), *best), schema=RANKED)
+def _base_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += 8 * len(batch.column("vector").flatten())
+        if size >= block_bytes:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-    return run
+
+def _query_blocks(files: list[str], rows: int) -> Iterator[pa.Table]:
+    for uri in files:
+        filesystem, path = pafs.FileSystem.from_uri(uri)
+        with filesystem.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(rows, columns=["query_id", "vector"]):
+                yield pa.Table.from_batches([batch])
 
 
-def _scan_top_k(broadcast, k: int, digits: int):
+def _block_top_k(files: list[str], k: int, digits: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, asked = broadcast.value
-        if not len(asked):
-            return
-        ids, sims = np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0))
-        for batch in batches:
-            if batch.num_rows:
-                vectors = _unit_rows(batch.column("vector"), batch.num_rows)
-                more = _nearest(asked, batch.column("base_id").to_numpy(), vectors, k, digits)
-                ids, sims = _cut(np.hstack([ids, more[0]]), np.hstack([sims, more[1]]), k)
-        if ids.size:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _rows(query_ids, ids, sims)], schema=RANKED)
+        for block in _base_blocks(batches, block_bytes):
+            base = _by_length(block, "base_id")
+            for queries in _query_blocks(files, max(1, block_bytes // (8 * max(base)))):
+                for dim, (query_ids, asked) in _by_length(queries, "query_id").items():
+                    if dim in base:
+                        ids, sims = _nearest(asked, *base[dim], k, digits)
+                        columns = np.repeat(query_ids, ids.shape[1]), ids.ravel(), sims.ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=RANKED)
 
     return run
 
 
-def _scanned(queries: DataFrame, base: DataFrame, k: int, digits: int) -> DataFrame:
-    """Few queries: they are broadcast and the base is read in place, without a shuffle."""
-    asked = queries.toArrow()
-    packed = asked["query_id"].to_numpy(), _unit_rows(asked["vector"], asked.num_rows)
-    sent = queries.sparkSession.sparkContext.broadcast(packed)
-    return base.mapInArrow(_scan_top_k(sent, k, digits), RANKED_DDL)
-
-
-def _blocked(queries: DataFrame, base: DataFrame, k: int, digits: int, query_blocks: int, base_blocks: int) -> DataFrame:
-    """Many queries: both sides are hashed into blocks, and each pair of blocks is one matrix product."""
-
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.select("*", block("query_id", query_blocks).alias("q")).select("*", every(base_blocks).alias("b"))
-    right = base.select("*", block("base_id", base_blocks).alias("b")).select("*", every(query_blocks).alias("q"))
-    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_block_top_k(k, digits), RANKED_DDL)
+def _best(rows: DataFrame, k: int, *by: str) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.desc("similarity"), "base_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _usable(dim: int) -> Column:
-    return F.coalesce((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull()), F.lit(False))
+def _usable() -> Column:
+    return F.coalesce((F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()), F.lit(False))
 
 
 def odd_vectors(rows: DataFrame, dim: int) -> DataFrame:
-    """The rows that :func:`cosine_top_k` leaves out: no vector, another length than ``dim``, or nulls in it."""
-    return rows.where(~_usable(dim))
+    """The rows that nothing of length ``dim`` is compared with: no vector, another length, or nulls in it."""
+    return rows.where(~(_usable() & F.coalesce(F.size("vector") == dim, F.lit(False))))
 
 
 def cosine_top_k(
-    queries: DataFrame,
-    base: DataFrame,
-    k: int = 10,
-    digits: int = 9,
-    query_blocks: int | None = None,
-    base_blocks: int | None = None,
-    dim: int | None = None,
+    queries: DataFrame, base: DataFrame, k: int = 10, digits: int = 9, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The k most similar base rows of each query row, exactly: (query_id, base_id, similarity, rank).
 
-    ``queries(query_id, vector)``, ``base(base_id, vector)``. Every pair is compared inside a matrix
-    product that keeps its k best per query, so pairs are never emitted. The counted size of the query
-    side decides how: up to :data:`BLOCK_BYTES` it is broadcast and each base partition is scanned once;
-    beyond that both sides are cut into blocks of that size. The last step merges k rows per partition
-    or block. Similarities are rounded to ``digits`` and ties go to the lower id. Vectors of another
-    length than ``dim`` (by default the most frequent one of the base, counted first) or with nulls take
-    no part; :func:`odd_vectors` reports them.
+    ``queries(query_id, vector)``, ``base(base_id, vector)``. The queries are stored once in the shared
+    folder, while the query is built. The base is read in place, ``block_bytes`` of vectors at a time,
+    and each block meets the stored queries in blocks of that size; a matrix product keeps the k best
+    base rows of each query, so pairs are never emitted and a task holds two blocks, however many
+    queries there are. The rows of a task are cut to k per query before they are shuffled, then merged
+    by query and group of tasks, then by query. Similarities are rounded to ``digits`` and ties go to
+    the lower id. Only vectors of equal length are compared; null and empty vectors and those with
+    nulls take no part. :func:`odd_vectors` reports what does not fit a length.
     """
-    queries = queries.select(F.col("query_id").cast("bigint"), "vector")
-    base = base.select(F.col("base_id").cast("bigint"), "vector")
-    if dim is None:
-        dim = base.agg(F.mode(F.size("vector"), deterministic=True)).first()[0] or 0
-    queries, base = queries.where(_usable(dim)), base.where(_usable(dim))
-    if query_blocks is None or base_blocks is None:
-        row_bytes = 8 * max(1, dim)
-        query_blocks = math.ceil(queries.count() * row_bytes / BLOCK_BYTES) or 1
-        base_blocks = 1 if query_blocks == 1 else math.ceil(base.count() * row_bytes / BLOCK_BYTES) or 1
-        partial = (
-            _scanned(queries, base, k, digits)
-            if query_blocks == 1
-            else _blocked(queries, base, k, digits, query_blocks, base_blocks)
-        )
-    else:
-        partial = _blocked(queries, base, k, digits, query_blocks, base_blocks)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    path = shared_path(queries.sparkSession, "queries")
+    queries.where(_usable()).select(F.col("query_id").cast("bigint"), "vector").write.parquet(path)
+    files = queries.sparkSession.read.schema("query_id bigint").parquet(path).inputFiles()
+    vectors = base.where(_usable()).select(F.col("base_id").cast("bigint"), "vector")
+    partial = vectors.mapInArrow(_block_top_k(files, k, digits, block_bytes), RANKED_DDL)
+    grouped = partial.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+    return _best(_best(grouped, k, "query_id", "_group").drop("rank", "_group"), k, "query_id")
 
 
 def neighbour_lists(ranked: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def test_top_k_is_exact_for_any_blocks(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(unit(asked) @ unit(base).T, 9)
     want = {q: sorted(range(60), key=lambda b: (-sims[q, b], b))[:4] for q in range(7)}
-    for blocks in [(None, None), (1, 1), (3, 7)]:
-        ranked = rt.cosine_top_k(queries, train, 4, query_blocks=blocks[0], base_blocks=blocks[1])
+    for block_bytes in [rt.BLOCK_BYTES, 1, 200]:
+        ranked = rt.cosine_top_k(queries, train.repartition(3), 4, block_bytes=block_bytes)
         lists = {r["query_id"]: r["neighbours"] for r in rt.neighbour_lists(ranked).collect()}
         assert lists == want
     assert want[6][:2] == [3, 7]
@@ -111,6 +111,10 @@ def test_top_k_leaves_odd_vectors_out(spark):
     assert got == [(1, 2, 1.0), (1, 3, pytest.approx(2**-0.5))]
     assert {r["base_id"] for r in rt.odd_vectors(base, 2).collect()} == {1, 4, 5}
     assert rt.cosine_top_k(asked, base.limit(0), 2).count() == 0
+    assert rt.cosine_top_k(asked.limit(0), base, 2).count() == 0
+    mixed = base.union(spark.sql("SELECT 6L, array(1d, 2d, 3d)")).coalesce(1)
+    rows = {(r["query_id"], r["base_id"]) for r in rt.cosine_top_k(asked.coalesce(1), mixed, 2).collect()}
+    assert rows == {(1, 2), (1, 3), (2, 6)}  # lengths meet their own kind inside one block
 
 
 def test_shots_keep_every_query(spark):
