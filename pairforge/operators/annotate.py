@@ -1,19 +1,27 @@
 """Ids to labels and back, inside query text.
 
-Replacement never loops over ids: the text is cut into pieces around the ids, the pieces meet the
-label table in one join, and the pieces of each text are put together again in order. A hot id
-(say, one that a third of all queries use) only skews that join, where AQE splits it.
+Replacement never loops over ids, and only ids look for labels: pairs of a text's key and an id are stored,
+the labels of the :data:`HOT` most frequent ids are broadcast and the others joined, and each text gets a
+map of its own labels, with which it is put together inside its row. A hot id (say, one that a third of all
+queries use) meets no partition. Texts move once, whole, to their map. Keys are unique; a text with a null
+key keeps its ids, and a null text gives no row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.fixed_values import ID_PREFIXES, PARSE_FAILURE
 from pairforge.functions import sparql as sq
+from pairforge.functions.binding import bind
 from pairforge.functions.text import label_slug
 from pairforge.operators.ordered import forward_fill
+from pairforge.session import pinned
+
+HOT = 1000  # labels that are broadcast
 
 
 def best_labels(labels: DataFrame) -> DataFrame:
@@ -51,39 +59,49 @@ def label_lookup(ids: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """One row per text piece with the token that follows it; the last piece has none."""
-    zipped = F.arrays_zip(
-        F.split(F.col(text), pattern, -1).alias("piece"),
-        F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("token"),
-    )
-    return df.select(key, F.posexplode(zipped).alias("pos", "part")).select(key, "pos", "part.*")
+def _asked(df: DataFrame, key: str, items: Column) -> DataFrame:
+    """Pairs of (key, _item), stored, as they are counted and read twice."""
+    pairs = df.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(items)).alias("_item"))
+    return pinned(pairs)
 
 
-def _lookup_key(token: Column, key: str) -> Column:
-    """The token to look up, or for a text's last piece a value of its own that nothing matches.
+def _with_known(df: DataFrame, key: str, text: str, asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, text, _known): each text with the map of its items to their ``known(_item, _label)``."""
+    often = asked.groupBy("_item").count().orderBy(F.desc("count"), "_item").limit(HOT).select("_item")
+    hot = often.join(known, "_item", "left").select("_item", F.col("_label").alias("_hot"), F.lit(True).alias("_is_hot"))
+    marked = asked.join(F.broadcast(hot), "_item", "left")
+    rest = marked.where("_is_hot is null").select(key, "_item").join(known, "_item").select(key, "_item", "_label")
+    hits = marked.where("_hot is not null").select(key, "_item", F.col("_hot").alias("_label")).union(rest)
+    maps = hits.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("_item", "_label"))).alias("_known"))
+    return df.where(F.col(text).isNotNull()).select(key, text).join(maps, key, "left")
+
+
+def _parts(text: str, pattern: str, part: Callable[[Column, Column], Column]) -> Column:
+    """``part(piece, token)`` of each piece of the text with the token behind it; the last piece has none."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    return F.zip_with(F.split(F.col(text), pattern, -1), tokens, part)
 
-    Null keys would all meet in one partition of the join.
-    """
-    return F.coalesce(token, F.concat(F.lit("\n"), F.col(key).cast("string")))
 
+def _replaced(text: str, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+    parts = _parts(text, pattern, lambda piece, token: F.concat(piece, F.coalesce(replacement(token), F.lit(""))))
+    return F.array_join(parts, "")
 
-def _rejoined(pieces: DataFrame, key: str, replacement: Column, name: str) -> DataFrame:
-    """Texts from their pieces. A group is the pieces of one text, never more than that text."""
-    text = F.concat(F.col("piece"), F.coalesce(replacement, F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", text.alias("text"))))
-    return pieces.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(name))
+
+def _known_labels(labels: DataFrame) -> DataFrame:
+    return best_labels(labels).select(F.col("id").alias("_item"), F.col("label").alias("_label")).where("_label is not null")
 
 
 def annotate_ids(queries: DataFrame, labels: DataFrame, key: str = "id", text: str = "query") -> DataFrame:
     """``:Q5`` becomes ``:[entity:label]``, likewise for properties and lexemes."""
-    pieces = _pieces(queries, key, text, sq.ID).withColumn("_item", _lookup_key(F.substr("token", F.lit(2)), key))
-    known = best_labels(labels).select(F.col("id").alias("_item"), F.col("label").alias("_label"))
-    mark = F.concat(
-        F.lit(":["), sq.id_kind(F.col("_item")), F.lit(":"), F.coalesce("_label", "_item"), F.lit("]")
-    )
-    mark = F.when(F.col("token").isNotNull(), mark)
-    return _rejoined(pieces.join(known, "_item", "left"), key, mark, "query_annotated")
+    asked = _asked(queries, key, sq.item_ids(F.col(text)))
+    found = _with_known(queries, key, text, asked, _known_labels(labels))
+
+    def mark(token: Column) -> Column:
+        item = F.substr(token, F.lit(2))
+        label = F.coalesce(F.try_element_at("_known", item), item)
+        return F.concat(F.lit(":["), sq.id_kind(item), F.lit(":"), label, F.lit("]"))
+
+    return found.select(key, _replaced(text, sq.ID, mark).alias("query_annotated"))
 
 
 def annotate_queries(queries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -96,46 +114,49 @@ def readable_ids(queries: DataFrame, labels: DataFrame, key: str = "id") -> Data
 
     ``resolved`` is false when an id of the query has no label.
     """
-    pieces = _pieces(queries, key, "query", sq.id_terms_pattern()).withColumn(
-        "_item", _lookup_key(F.split_part("token", F.lit(":"), F.lit(2)), key)
-    )
-    known = best_labels(labels).select(F.col("id").alias("_item"), F.col("label").alias("_label"))
-    joined = pieces.join(known, "_item", "left").withColumns(
-        {
-            "prefix": sq.term_prefix(F.col("token")),
-            "term": F.concat(sq.term_prefix(F.col("token")), F.lit(":"), label_slug(F.col("_label"))),
-        }
-    )
+    def item_of(token: Column) -> Column:
+        return F.split_part(token, F.lit(":"), F.lit(2))
+
+    asked = _asked(queries, key, F.transform(sq.id_terms(F.col("query")), item_of))
+    found = _with_known(queries, key, "query", asked, _known_labels(labels))
     url = F.create_map(*[F.lit(x) for pair in ID_PREFIXES.items() for x in pair])
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(ID_PREFIXES) for x in (k, i)])
-    legend = F.concat(
-        F.lit("# "), "term", F.lit(" is the text label corresponding to ID:"), "_item",
-        F.lit(" (<"), F.element_at(url, F.col("prefix")), "_item", F.lit(">)\n"),
-    )
-    part = F.struct(
-        "pos",
-        F.concat("piece", F.coalesce("term", "token", F.lit(""))).alias("text"),
-        F.element_at(rank, F.col("prefix")).alias("rank"),
-        F.concat(F.lit("PREFIX "), "prefix", F.lit(": <"), F.element_at(url, F.col("prefix")), F.lit("> \n")).alias("head"),
-        legend.alias("legend"),
-    )
-    rows = joined.groupBy(key).agg(
-        F.array_sort(F.collect_list(part)).alias("_parts"),
-        F.bool_and(F.col("token").isNull() | F.col("_label").isNotNull()).alias("resolved"),
-    )
-    used = F.filter("_parts", lambda p: p["rank"].isNotNull())
-    ranks = F.reverse(F.array_sort(F.array_distinct(F.transform(used, lambda p: p["rank"]))))
 
-    def block(r: Column) -> Column:
-        own = F.filter(used, lambda p: p["rank"] == r)
-        return F.concat(
-            F.get(own, F.lit(0))["head"], F.array_join(F.transform(F.reverse(own), lambda p: p["legend"]), "")
+    def part(piece: Column, token: Column) -> Column:
+        item, prefix = item_of(token), sq.term_prefix(token)
+        label = F.try_element_at("_known", item)
+        term = F.concat(prefix, F.lit(":"), label_slug(label))
+        legend = F.concat(
+            F.lit("# "), term, F.lit(" is the text label corresponding to ID:"), item,
+            F.lit(" (<"), F.element_at(url, prefix), item, F.lit(">)\n"),
+        )
+        return F.struct(
+            F.concat(piece, F.coalesce(term, token, F.lit(""))).alias("text"),
+            F.element_at(rank, prefix).alias("rank"),
+            F.concat(F.lit("PREFIX "), prefix, F.lit(": <"), F.element_at(url, prefix), F.lit("> \n")).alias("head"),
+            legend.alias("legend"),
+            (token.isNull() | label.isNotNull()).alias("resolved"),
         )
 
-    body = F.array_join(F.transform("_parts", lambda p: p["text"]), "")
-    return rows.select(
-        key, F.concat(F.array_join(F.transform(ranks, block), ""), body).alias("query_readable"), "resolved"
-    )
+    def whole(parts: Column) -> Column:
+        def head(used: Column) -> Column:
+            def block(r: Column) -> Column:
+                own = F.filter(used, lambda p: p["rank"] == r)
+                return F.concat(
+                    F.get(own, F.lit(0))["head"], F.array_join(F.transform(F.reverse(own), lambda p: p["legend"]), "")
+                )
+
+            ranks = F.reverse(F.array_sort(F.array_distinct(F.transform(used, lambda p: p["rank"]))))
+            return F.array_join(F.transform(ranks, block), "")
+
+        body = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+        return F.struct(
+            F.concat(bind(F.filter(parts, lambda p: p["rank"].isNotNull()), head), body).alias("query_readable"),
+            F.forall(parts, lambda p: p["resolved"]).alias("resolved"),
+        )
+
+    made = bind(_parts("query", sq.id_terms_pattern(), part), whole)
+    return found.select(key, F.inline(F.array(made)))
 
 
 def query_templates(queries: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -188,15 +209,19 @@ def resolve_names(names: DataFrame, labels: DataFrame) -> DataFrame:
 
 def resolve_annotations(queries: DataFrame, labels: DataFrame, key: str = "id", text: str = "query") -> DataFrame:
     """Marks back to ids: the reverse of :func:`annotate_ids`."""
-    pieces = _pieces(queries, key, text, sq.ANNOTATION).withColumns(
-        {
-            "kind": F.coalesce(F.regexp_extract("token", sq.ANNOTATION, 1), F.lit("none")),
-            "name": _lookup_key(F.regexp_extract("token", sq.ANNOTATION, 2), key),
-        }
+    # The kind has no colon, so kind and name can be told apart again.
+    items = F.transform(sq.annotations(F.col(text)), lambda m: F.concat(m["kind"], F.lit(":"), m["name"]))
+    asked = _asked(queries, key, items)
+    kind, name = F.substring_index("_item", ":", 1), F.expr("substr(_item, instr(_item, ':') + 1)")
+    known = resolve_names(asked.select(kind.alias("kind"), name.alias("name")), labels).select(
+        F.concat("kind", F.lit(":"), "name").alias("_item"), F.col("id").alias("_label")
     )
-    names = pieces.where("token is not null").select("kind", "name")
-    known = resolve_names(names, labels).withColumnRenamed("id", "_item")
-    return _rejoined(pieces.join(known, ["kind", "name"], "left"), key, F.col("_item"), "query_resolved")
+    found = _with_known(queries, key, text, asked, known)
+
+    def resolved(mark: Column) -> Column:
+        return F.try_element_at("_known", F.substring(mark, 2, F.length(mark) - 2))
+
+    return found.select(key, _replaced(text, sq.ANNOTATION, resolved).alias("query_resolved"))
 
 
 # --- corpus structure ------------------------------------------------------------------------

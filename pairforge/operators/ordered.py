@@ -1,7 +1,8 @@
 """Order-dependent operators over whole tables, without a single-task window.
 
-A table is range-partitioned once, each row's place (partition number, position) is pinned by a
-reliable checkpoint, and only one row per partition is ordered globally.
+The order columns are range-partitioned once, each row's place (partition number, position) is pinned
+by a reliable checkpoint, and only one row per partition is ordered globally. Numbers and sums are
+computed from these narrow rows and joined back to the table, whose other columns are never pinned.
 """
 
 from __future__ import annotations
@@ -38,26 +39,40 @@ def _carried(placed: DataFrame, total: Column) -> DataFrame:
     )
 
 
+def _joined_back(df: DataFrame, found: DataFrame, order: list[str], name: str, narrow: list[str]) -> DataFrame:
+    """``df`` with column ``name``, the ``_number`` of ``found``, by the unique ``order`` columns; nulls are equal."""
+    if set(df.columns) <= set(narrow):
+        return found.withColumn(name, F.col("_number")).select(*dict.fromkeys([*df.columns, name]))
+    keys = {c: f"_key_{c}" for c in order}
+    right = found.select(*[F.col(c).alias(k) for c, k in keys.items()], "_number")
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    return df.join(right, same).withColumn(name, F.col("_number")).drop(*keys.values(), "_number")
+
+
 def dense_index(df: DataFrame, order: list[str], name: str = "index", partitions: int | None = None) -> DataFrame:
-    """Number rows 0..n-1 in the order of unique columns."""
-    placed = ranged(df, order, partitions)
+    """Number rows 0..n-1 in the order of unique columns.
+
+    ``df`` is read twice: its order columns for the numbers, and its rows.
+    """
+    placed = ranged(df.select(*order), order, partitions)
     carried = F.broadcast(_carried(placed, F.count(F.lit(1))))
-    return placed.join(carried, "_chunk").withColumn(name, F.col("_carry") + F.col("_pos")).drop("_chunk", "_pos", "_carry")
+    numbered = placed.join(carried, "_chunk").withColumn("_number", F.col("_carry") + F.col("_pos"))
+    return _joined_back(df, numbered, order, name, order)
 
 
 def running_total(
     df: DataFrame, order: list[str], value: str, name: str, partitions: int | None = None
 ) -> DataFrame:
-    """Running sum of ``value`` over the whole table in the order of unique columns."""
-    placed = ranged(df, order, partitions)
+    """Running sum of ``value`` over the whole table in the order of unique columns.
+
+    ``df`` is read twice: order columns and value for the sums, and its rows.
+    """
+    narrow = [*dict.fromkeys([*order, value])]
+    placed = ranged(df.select(*narrow), order, partitions)
     carried = F.broadcast(_carried(placed, F.sum(value)))
     upto = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.withColumn("_within", F.sum(value).over(upto))
-    return (
-        within.join(carried, "_chunk")
-        .withColumn(name, F.col("_carry") + F.col("_within"))
-        .drop("_chunk", "_pos", "_carry", "_within")
-    )
+    within = placed.withColumn("_within", F.sum(value).over(upto)).join(carried, "_chunk")
+    return _joined_back(df, within.withColumn("_number", F.col("_carry") + F.col("_within")), order, name, narrow)
 
 
 def forward_fill(df: DataFrame, key: str, pos: str, values: str | list[str], partitions: int | None = None) -> DataFrame:

@@ -32,6 +32,19 @@ def test_dense_index_and_running_total(spark):
         total += x % 7
         want[x] = total
     assert {r["id"]: r["t"] for r in od.running_total(frame, ["id"], "v", "t", partitions=6).collect()} == want
+    wide = frame.withColumn("text", F.concat(F.lit("t"), "id")).withColumn("id", F.expr("nullif(id, %d)" % min(ids)))
+    rows = od.dense_index(wide, ["id"], "v", partitions=6).collect()  # a null key, and a name that is taken
+    assert sorted((r["v"], r["text"]) for r in rows) == [(n, f"t{x}") for n, x in enumerate(sorted(ids))]
+    totals = {r["text"]: r["v"] for r in od.running_total(wide, ["id"], "v", "v", partitions=6).collect()}
+    assert totals == {f"t{x}": t for x, t in want.items()}
+
+
+def test_order_pins_no_other_column(spark):
+    wide = spark.range(20).withColumn("text", F.lit("x")).withColumn("v", F.lit(1))
+    for made in (od.dense_index(wide, ["id"]), od.running_total(wide, ["id"], "v", "t")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        stored = [line for line in plan.splitlines() if "LogicalRDD" in line]
+        assert stored and not any("text" in line for line in stored)
 
 
 @pytest.mark.parametrize("step", [1, 1_000_000])
@@ -119,6 +132,26 @@ def test_annotations_round_trip_and_respect_id_borders(spark):
     assert back[1] == text.replace("L5", "[lexeme:word]") and back[2] == "SELECT 1"
 
 
+@pytest.mark.parametrize("hot", [0, 1, 1000])
+def test_labels_of_hot_and_rare_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(an, "HOT", hot)
+    labels = spark.createDataFrame(
+        [("Q1", "entity", "en", "one"), ("Q2", "entity", "en", "two"), ("P3", "property", "en", "three")],
+        "id string, kind string, lang string, label string",
+    )
+    rows = [(i, f"wd:Q1 wd:Q1 wd:Q{i % 4}") for i in range(1, 9)] + [(9, None), (None, "wd:Q1"), (10, ""), (11, "wdt:P3"), (11, "wd:Q2")]
+    queries = spark.createDataFrame(rows, "id int, query string")
+    names = {"Q0": "Q0", "Q1": "one", "Q2": "two", "Q3": "Q3"}
+    want = [(i, f"wd:[entity:one] wd:[entity:one] wd:[entity:{names[f'Q{i % 4}']}]") for i in range(1, 9)]
+    want += [(-1, "wd:[entity:Q1]"), (10, ""), (11, "wdt:[property:three]"), (11, "wd:[entity:two]")]
+    got = an.annotate_ids(queries, labels)
+    assert sorted((-1 if r[0] is None else r[0], r[1]) for r in got.collect()) == sorted(want)
+    back = an.resolve_annotations(got.where("id is not null").withColumnRenamed("query_annotated", "query"), labels)
+    assert sorted(tuple(r) for r in back.collect()) == sorted((i, q) for i, q in rows if i and q is not None)
+    read = {r["id"]: (r["query_readable"][-6:], r["resolved"]) for r in an.readable_ids(queries.where("id < 9"), labels).collect()}
+    assert read[1] == ("wd:one", True) and read[2] == ("wd:two", True) and read[3] == (" wd:Q3", False)
+
+
 def test_readable_ids_drop_unknown(spark):
     labels = spark.createDataFrame([("Q5", "entity", "en", "human being")], "id string, kind string, lang string, label string")
     queries = spark.createDataFrame([(1, "SELECT { ?x a wd:Q5 }"), (2, "SELECT { wd:Q6 }"), (3, "ASK {}")], "id int, query string")

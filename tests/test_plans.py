@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge import bindings
 from pairforge.bindings.inputs import table, turn_pairs
+from pairforge.operators import annotate as an
 from pairforge.operators import clean as cl
 from pairforge.operators import extract as ex
 from pairforge.operators import profile as pf
@@ -29,10 +30,26 @@ def test_no_row_wise_python_and_no_cross_join(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
+def exchanged(df):
+    """The columns that each exchange of the plan moves."""
+    text = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", text)
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     text = plan(bindings.QUERIES["D8_D9_cosine_top_k"](spark, SF))
     assert text.count("WindowGroupLimit") == 4  # two merges, each cut before its shuffle
-    assert not any("vector" in exchange for exchange in re.findall(r"Exchange [^\n]*", text))
+    assert not any("vector" in moved for moved in exchanged(bindings.QUERIES["D8_D9_cosine_top_k"](spark, SF)))
+
+
+def test_only_ids_look_for_labels(spark):
+    queries = spark.sql("SELECT 1 AS id, 'wd:Q1 [entity:x]' AS query")
+    labels = spark.sql("SELECT 'Q1' AS id, 'entity' AS kind, 'en' AS lang, 'x' AS label")
+    for build in (an.annotate_ids, an.readable_ids, an.resolve_annotations):
+        moved = exchanged(build(queries.repartition(2), labels))
+        assert sum("query" in columns for columns in moved) <= 2, moved  # the test's own and one to the map of labels
+        assert any("_item" in columns for columns in moved)
+        assert not any("query" in columns and "_item" in columns for columns in moved)
 
 
 def test_sampled_embeddings_are_cut_before_the_shuffle(spark):
