@@ -240,6 +240,63 @@ def corpus_profile(spark, sf):
     )
 
 
+_MEASURES = " UNION ALL ".join(
+    f"SELECT '{m}' AS measure, {c}::BIGINT AS value FROM structure"
+    for m, c in {"prefixes": "n_prefixes", "variables": "n_variables", "value_rows": "value_rows", "triples": "triples"}.items()
+)
+
+
+@query(
+    "A16_structure_medians",
+    f"WITH {_STRUCTURE}, measures AS ({_MEASURES}) SELECT measure, count(*) AS n, median(value)::DOUBLE AS median FROM measures GROUP BY measure",
+)
+def structure_medians(spark, sf):
+    return an.structure_medians(query_texts(spark, sf))
+
+
+@query("A16_exact_medians", """SELECT l_returnflag AS measure, count(*) AS n, median(l_partkey)::DOUBLE AS median FROM lineitem GROUP BY 1""")
+def exact_medians(spark, sf):
+    """Few measures of many values each."""
+    return an.exact_medians(table(spark, sf, "lineitem").selectExpr("l_returnflag AS measure", "l_partkey AS value"))
+
+
+@query(
+    "A16_declared_prefixes",
+    f"""WITH {QUERY_CTE}, declared AS (SELECT DISTINCT id, unnest(regexp_extract_all(query, '(?i)PREFIX\\s+([A-Za-z0-9_-]*):\\s*<(.*?)>', 1)) AS name,
+    unnest(regexp_extract_all(query, '(?i)PREFIX\\s+([A-Za-z0-9_-]*):\\s*<(.*?)>', 2)) AS url FROM queries)
+SELECT name, url, count(*) AS n_queries FROM declared GROUP BY ALL""",
+)
+def declared_prefixes(spark, sf):
+    return an.declared_usage(query_texts(spark, sf))
+
+
+@query(
+    "A16_property_usage",
+    f"""WITH {QUERY_CTE}, used AS (SELECT id, unnest(regexp_extract_all(query, ':([QPL][0-9]+)', 1)) AS property FROM queries)
+SELECT property, count(*) AS n_uses, count(DISTINCT id) AS n_queries FROM used WHERE property LIKE 'P%' GROUP BY property""",
+)
+def property_usage(spark, sf):
+    return an.property_usage(query_texts(spark, sf))
+
+
+# Statements with lists, decimals, strings, IRIs and clauses; the SQL counts what it put in.
+_STATEMENTS = """'SELECT ?x WHERE { ?x a wd:Q' || l_partkey || CASE WHEN l_partkey % 2 = 0 THEN ', wd:Q5 , <http://x.org/a,b.c;d>' ELSE '' END
+  || ' ; wdt:P' || l_suppkey || ' ' || l_linenumber || '.5' || CASE WHEN l_linenumber > 3 THEN ', -0.25' ELSE '' END || '. '
+  || CASE WHEN l_suppkey % 3 = 0 THEN 'FILTER(?x > 1.5 && regex(?y, "a.b;c")) ' ELSE '' END
+  || CASE WHEN l_suppkey % 5 = 0 THEN 'OPTIONAL { ?x rdfs:label "one. two; three, {four}" } ' ELSE '' END
+  || 'VALUES ?z { wd:Q1 wd:Q2 } # a note; with, signs.' || chr(10) || '}'"""
+
+
+@query(
+    "A16_statement_counts",
+    """SELECT l_orderkey, l_linenumber, (2 + CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END
+  + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END)::INT AS triples FROM lineitem""",
+)
+def statement_counts(spark, sf):
+    queries = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_STATEMENTS} AS query")
+    return queries.select("l_orderkey", "l_linenumber", sq.triple_count(F.col("query")).alias("triples"))
+
+
 # Statements of an order: the first line and every fifth part name the subject, some lack an object.
 _SUBJECT = "CASE WHEN l_linenumber = 1 OR l_partkey % 5 = 0 THEN 's' || l_suppkey END"
 _OBJECT = "CASE WHEN l_partkey % 9 <> 0 THEN 'o' || l_partkey END"

@@ -132,9 +132,38 @@ def value_rows(query: Column) -> Column:
     return F.when(tuples > 0, tuples).otherwise(terms)
 
 
+_VALUES = r"(?is)\bVALUES\s*(?:\([^)]*\)|\?\w+)\s*\{.*?\}"
+# One token of a brace block: an IRI, a string, a comment, a number, a sign, or any other run of characters.
+_TOKEN = r"""<[^<>\s]*>|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|#[^\n]*|[+-]?\d*\.\d+|[(),.;{}]|[^\s(),.;{}<>"'#]+"""
+_CLAUSES = ("filter", "bind", "optional", "union", "minus", "service", "graph", "values", "select", "where")
+
+
 def triple_count(query: Column) -> Column:
-    """Statements in the first brace block: pieces between `.` and `;` with at least two terms."""
-    body = F.regexp_extract(query, r"(?s)\{(.*)\}", 1)
-    plain = F.regexp_replace(body, r"(?is)<[^>]*>|\"[^\"]*\"|\bVALUES\s*(?:\([^)]*\)|\?\w+)\s*\{.*?\}", " t ")
-    pieces = F.split(plain, r"\s*[.;{}]\s*", -1)
-    return F.size(F.filter(pieces, lambda p: F.size(F.split(strip_all(p), r"\s+", -1)) >= 2))
+    """Statements in the first brace block, by one pass over its tokens.
+
+    A statement has two terms at least and ends at `.`, `;`, `}` or a clause word; each further object of a
+    `,` list is one more. What stands in parentheses, VALUES blocks, and the words in front of `{` are none.
+    Dots and signs inside IRIs, strings and numbers end nothing. Nested `[ … ]` counts as terms.
+    """
+    body = F.regexp_extract(F.regexp_replace(query, _VALUES, " "), r"(?s)\{(.*)\}", 1)
+    tokens = F.filter(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
+    state = "struct<depth:int,terms:int,more:int,found:int>"
+
+    def step(s: Column, token: Column) -> Column:
+        opens, closes = token == "(", token == ")"
+        outside = (s["depth"] == 0) & ~opens & ~closes
+        ends = outside & (token.isin(".", ";", "}", "{") | F.lower(token).isin(*_CLAUSES))
+        comma = outside & (token == ",")
+        whole = F.when(s["terms"] >= 2, s["more"] + 1).otherwise(0)
+        return F.struct(
+            (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(ends, 0).when(outside & ~comma, s["terms"] + 1).otherwise(s["terms"]).alias("terms"),
+            F.when(ends, 0).when(comma, s["more"] + 1).otherwise(s["more"]).alias("more"),
+            (s["found"] + F.when(ends & (token != "{"), whole).otherwise(0)).alias("found"),
+        ).cast(state)
+
+    def last(s: Column) -> Column:
+        return s["found"] + F.when(s["terms"] >= 2, s["more"] + 1).otherwise(0)
+
+    start = F.struct(*[F.lit(0).alias(n) for n in ("depth", "terms", "more", "found")]).cast(state)
+    return F.aggregate(tokens, start, step, last)

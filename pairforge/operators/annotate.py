@@ -18,7 +18,7 @@ from pairforge.fixed_values import ID_PREFIXES, PARSE_FAILURE
 from pairforge.functions import sparql as sq
 from pairforge.functions.binding import bind
 from pairforge.functions.text import label_slug
-from pairforge.operators.ordered import forward_fill
+from pairforge.operators.ordered import forward_fill, running_total
 from pairforge.session import pinned
 
 HOT = 1000  # labels that are broadcast
@@ -246,6 +246,46 @@ def prefix_usage(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode(used).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n_queries"))
 
 
+def declared_usage(queries: DataFrame) -> DataFrame:
+    """(name, url, n_queries): how many queries declare each prefix."""
+    declared = F.array_distinct(sq.declared_prefixes(F.col("query")))
+    return queries.select(F.inline(declared)).groupBy("name", "url").agg(F.count("*").alias("n_queries"))
+
+
+def property_usage(queries: DataFrame) -> DataFrame:
+    """(property, n_uses, n_queries): how often each property occurs, and in how many queries."""
+    ids = F.regexp_extract_all(F.col("query"), F.lit(sq.ID), F.lit(1))
+    properties = F.array_sort(F.filter(ids, lambda i: i.startswith("P")))
+    used = queries.select(F.posexplode(properties).alias("pos", "property"), properties.alias("all"))
+    first = (F.col("pos") == 0) | (F.get("all", F.col("pos") - 1) != F.col("property"))
+    return used.groupBy("property").agg(F.count("*").alias("n_uses"), F.count_if(first).alias("n_queries"))
+
+
+def exact_medians(values: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(measure, n, median) of ``values(measure, value)``, exactly; nulls are left out.
+
+    Equal values are counted first, on the map side too; the counts are ranked by a running sum over ranges of
+    (measure, value), so neither a measure nor a value is ever one task's.
+    """
+    counts = values.dropna(subset=["measure", "value"]).groupBy("measure", "value").agg(F.count("*").alias("n"))
+    ranked = running_total(counts, ["measure", "value"], "n", "upto", partitions)
+    totals = ranked.groupBy("measure").agg(F.sum("n").alias("total"), F.max("upto").alias("end"))
+    upto = F.col("upto") - (F.col("end") - F.col("total"))
+    low, high = F.ceil(F.col("total") / 2), F.floor(F.col("total") / 2) + 1
+    found = ranked.join(totals, "measure").groupBy("measure", "total").agg(
+        F.min(F.when(upto >= low, F.col("value"))).alias("low"), F.min(F.when(upto >= high, F.col("value"))).alias("high")
+    )
+    return found.select("measure", F.col("total").alias("n"), ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
+def structure_medians(queries: DataFrame) -> DataFrame:
+    """Exact medians of prefixes, variables, value rows and triples per query: (measure, n, median)."""
+    structure = query_structure(queries)
+    measures = {"prefixes": F.size("prefixes"), "variables": F.size("variables"), "value_rows": F.col("value_rows"), "triples": F.col("triples")}
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("bigint").alias("value")) for m, v in measures.items()])
+    return exact_medians(structure.select(F.inline(pairs)))
+
+
 def complete_triples(triples: DataFrame, fill: tuple[str, ...] = ("s",)) -> DataFrame:
     """``triples(query_id, pos, s, o, …)`` with missing parts taken from the statement before;
     rows that still lack a part are dropped.

@@ -24,10 +24,14 @@ def annotated_corpus(corpus: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def corpus_profile(corpus: DataFrame) -> DataFrame:
-    """Size and shape of the corpus in one row."""
-    return annotate.query_structure(corpus).agg(
+    """Size and shape of the corpus in one row; medians are exact."""
+    shape = annotate.query_structure(corpus).agg(
         F.count("*").alias("n_queries"),
         F.avg("triples").alias("mean_triples"),
-        F.percentile_approx(F.size("variables"), 0.5).alias("median_variables"),
         F.count("limit").alias("n_limited"),
     )
+    medians = annotate.structure_medians(corpus).agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"median_{m}") for m in ("variables", "triples")]
+    )
+    one = F.lit(1).alias("_one")
+    return shape.select(one, "*").join(medians.select(one, "*"), "_one").drop("_one")

@@ -1,6 +1,7 @@
 """Operators on hand-made tables: hot keys, quirks and properties."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,15 @@ def test_labels_of_hot_and_rare_ids(spark, monkeypatch, hot):
     assert read[1] == ("wd:one", True) and read[2] == ("wd:two", True) and read[3] == (" wd:Q3", False)
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_exact_medians(spark, partitions):
+    rng = random.Random(4)
+    groups = {"one": [7], "even": [1, 2, 3, 10], "hot": [5] * 200 + [1, 9, 9], "many": [rng.randrange(1000) for _ in range(301)]}
+    values = spark.createDataFrame([(m, v) for m, vs in groups.items() for v in [*vs, None]], "measure string, value bigint")
+    got = {r["measure"]: (r["n"], r["median"]) for r in an.exact_medians(values, partitions).collect()}
+    assert got == {m: (len(vs), statistics.median(vs)) for m, vs in groups.items()}
+
+
 def test_readable_ids_drop_unknown(spark):
     labels = spark.createDataFrame([("Q5", "entity", "en", "human being")], "id string, kind string, lang string, label string")
     queries = spark.createDataFrame([(1, "SELECT { ?x a wd:Q5 }"), (2, "SELECT { wd:Q6 }"), (3, "ASK {}")], "id int, query string")

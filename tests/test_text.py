@@ -87,6 +87,23 @@ def test_query_structure(spark):
     assert one(spark, query, sq.row_offset) is None
 
 
+@pytest.mark.parametrize(
+    ("body", "n"),
+    [
+        ("?x wdt:P1 ?y, ?z, wd:Q3 ; wdt:P2 1.5, -0.25 .", 5),
+        ("?x a wd:Q1. ?x ex:v 3.14", 2),
+        ('?x rdfs:label "a. b; c, d"@en ; ex:u <http://a.b/c;d,e> .', 2),
+        ("?x a ?y . FILTER(?x > 1.5 && (regex(?y, 'a,b') || ?z)) ?y a ?w", 2),
+        ("?x a ?y OPTIONAL { ?x ex:p ?z } FILTER NOT EXISTS { ?z a ex:T . }", 3),
+        ("SERVICE wikibase:label { bd:serviceParam wikibase:language 'en' . }", 1),
+        ("?x a ?y # a note. with; signs, {all}\n ; a ?z .", 2),
+        ("", 0),
+    ],
+)
+def test_triple_count_knows_lists_numbers_and_clauses(spark, body, n):
+    assert one(spark, f"SELECT * {{ {body} }}", sq.triple_count) == n
+
+
 @pytest.mark.parametrize(
     ("x", "expected"), [(0.123456, 0.123), (123456.0, 123000.0), (-9.8765, -9.88), (0.0, 0.0), (5.0, 5.0), (1e-7, 1e-7)]
 )
