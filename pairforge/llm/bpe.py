@@ -169,21 +169,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(entry): int(rank) for entry, rank in map(bytes.split, lines)}
 
 
-_CODECS: dict[int, Codec] = {}  # of this Python worker, by broadcast
+_CODECS: dict[tuple[str, str], Codec] = {}  # of this Python worker, by vocabulary and pattern
 
 
 def _codec(held, pattern: str) -> Codec:
-    if held.id not in _CODECS:
+    name = held.id, pattern
+    if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[held.id] = Codec(held.value, pattern)
-    return _CODECS[held.id]
+        _CODECS[name] = Codec(held.value, pattern)
+    return _CODECS[name]
 
 
 class _Held:
-    """A broadcast that knows its number on the workers too."""
+    """A broadcast and the digest of what it holds, by which a reused worker knows it."""
 
-    def __init__(self, value, number: int):
-        self._value, self.id = value, number
+    def __init__(self, value, digest: str):
+        self._value, self.id = value, digest
 
     @property
     def value(self):
@@ -191,8 +192,9 @@ class _Held:
 
 
 def _hold(docs: DataFrame, path: str) -> _Held:
-    held = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
-    return _Held(held, id(held))
+    with open(path, "rb") as file:
+        digest = hashlib.file_digest(file, "sha256").hexdigest()
+    return _Held(docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path))), digest)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:

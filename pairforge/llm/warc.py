@@ -31,6 +31,7 @@ from pairforge.llm.common import shared_path
 FILE_BYTES = 1 << 30
 GAP_BYTES = 1 << 16
 READ_BYTES = 8 << 20
+TASK_BYTES = 32 << 20  # compressed records that one task reads
 _DATE = b"1970-01-01T00:00:00Z"  # the tables hold no time of capture
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -141,7 +142,10 @@ def coalesced(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int, lis
 
 
 def read(folder: str, selected: DataFrame) -> DataFrame:
-    """The records that rows of the index select: record_id, url, record_type, refers_to, payload_digest, payload_bytes, payload."""
+    """The records that rows of the index select: record_id, url, record_type, refers_to, payload_digest, payload_bytes, payload.
+
+    Sums up the bytes to read when called, so that every task gets about :data:`TASK_BYTES` of them.
+    """
 
     def run(batches):
         filesystem, base = _place(f"{folder}/records")
@@ -178,7 +182,11 @@ def read(folder: str, selected: DataFrame) -> DataFrame:
             source.close()
 
     schema = "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Ranges follow the bytes to read: the index itself is small, and by its own size it would be one task's.
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    ranges = max(1, -(-total // TASK_BYTES))
+    places = selected.select("file", "offset", "length").repartitionByRange(ranges, "file", "offset")
+    ordered = places.sortWithinPartitions("file", "offset")
     return ordered.mapInPandas(run, schema)
 
 

@@ -308,6 +308,15 @@ def test_bpe_is_tiktoken(odd, none, docs, encoding):
     assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_a_reused_worker_keeps_vocabularies_apart(spark, tmp_path):
+    texts = spark.sql("SELECT 'abab' AS text").coalesce(1)
+    bytes_only = [bytes([i]) for i in range(256)]
+    for merged, want in ((b"ab", [256, 256]), (b"ba", [97, 256, 98]), (b"ab", [256, 256])):
+        path = tmp_path / "ranks"  # the same name, other content
+        path.write_text("".join(f"{base64.b64encode(e).decode()} {i}\n" for i, e in enumerate([*bytes_only, merged])))
+        assert bpe.encoded(texts, str(path), public_tokenizers.PATTERN).first()["ids"] == want
+
+
 def test_bpe_heap_on_odd_words(encoding):
     vocabulary = bpe.Vocabulary(bpe.read_ranks(RANKS))
     draw = np.random.default_rng(3)
@@ -396,6 +405,14 @@ def test_warc_reads_back_what_was_selected(spark, none):
     assert warc.read(folder, index).count() == 0
 
 
+def test_warc_is_read_by_as_many_tasks_as_its_bytes_need(spark, monkeypatch):
+    table = spark.range(40).selectExpr("id AS page_id", "concat('http://', id) AS url", "sha2(string(id), 512) AS html")
+    folder, index = warc.archive(table)
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    rows = warc.read(folder, index).select("record_id", F.spark_partition_id().alias("task")).collect()
+    assert {warc_id(r) for r in rows} == {str(i) for i in range(40)} and len({r["task"] for r in rows}) > 5
+
+
 def warc_id(row):
     return row["record_id"].removeprefix("<urn:page:").removesuffix(">")
 
