@@ -146,24 +146,52 @@ def triple_count(query: Column) -> Column:
     Dots and signs inside IRIs, strings and numbers end nothing. Nested `[ … ]` counts as terms.
     """
     body = F.regexp_extract(F.regexp_replace(query, _VALUES, " "), r"(?s)\{(.*)\}", 1)
-    tokens = F.filter(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("#"))
+    found = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0))
+    # A sign per token: `e` ends a statement, `t` is a term, braces, commas and parentheses stand for themselves.
+    signs = F.array_join(F.transform(found, lambda t: bind(F.lower(t), _sign)), "")
+    return bind(signs, lambda signs: bind(_flat(signs), lambda f: F.when(f.rlike("[()]"), _folded(signs)).otherwise(_counted(f))))
+
+
+def _flat(signs: Column) -> Column:
+    """Without what stands in parentheses, up to two deep; none are left if they were well nested."""
+    return F.regexp_replace(F.regexp_replace(signs, r"\([^()]*\)", ""), r"\([^()]*\)", "")
+
+
+def _sign(token: Column) -> Column:
+    return (
+        F.when(token.isin("(", ")", ",", "{"), token)
+        .when(token.isin(".", ";", "}", *_CLAUSES), "e")
+        .when(token.startswith("#"), "")
+        .otherwise("t")
+    )
+
+
+def _counted(signs: Column) -> Column:
+    """Runs of two terms at least that do not end at `{`, and their commas."""
+    ended = F.regexp_replace(signs, r"(?<![t,])[t,]*+\{", "{")
+    runs = F.regexp_replace(ended, r"(?<![t,]),*t?,*(?![t,])", "")
+    return F.regexp_count(runs, F.lit("[t,]+")) + F.length(runs) - F.length(F.replace(runs, F.lit(","), F.lit("")))
+
+
+def _folded(signs: Column) -> Column:
+    """The same sign by sign, for parentheses nested deeper or left open."""
     state = "struct<depth:int,terms:int,more:int,found:int>"
 
-    def step(s: Column, token: Column) -> Column:
-        opens, closes = token == "(", token == ")"
+    def step(s: Column, sign: Column) -> Column:
+        opens, closes = sign == "(", sign == ")"
         outside = (s["depth"] == 0) & ~opens & ~closes
-        ends = outside & (token.isin(".", ";", "}", "{") | F.lower(token).isin(*_CLAUSES))
-        comma = outside & (token == ",")
+        ends = outside & sign.isin("e", "{")
+        comma = outside & (sign == ",")
         whole = F.when(s["terms"] >= 2, s["more"] + 1).otherwise(0)
         return F.struct(
             (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
             F.when(ends, 0).when(outside & ~comma, s["terms"] + 1).otherwise(s["terms"]).alias("terms"),
             F.when(ends, 0).when(comma, s["more"] + 1).otherwise(s["more"]).alias("more"),
-            (s["found"] + F.when(ends & (token != "{"), whole).otherwise(0)).alias("found"),
+            (s["found"] + F.when(ends & (sign != "{"), whole).otherwise(0)).alias("found"),
         ).cast(state)
 
     def last(s: Column) -> Column:
         return s["found"] + F.when(s["terms"] >= 2, s["more"] + 1).otherwise(0)
 
     start = F.struct(*[F.lit(0).alias(n) for n in ("depth", "terms", "more", "found")]).cast(state)
-    return F.aggregate(tokens, start, step, last)
+    return F.aggregate(F.filter(F.split(signs, ""), lambda c: c != ""), start, step, last)

@@ -110,3 +110,14 @@ def test_triple_count_knows_lists_numbers_and_clauses(spark, body, n):
 def test_round_significant(spark, x, expected):
     row = spark.createDataFrame([(x,)], "x double").select(tx.round_significant(F.col("x")).alias("r")).first()
     assert row["r"] == pytest.approx(expected, rel=1e-12)
+
+
+def test_statements_are_counted_once_per_text(spark):
+    cases = [
+        ("SELECT ?x { ?x a ?y , ?z . ?x b ?c }", 3), ("{ ?x a ( b ( c ( d , e ) . f ) ; g ) , h . }", 2), ("{ a b ) c d . e f }", 1),
+        ("{ ) ( a b . ) c d }", 1), ("{ a b { c d . } e }", 1), ("{ a . b c }", 1), ("{ # a b .\n a \"b . c\" ; <x,y> }", 1), ("{}", 0), ("", 0), (None, None),
+    ]
+    rows = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "i int, q string").select("i", sq.triple_count(F.col("q")).alias("n"))
+    assert [r["n"] for r in rows.orderBy("i").collect()] == [n for _, n in cases]
+    # Tokens are signs of one text; they meet a fold only where parentheses are nested deeper or left open.
+    assert "regexp_count" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
