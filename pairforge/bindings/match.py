@@ -431,10 +431,10 @@ def name_vectors(spark, sf):
     return rows.select("name", _vector_of(7, "name")).join(_vectors(spark, sf), "vec_id").drop("vec_id")
 
 
-def catalog_embeddings(spark, sf):
-    """Embeddings of the text columns: the mean over up to twenty of their different values."""
+def catalog_embeddings(spark, sf, types):
+    """Embeddings of the text columns of stored ``types``: the mean over up to twenty of their different values."""
     cells = catalog(spark, sf).where(tb.present(F.col("value")) & ~F.contains("column", F.lit("Unnamed:")))
-    types = pinned(pf.column_types(catalog(spark, sf)).where(pf.is_textual()).select("table", "column"))
+    types = types.where(pf.is_textual()).select("table", "column")
     # Only numbers of values cross the network, each once.
     values = cells.join(F.broadcast(types), ["table", "column"]).select("table", "column", draw(3, "value").alias("id")).distinct()
     picked = pf.sampled_cells(values, 20).withColumn("vec_id", F.col("id") % _VECTORS)
@@ -443,8 +443,9 @@ def catalog_embeddings(spark, sf):
 
 def pair_features(spark, sf):
     """All 30 features of the catalog pairs, with their gold label."""
-    labelled = mt.gold_labels(profiled_pairs(spark, sf), _mapping(spark))
-    rows = matching.features(labelled, name_vectors(spark, sf), catalog_embeddings(spark, sf))
+    types = pinned(profiles(spark, sf))
+    labelled = mt.gold_labels(mt.column_pairs(types, _pairs_table(spark)), _mapping(spark))
+    rows = matching.features(labelled, name_vectors(spark, sf), catalog_embeddings(spark, sf, types))
     return rows.select(*mt.PAIR, "label", *mt.PAIR_FEATURES)
 
 
@@ -476,7 +477,9 @@ def name_cosine(spark, sf):
     f"WITH {_FEATURE_CTE} SELECT left_table, right_table, left_column, right_column, round(instance_cosine, 6) AS instance_cosine FROM featured",
 )
 def catalog_similarity(spark, sf):
-    rows = mt.instance_similarity(column_pairs(spark, sf).select(*mt.PAIR), catalog_embeddings(spark, sf))
+    types = pinned(pf.column_types(catalog(spark, sf)))
+    pairs = mt.column_pairs(types.select("table", "column", "n_values"), _pairs_table(spark)).select(*mt.PAIR)
+    rows = mt.instance_similarity(pairs, catalog_embeddings(spark, sf, types))
     return rows.withColumn("instance_cosine", F.round("instance_cosine", 6))
 
 

@@ -16,6 +16,8 @@ from pairforge.operators.tables import present
 from pairforge.session import pinned
 
 FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+# Most numbers look like this: plain digits with a sign or a point at most, and at least half of them digits.
+PLAIN_NUMBER = r"^(?:-?[0-9]{2,}\.?[0-9]*|[0-9]\.?|-[0-9]|-?[0-9]\.[0-9]{2,}|[0-9]\.[0-9])\z"
 # A CJK date mark, or a date recognised by its shape with a year from 2000 to 2030.
 _YEAR = "(?:20[0-2][0-9]|2030)"
 _DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
@@ -44,7 +46,7 @@ FEATURES = [
 
 
 def is_float(value: Column) -> Column:
-    return value.rlike(FLOAT_TEXT)
+    return value.rlike(PLAIN_NUMBER) | value.rlike(FLOAT_TEXT)
 
 
 def _without_units(value: Column) -> Column:
@@ -64,7 +66,7 @@ def is_mostly_digits(value: Column) -> Column:
     """At least half digits once separators and units are gone; neither of them holds digits."""
     digits = _among(value, "0123456789")
     size = F.when(value.rlike("[,+万亿萬億]"), F.length(_without_units(value))).otherwise(F.length(value))
-    return (digits > 0) & (digits >= 0.5 * size)
+    return value.rlike(PLAIN_NUMBER) | ((digits > 0) & (digits >= 0.5 * size))
 
 
 def is_url(value: Column) -> Column:
@@ -85,11 +87,12 @@ def number(value: Column) -> Column:
     for unit, factor in reversed(UNITS.items()):
         scale = F.when(F.contains(bare, F.lit(unit)), factor).otherwise(scale)
     parsed = (
-        F.when(is_float(value), F.trim(value).try_cast("double"))
-        .when(F.contains(value, F.lit(",")) & is_float(bare), F.trim(bare).try_cast("double"))
+        F.when(value.rlike(FLOAT_TEXT), F.trim(value).try_cast("double"))
+        .when(F.contains(value, F.lit(",")) & bare.rlike(FLOAT_TEXT), F.trim(bare).try_cast("double"))
         .otherwise(found * scale)
     )
-    return F.nullif(parsed, F.lit(float("nan")))
+    # ``nullif`` computes its argument twice; a plain number is never NaN.
+    return F.when(value.rlike(PLAIN_NUMBER), value.try_cast("double")).otherwise(F.nullif(parsed, F.lit(float("nan"))))
 
 
 def _ratio(value: Column, hits: Column) -> Column:
