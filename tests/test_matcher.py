@@ -86,3 +86,15 @@ def test_no_feature_of_the_catalog_is_constant(spark):
     kinds = features.agg(*[F.count_distinct(F.round(f, 9)).alias(f) for f in mt.PAIR_FEATURES]).first().asDict()
     constant = {f for f, n in kinds.items() if n < 2}
     assert not constant & {"name_bleu", "name_edits", "name_lcs", "name_cosine", "instance_cosine"}  # no name holds another one
+
+
+def test_embeddings_of_the_catalog_read_the_stored_types(spark, monkeypatch):
+    from pairforge.bindings import match as bindings
+
+    read, every = [], bindings.catalog
+    monkeypatch.setattr(bindings, "catalog", lambda *a: read.append(a) or every(*a))
+    assert bindings.catalog_similarity(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(read) == 2  # once for the types, once for the values
+    read.clear()
+    bindings.pair_features(spark, "/root/testdata/sf0.001")
+    assert len(read) == 2

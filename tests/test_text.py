@@ -120,4 +120,4 @@ def test_statements_are_counted_once_per_text(spark):
     rows = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "i int, q string").select("i", sq.triple_count(F.col("q")).alias("n"))
     assert [r["n"] for r in rows.orderBy("i").collect()] == [n for _, n in cases]
     # Tokens are signs of one text; they meet a fold only where parentheses are nested deeper or left open.
-    assert "regexp_count" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_count" in rows._jdf.queryExecution().analyzed().toString().lower()
