@@ -117,3 +117,25 @@ def test_texts_are_shuffled_once(spark, docs):  # noqa: F811
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") >= 2
+
+
+def test_blocks_without_a_shared_core_are_not_sorted():
+    """One anchor in many surroundings: only blocks that hold a window of another holder meet in a suffix array."""
+    draw = np.random.default_rng(5)
+    for least, gram in [(50, 20), (12, 5), (9, 9)]:
+        width, anchor = least - gram, bytes(draw.integers(97, 123, gram, np.uint8))
+        pieces, leads = [], []
+        for i in range(300):
+            left, right = (bytes(draw.integers(97, 123, width, np.uint8)) for _ in range(2))
+            if i % 5 == 0 and i:
+                near = draw.integers(0, width + 1)
+                other, at = pieces[draw.integers(0, i)], leads[0]
+                left, right = left[: width - near] + other[at - near : at], other[at + gram : at + gram + width - near] + right[width - near :]
+            pieces.append(left + anchor + right)
+            leads.append(width)
+        holders = draw.integers(0, 200, 300)
+        maybe = suffixes._may_share(pieces, np.array(leads), holders, least, gram)
+        windows = [{p[k : k + least] for k in range(len(p) - least + 1)} for p in pieces]
+        shares = [any(w & windows[j] for j in range(300) if holders[j] != holders[i]) for i, w in enumerate(windows)]
+        assert all(m or not s for m, s in zip(maybe, shares))
+        assert any(shares) and (least < 50 or maybe.sum() < 200)
