@@ -119,6 +119,16 @@ def test_texts_are_shuffled_once(spark, docs):  # noqa: F811
     assert plan.count("ReusedExchange") >= 2
 
 
+def test_query_leaves_texts_of_null_ids_whole(spark, tmp_path):
+    """A null doc_id has no smaller one, and is none: such rows lose nothing and take nothing."""
+    line = "".join(f"word {i} " for i in range(12))
+    rows = [(5, "a " + line), (None, "b " + line), (None, line), (9, "c " + line + " d"), (-4, "other text"), (7, "x" + line[:49])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in queries.suffix_dedup(spark, str(tmp_path)).collect())
+    n = len(line)
+    assert got == [(False, -4, 10, 0, 0), (False, 5, n + 2, 0, 0), (False, 7, 50, 0, 0), (False, 9, n + 4, n + 2 - 1, 1), (True, 0, n, 0, 0), (True, 0, n + 2, 0, 0)]
+
+
 def test_blocks_without_a_shared_core_are_not_sorted():
     """One anchor in many surroundings: only blocks that hold a window of another holder meet in a suffix array."""
     draw = np.random.default_rng(5)
