@@ -16,9 +16,12 @@ windows that hold under other names count there, for items in which these are ha
 An item whose windows are too few words or too many placeholders to carry evidence is looked for word
 for word: its whole word sequence, anchored by the hash of its first words and then compared in full.
 
-A name is matched as a word too, so that copies in other case are found. Before the join, windows of
-documents pass a bit filter of fixed size made from the benchmark's windows, which only saves work:
-what it lets through is joined exactly. Everything is DataFrame functions.
+A name is matched as a word too, so that copies in other case are found. Two bit filters of fixed size
+only save work. Words of letters are themselves in every form, so a document that misses too many pairs
+of neighbouring ones cannot hold ``least`` of an item's windows: of each item as many pairs are kept as cannot
+all be missing, those of fewest items first, and documents without any of them are not looked at further.
+Windows of the others pass a filter made from the benchmark's windows. What the filters let through is
+joined exactly. Everything is DataFrame functions.
 
 Null texts count as empty and match nothing; windows with fewer than three words that are no
 placeholders carry no evidence, and items without any other window match whole, numbers included,
@@ -30,11 +33,12 @@ document, and all documents with a null key are one document.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.functions.binding import bind
 from pairforge.llm.common import pinned, with_row
 
 WORDS = 5
@@ -117,8 +121,15 @@ def _slots(form: str) -> Column:
     return F.array(*[F.col(f"window.{form}")[f"w{k}"].isin("#", "§", "@") for k in range(WORDS)])
 
 
+def _literals(form: str) -> Column:
+    """Pairs of neighbouring words of letters that no form changes: no units, and no sigma, whose small letter depends on what follows."""
+    same = lambda w: F.rlike(w, F.lit(r"^\p{L}+$")) & ~w.isin(UNITS) & ~F.rlike(w, F.lit("[σς]"))
+    words = [F.col(f"window.{form}")[f"w{k}"] for k in range(WORDS)]
+    return F.array_compact(F.array_distinct(F.array(*[F.when(same(v) & same(w), F.struct(v.alias("v"), w.alias("w"))) for v, w in zip(words, words[1:])])))
+
+
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """(hash, item, item_pos, slots, values): both forms of each window with enough literal words."""
+    """(hash, item, item_pos, slots, values, literals): both forms of each window with enough literal words."""
     own = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     forms = _windows(own, wide).select(
         F.col("id").alias("item"),
@@ -127,8 +138,8 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
         F.explode(
             F.array_distinct(
                 F.array(
-                    F.struct(F.col("plain").alias("hash"), _slots("p").alias("slots"), F.lit(not wide).alias("named")),
-                    F.struct(F.col("template").alias("hash"), _slots("t").alias("slots"), F.lit(True).alias("named")),
+                    F.struct(F.col("plain").alias("hash"), _slots("p").alias("slots"), F.lit(not wide).alias("named"), _literals("p").alias("literals")),
+                    F.struct(F.col("template").alias("hash"), _slots("t").alias("slots"), F.lit(True).alias("named"), _literals("t").alias("literals")),
                 )
             )
         ).alias("form"),
@@ -140,7 +151,7 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
         )
         enough = counted.where(2 * F.col("named") >= F.col("all"))
         forms = forms.where("form.named").join(enough.select("item"), "item", "left_semi")
-    return forms.where(literal >= LITERALS).select("form.hash", "item", "item_pos", "form.slots", "values")
+    return forms.where(literal >= LITERALS).select("form.hash", "item", "item_pos", "form.slots", "values", "form.literals")
 
 
 def _bits(windows: DataFrame) -> DataFrame:
@@ -161,6 +172,44 @@ def _may_hold(bits: Column, hash_: Column) -> Column:
     return F.call_function("getbit", F.get(bits, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
 
 
+def _needed(known: DataFrame, least: float) -> DataFrame | None:
+    """(v, w): pairs of neighbouring words, of which a document holds one at least, if it holds ``least`` of the windows of any item.
+
+    A found window holds all its literal pairs, WORDS - 1 at most. So the windows of the pairs that a document
+    misses, added up by pair, are at most WORDS - 1 times those it may miss. None if an item has too few pairs.
+    """
+    each = known.groupBy("item", "item_pos").agg(F.collect_set("literals").alias("forms"))
+    held = F.aggregate("forms", F.get("forms", F.lit(0)), F.array_intersect)
+    pairs = each.select("item", F.explode(held).alias("pair")).groupBy("item", "pair").agg(F.count(F.lit(1)).alias("n"))
+    spread = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("items"))
+    rank = F.struct("items", (-F.length("pair.v") - F.length("pair.w")).alias("size"), "pair", "n")
+    listed = pairs.join(spread, "pair").groupBy("item").agg(F.array_sort(F.collect_list(rank)).alias("pairs"))
+    may_miss = known.groupBy("item").agg((F.countDistinct("item_pos") * ((WORDS - 1) * (1 - least)) + 1e-6).alias("may_miss"))
+
+    def before(k) -> Column:
+        return F.aggregate(F.slice("pairs", F.lit(1), k), F.lit(0).cast("bigint"), lambda n, w: n + w["n"])
+
+    rows = pinned(may_miss.join(listed, "item", "left"))
+    if not rows.where(~F.coalesce(before(F.size("pairs")) > F.col("may_miss"), F.lit(False))).isEmpty():
+        return None
+    first = F.filter("pairs", lambda w, k: before(k) <= F.col("may_miss"))
+    return rows.select(F.explode(first).alias("first")).select("first.pair.*").distinct()
+
+
+def _with_needed(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Rows that may hold ``least`` of the windows of an item, by the pairs of neighbouring words they hold."""
+    needed = _needed(known, least)
+    if needed is None:
+        return own
+    hashes = [F.xxhash64("v", "w", F.lit(k)) for k in range(2)]
+    bits = _bits(pinned(needed.select(F.explode(F.array(*hashes)).alias("hash")))).first()[0]  # FILTER_BITS / 64 numbers
+    # A literal: subqueries may not stand inside functions over arrays.
+    bits = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    words = F.split(F.lower(F.translate("text", "#§@", "   ")), r"[^\p{L}\p{N}]+")
+    may_hold = lambda v, w: reduce(and_, [_may_hold(bits, F.xxhash64(v, w, F.lit(k))) for k in range(2)])
+    return own.where(bind(words, lambda x: F.exists(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), may_hold), lambda found: found)))
+
+
 def _whole(docs: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame | None:
     """(id, item) for items without a row in ``known`` whose whole word sequence stands in a document."""
     listed = _words(items).select(F.col("id").alias("item"), F.col("words").alias("sequence")).where(F.size("sequence") > 0)
@@ -203,7 +252,7 @@ def _shared(own: DataFrame, known: DataFrame, least: float, wide: bool = False)
     bits = _bits(known).scalar()
     forms = ["template"] if wide else ["plain", "template"]
     held = reduce(or_, [_may_hold(bits, F.col(f)) for f in forms])
-    passed = _windows(own, wide).where(held)
+    passed = _windows(_with_needed(own, known, least), wide).where(held)
     asked = passed.select(
         "id",
         "pos",

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import zlib
 
 import numpy as np
@@ -463,3 +464,32 @@ def test_native_plans_hold_no_python(spark):
 def test_scans_read_two_columns(docs):
     plan = exact.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
     assert "lang" not in plan and os.path.exists(SF)
+
+
+def test_decontamination_looks_only_at_documents_that_may_hold_an_item(spark, monkeypatch):
+    """The filter by pairs of words lets far fewer documents through, and never one that is contaminated."""
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(60)] + ["Weng", "Alice", "kg", "12", "5kg", "ΑΣ'Β", "McDonald", "1,5", "AbCd", "·", "é", "3"]
+    questions = [" ".join(draw.choices(vocabulary, k=draw.randrange(8, 30))) for _ in range(25)]
+    other = lambda t: t.replace("Weng", "Zoe").replace("12", "1,050").replace("Alice", "Bo").replace("5kg", "7 kg")
+    texts = []
+    for i in range(400):
+        words = draw.choices(vocabulary, k=20)
+        if i % 4 == 0:
+            asked = draw.choice([str, other])(draw.choice(questions)).split(" ")
+            for _ in range(draw.randrange(3)):
+                asked[draw.randrange(len(asked))] = draw.choice(vocabulary)
+            words[7:7] = asked
+        texts.append((i, " ".join(words)))
+    rows = spark.createDataFrame([*texts, (None, None), (900, "")], "doc_id bigint, text string").repartition(3)
+    items = spark.createDataFrame(list(enumerate(questions)), "item_id bigint, text string")
+    own = rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    for wide in (False, True):
+        known = decontaminate.benchmark_windows(items, wide=wide).where("item < 20")
+        assert decontaminate._with_needed(own, known, 0.8).count() < 200
+    for some in (items, items.unionByName(spark.createDataFrame([(99, "one 2 three 4 five 6 seven")], items.schema)), items.where("false")):
+        got = {tuple(r) for r in decontaminate.contaminated(rows, some).collect()}
+        with monkeypatch.context() as plain:
+            plain.setattr(decontaminate, "_with_needed", lambda own, known, least: own)
+            want = {tuple(r) for r in decontaminate.contaminated(rows, some).collect()}
+        assert got == want and (len(want) > 30) == (not some.isEmpty())
