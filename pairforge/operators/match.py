@@ -159,10 +159,15 @@ def masked_copies(pairs: DataFrame, every: int = 5) -> DataFrame:
 
 def rule_score(pairs: DataFrame) -> DataFrame:
     """A score without a model: half name similarity, half agreement of the column types."""
-    left, right = normalised_name(F.col("left_column")), normalised_name(F.col("right_column"))
-    name = 1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
-    gaps = sum((F.abs(F.col(f"left.is_{t}") - F.col(f"right.is_{t}")) for t in TYPES), F.lit(0.0))
-    return pairs.withColumn("score", 0.5 * name + 0.5 * (1 - gaps / 2))
+    names = [normalised_name(F.col(f"{side}_column")) for side in ("left", "right")]
+    return pairs.withColumn("score", rule_score_of(*names, F.col("left"), F.col("right")))
+
+
+def rule_score_of(left_name: Column, right_name: Column, left: Column, right: Column) -> Column:
+    """The score of :func:`rule_score` from normalised names and structs with the type indicators."""
+    name = 1 - F.levenshtein(left_name, right_name) / F.greatest(F.length(left_name), F.length(right_name))
+    gaps = sum((F.abs(left[f"is_{t}"] - right[f"is_{t}"]) for t in TYPES), F.lit(0.0))
+    return 0.5 * name + 0.5 * (1 - gaps / 2)
 
 
 # --- classifier ----------------------------------------------------------------------------------

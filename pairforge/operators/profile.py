@@ -115,8 +115,12 @@ def _stats(prefix: str, x: str) -> list[Column]:
     ]
 
 
+def _is_cell() -> Column:
+    return present(F.col("value")) & ~F.contains(F.col("column"), F.lit("Unnamed:"))
+
+
 def _cells(values: DataFrame) -> DataFrame:
-    return values.where(present(F.col("value")) & ~F.contains(F.col("column"), F.lit("Unnamed:")))
+    return values.where(_is_cell())
 
 
 def _tests() -> list[Column]:
@@ -127,12 +131,15 @@ def _tests() -> list[Column]:
     ]
 
 
-def _shares() -> list[Column]:
+def _shares(n: Column | None = None) -> list[Column]:
+    """Shares of the cells that pass the tests; ``n`` counts the cells, if not all rows are."""
+    n = F.count(F.lit(1)) if n is None else n
+
     def share(flag: str, least: float) -> Column:
-        return F.count_if(flag) >= least * F.count(F.lit(1))
+        return F.count_if(flag) >= least * n
 
     return [
-        F.count(F.lit(1)).alias("n_values"),
+        n.alias("n_values"),
         share("_float", 0.95).alias("strict_numeric"),
         share("_digits", 0.9).alias("mainly_numeric"),
         share("_url", 0.9).alias("_urls"),
@@ -157,6 +164,21 @@ def column_types(values: DataFrame, by: list[str] | None = None) -> DataFrame:
     return _typed(_cells(values).select(*groups, *_tests()).groupBy(*groups).agg(*_shares()))
 
 
+def typed_sets(values: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`column_types` with ``values``, the set of all values of a column, also of those that hold no value for its type.
+
+    For columns of single results, whose values are in one row of the source already.
+    """
+    groups = [*by, "column"]
+    tested = values.select(*groups, "value", _is_cell().alias("_cell"), *_tests())
+    flags = [F.when(F.col("_cell"), F.col(f)).alias(f) for f in ("_float", "_digits", "_url", "_date")]
+    read = tested.select(*groups, "value", "_cell", *flags)
+    sets = read.groupBy(*groups).agg(
+        *_shares(F.count_if("_cell")), F.collect_set("value").alias("values")
+    )
+    return _typed(sets.where("n_values > 0"))
+
+
 def is_textual() -> Column:
     """Whether a typed column is text, or only mainly numeric: it has character features and an embedding."""
     return (F.col("type") == "string") | (~F.col("strict_numeric") & F.col("mainly_numeric"))

@@ -160,11 +160,11 @@ def set_scores(members: DataFrame, key: list[str], value: str, side: str) -> Dat
         F.count_if("l").alias("left_size"),
         F.count_if("r").alias("right_size"),
     )
-    return sizes.select(*key, "both", "left_size", "right_size", *_set_ratios())
+    return sizes.select(*key, "both", "left_size", "right_size", *set_ratios(F.col("both"), F.col("left_size"), F.col("right_size")))
 
 
-def _set_ratios() -> list[Column]:
-    both, left, right = F.col("both"), F.col("left_size"), F.col("right_size")
+def set_ratios(both: Column, left: Column, right: Column) -> list[Column]:
+    """Overlap, Jaccard and Dice from the sizes of two sets and of what they share."""
     zero = F.lit(0.0)
     return [
         F.coalesce(F.try_divide(both, F.least(left, right)), zero).alias("overlap"),

@@ -77,15 +77,16 @@ def unreadable_json(docs: DataFrame, key: str = "id", text: str = "json") -> Dat
     return docs.where(F.col(text).isNotNull() & json_leaves(F.col(text)).isNull()).select(key, text)
 
 
-def binding_values(docs: DataFrame, key: str = "id", text: str = "bindings") -> DataFrame:
+def binding_values(docs: DataFrame, key: str | list[str] = "id", text: str = "bindings") -> DataFrame:
     """The usual result shape, a list of ``{variable: {type, value}}``, without leaving the JVM."""
-    rows = docs.select(key, F.posexplode(F.from_json(text, BINDINGS)).alias("row", "_b"))
-    cells = rows.select(key, "row", F.explode("_b").alias("variable", "cell"))
+    keys = [key] if isinstance(key, str) else key
+    rows = docs.select(*keys, F.posexplode(F.from_json(text, BINDINGS)).alias("row", "_b"))
+    cells = rows.select(*keys, "row", F.explode("_b").alias("variable", "cell"))
     parts = F.array(
         F.struct(F.concat("variable", F.lit(".type")).alias("column"), F.col("cell.type").alias("value")),
         F.struct(F.concat("variable", F.lit(".value")).alias("column"), F.col("cell.value").alias("value")),
     )
-    return cells.select(key, F.col("row").cast("bigint").alias("row"), F.inline(parts)).where("value is not null")
+    return cells.select(*keys, F.col("row").cast("bigint").alias("row"), F.inline(parts)).where("value is not null")
 
 
 def unpivoted(df: DataFrame, table: str, key: list[str] | None = None) -> DataFrame:

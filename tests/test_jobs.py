@@ -62,3 +62,16 @@ def test_execution_scores_of_odd_results(spark):
     got = {r["id"]: (r["dice"], r["syntax"]) for r in evaluation.execution_scores(results).collect()}
     assert got == {1: (1.0, 1.0), 2: (0.0, 1.0), 3: (1.0, 1.0), 5: (None, 1.0), 6: (0.0, 0.0)}
     assert evaluation.execution_scores(results.limit(0)).count() == 0
+
+
+def test_execution_scores_deal_the_results_out_once(spark):
+    hit, more = '[{"x": {"type": "uri", "value": "a"}}, {"x": {"type": "uri", "value": "--"}}]', '[{"x": {"type": "uri", "value": "b"}}]'
+    rows = [(1, "ok", hit, more), (1, "ok", None, hit), (None, "ok", hit, hit), (2, "ok", hit, '[{"y": {"type": "uri", "value": "a"}}]')]
+    results = spark.createDataFrame(rows, "id bigint, outcome string, target string, generated string")
+    scores = evaluation.execution_scores(results)
+    # Two reads of the source move, with whole results; no cell does, and no join deals anything anew.
+    text = scores._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(id#") == text.count("Exchange") == 2
+    # Results of one id are one: type {uri} and {uri}, value {a, --} and {b, a, --}; each outcome meets each target.
+    got = sorted((r["id"], round(r["overlap"], 6), round(r["jaccard"], 6)) for r in scores.collect())
+    assert got == [(1, 0.0, 0.0), (1, 0.0, 0.0), (1, 1.0, 0.833333), (1, 1.0, 0.833333), (2, 1.0, 0.75)]
