@@ -1,6 +1,9 @@
 """Alignment of two tokenizers over the same bytes, as Arrow arrays from tokens to links.
 
-Each text is encoded twice. Token lists are flattened with their parent indices, entries become byte
+Each text is encoded twice. No token of either tokenizer reaches over a blank between two words, so each
+different word of a slice is aligned once, and texts are put together from their words; texts with signs
+that Unicode versions read differently, and words that do not come back, are aligned as whole texts, as
+all texts are with tokenizers of another kind. Token lists are flattened with their parent indices, entries become byte
 lengths, and cumulative sums give the ends of the tokens. An Acero join of both ends (an end of the
 whole slice names its document too) yields every end of either side once; sorted and filled backwards
 it holds one row per pair of tokens that share bytes, and the rows where both sides end cut the
@@ -24,13 +27,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +43,19 @@ from pairforge.llm.common import arrow_map, keyed, shared_path, slices, texts_of
 FREQUENT = 1 << 18
 #: Pairs a task counts before it hands them on.
 HELD = 1 << 20
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 1_500_000
+#: Bytes of an Arrow batch that carries texts or links, and its rows at most.
+BATCH_BYTES, BATCH_ROWS = 3_000_000, 1_500
+#: Texts or words encoded at once; the encodings of the first tokenizer are large.
+ENCODED = 2_000
+#: Bytes of a row group of stored links, which a task holds until it is written.
+GROUP_BYTES = 16_000_000
 #: Links a task looks at in one piece.
 SLICE_LINKS = 500_000
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 200_000
-#: How the byte-level BPE cuts a text before merging. Which signs are letters, numbers or blanks depends on
-#: the Unicode version of the library, so only texts of signs that never changed are cut here.
-PRE_TOKENS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A blank between two words. Which signs are letters, numbers or blanks depends on the Unicode version of
+#: the library, so only texts of signs that never changed are cut there.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+CUT = "\0"  # no settled sign
 SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
 
 
@@ -83,12 +91,8 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.first, uncut = Tokenizer.from_buffer(models.first), Tokenizer.from_buffer(models.first)
-        self.first.encode_special_tokens = uncut.encode_special_tokens = True
-        cuts = isinstance(uncut.pre_tokenizer, pre_tokenizers.ByteLevel) and uncut.pre_tokenizer.use_regex and not uncut.pre_tokenizer.add_prefix_space
-        uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.uncut = uncut if cuts and uncut.normalizer is None else None
-        self.known: dict[str, list[int]] = {}
+        self.first = Tokenizer.from_buffer(models.first)
+        self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=models.second)
         signs = _byte_signs()
         sizes = self.first.get_vocab_size(), self.second.get_piece_size()
@@ -98,6 +102,18 @@ class Tokenizers:
         self.entries = pa.array(a, pa.binary()), pa.array(b, pa.binary())
         self.lengths = [pc.binary_length(e).cast(pa.int64()) for e in self.entries]
         self.codes = sizes[1]
+        self.by_word = self._is_by_word(pre_tokenizers.ByteLevel)
+
+    def _is_by_word(self, byte_level: type) -> bool:
+        """Whether no token of either tokenizer can reach over a blank between two words, so that words are encoded alone.
+
+        The first cuts there before merging. The second merges by rank, and none of its pieces goes on with a blank.
+        """
+        first, second = self.first, self.second
+        cuts = isinstance(first.pre_tokenizer, byte_level) and first.pre_tokenizer.use_regex and not first.pre_tokenizer.add_prefix_space
+        pieces = [i for i in range(self.codes) if not (second.is_byte(i) or second.is_control(i) or second.is_unknown(i))]
+        ranked = all(second.get_score(i) == int(second.get_score(i)) for i in pieces)
+        return cuts and first.normalizer is None and ranked and not any(re.search("[^▁]▁", second.id_to_piece(i)) for i in pieces)
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -105,21 +121,12 @@ class Tokenizers:
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        cut = [PRE_TOKENS.findall(" " + t) if self.uncut and SETTLED.fullmatch(t) else None for t in texts]
-        seen = set(chain.from_iterable(tokens for tokens in cut if tokens))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = list(seen - self.known.keys())
-        if missing:
-            self.known.update(zip(missing, [e.ids for e in self.uncut.encode_batch_fast(missing, add_special_tokens=False)], strict=True))
-        a = [
-            list(chain.from_iterable(map(self.known.__getitem__, tokens)))
-            if tokens is not None
-            else self.first.encode(" " + text, add_special_tokens=False).ids
-            for text, tokens in zip(texts, cut, strict=True)
-        ]
-        b = self.second.encode(texts, num_threads=1)
-        return pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))
+        kind, a, b = pa.list_(pa.int32()), [], []
+        for i in range(0, len(texts), ENCODED):
+            some = texts[i : i + ENCODED]
+            a.append(pa.array([e.ids for e in self.first.encode_batch_fast([" " + t for t in some], add_special_tokens=False)], kind))
+            b.append(pa.array(self.second.encode(some, num_threads=1), kind))
+        return tuple(pa.concat_arrays([pa.array([], kind), *x]) for x in (a, b))
 
 
 _LOADED: dict[str, Tokenizers] = {}  # of this Python worker, by digest of the files
@@ -154,12 +161,22 @@ def _joined(ids: pa.Array, offsets: np.ndarray, sign: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids), sign)
 
 
-def align(tokenizers: Tokenizers, texts: list[bytes]) -> dict[str, pa.Array]:
-    """Columns of one slice: n_a, n_b, n_groups, groups, links (``a * pieces + b``, by place)."""
-    wanted = [i for i, t in enumerate(texts) if t]
-    a, b = tokenizers.encode([texts[i].decode() for i in wanted])
-    some = [texts[i] for i in wanted]
-    same = np.array(_same_bytes(a, tokenizers.entries[0], some), bool) & np.array(_same_bytes(b, tokenizers.entries[1], some), bool)
+@dataclass(frozen=True)
+class Aligned:
+    """The tokens of some texts: whether both tokenizers give them back, counts, groups and links (``a * pieces + b``)."""
+
+    same: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: pa.Array
+    links: pa.ListArray
+
+
+def _aligned_whole(tokenizers: Tokenizers, texts: list[bytes]) -> Aligned:
+    """Each text at once; none may be empty."""
+    a, b = tokenizers.encode([t.decode() for t in texts])
+    same = np.array(_same_bytes(a, tokenizers.entries[0], texts), bool) & np.array(_same_bytes(b, tokenizers.entries[1], texts), bool)
     a, b = a.filter(pa.array(same)), b.filter(pa.array(same))
     first, whole = _ends(a, tokenizers.lengths[0], "a")
     second, _ = _ends(b, tokenizers.lengths[1], "b")
@@ -177,18 +194,67 @@ def align(tokenizers: Tokenizers, texts: list[bytes]) -> dict[str, pa.Array]:
         pc.multiply(pc.fill_null_backward(table["a"]).cast(pa.int64()), tokenizers.codes), pc.fill_null_backward(table["b"]).cast(pa.int64())
     )
 
-    # Back to all rows: those without tokens have empty lists.
-    place = np.zeros(len(texts), np.int64)
-    place[np.array(wanted, np.int64)[same]] = 1
-    upto = np.concatenate([[0], np.cumsum(place)])
-    counted = lambda numbers: pa.array(np.diff(np.asarray(numbers)[upto]), pa.int64())
+    # Back to all texts: those without tokens have empty lists.
+    upto = np.concatenate([[0], np.cumsum(same)])
+    counted = lambda numbers: np.diff(np.asarray(numbers)[upto])
     codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    return Aligned(
+        same,
+        counted(a.offsets.to_numpy() - a.offsets[0].as_py()),
+        counted(b.offsets.to_numpy() - b.offsets[0].as_py()),
+        counted(group_ends),
+        _joined(lines, group_ends[upto], ";"),
+        pa.ListArray.from_arrays(pa.array(link_ends[upto].astype(np.int32)), codes),
+    )
+
+
+def _aligned_by_word(tokenizers: Tokenizers, texts: list[str]) -> Aligned:
+    """Settled texts: each different word of the slice is aligned once, and texts are put together from their words."""
+    listed = pc.split_pattern(pa.array([BETWEEN.sub(CUT, t) for t in texts], pa.string()), CUT)
+    coded = listed.flatten().dictionary_encode()
+    words, at, offsets = _aligned_whole(tokenizers, coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices, listed.offsets.to_numpy()
+    index, begins = at.to_numpy(), offsets[:-1]
+    links = words.links.take(at)
+    return Aligned(
+        np.logical_and.reduceat(words.same[index], begins),
+        *[np.add.reduceat(n[index], begins) for n in (words.n_a, words.n_b, words.n_groups)],
+        pc.binary_join(pa.ListArray.from_arrays(listed.offsets, words.groups.take(at)), ";"),
+        pa.ListArray.from_arrays(pa.array(links.offsets.to_numpy()[offsets]), links.values),
+    )
+
+
+def align(tokenizers: Tokenizers, texts: list[bytes]) -> dict[str, pa.Array]:
+    """Columns of one slice: n_a, n_b, n_groups, groups, links (``a * pieces + b``, by place)."""
+    wanted = [i for i, t in enumerate(texts) if t]
+    read = {i: texts[i].decode() for i in wanted}
+    cut = [i for i in wanted if tokenizers.by_word and SETTLED.fullmatch(read[i])]
+    parts = []  # (rows, what is known of them)
+    if cut:
+        made = _aligned_by_word(tokenizers, [read[i] for i in cut])
+        parts.append((np.array(cut)[made.same], made))
+        cut = np.array(cut)[made.same]  # a word that does not come back is judged within its text
+    rest = sorted(set(wanted) - set(map(int, cut)))
+    if rest:
+        made = _aligned_whole(tokenizers, [texts[i] for i in rest])
+        parts.append((np.array(rest)[made.same], made))
+
+    def placed(of, none: pa.Array) -> pa.Array:
+        """Values of the parts by row, and an empty one for rows without tokens."""
+        place = np.full(len(texts), 0)
+        size, chunks = 1, [none]
+        for rows, part in parts:
+            place[rows] = size + np.arange(len(rows))
+            chunks.append(of(part).filter(pa.array(part.same)))
+            size += len(rows)
+        return pa.concat_arrays(chunks).take(pa.array(place))
+
+    zero = pa.array([0], pa.int64())
     return {
-        "n_a": counted(a.offsets.to_numpy() - a.offsets[0].as_py()),
-        "n_b": counted(b.offsets.to_numpy() - b.offsets[0].as_py()),
-        "n_groups": counted(group_ends),
-        "groups": _joined(lines, group_ends[upto], ";"),
-        "links": pa.ListArray.from_arrays(pa.array(link_ends[upto].astype(np.int32)), codes),
+        "n_a": placed(lambda x: pa.array(x.n_a, pa.int64()), zero),
+        "n_b": placed(lambda x: pa.array(x.n_b, pa.int64()), zero),
+        "n_groups": placed(lambda x: pa.array(x.n_groups, pa.int64()), zero),
+        "groups": placed(lambda x: x.groups, pa.array([""])),
+        "links": placed(lambda x: x.links, pa.array([[]], pa.list_(pa.int64()))),
     }
 
 
@@ -200,13 +266,27 @@ def aligned(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "t
     def work(batch):
         texts = texts_of(batch)
         for begin, end in slices(texts, SLICE_BYTES):
-            made = align(_tokenizers(held, digest), texts[begin:end])
-            yield {"id": batch.column("id")[begin:end]} | made
+            yield {"id": batch.column("id")[begin:end]} | align(_tokenizers(held, digest), texts[begin:end])
+            pa.default_memory_pool().release_unused()  # idle workers stay, and share the memory of their machine
 
     schema = f"id {dict(own.dtypes)['id']}, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>"
     return arrow_map(own, work, schema).withColumnRenamed("id", key)
 
 
+@contextmanager
+def _bounded_batches(spark):
+    """Arrow batches of few bytes, for jobs that run at once: a row of links is many times its text."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _partial_counts(batches):
     """(code, n) of the documents of a task: distinct pairs of each, counted, handed on when many are held."""
     held: list[pa.Table] = []
@@ -238,7 +318,8 @@ def pair_counts(rows: DataFrame, pieces: int) -> DataFrame:
     """(code, n, best): in how many rows each pair is linked, and whether no pair of its first id has more."""
     counted = rows.select("links").mapInArrow(_partial_counts, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     path = shared_path(rows.sparkSession, "pair-counts")
-    counted.withColumn("a", F.expr(f"code div {pieces}")).write.parquet(path)
+    with _bounded_batches(rows.sparkSession):
+        counted.withColumn("a", F.expr(f"code div {pieces}")).write.parquet(path)
     stored = rows.sparkSession.read.parquet(path)
     highest = stored.groupBy("a").agg(F.max("n").alias("most"))  # one row per vocabulary entry at most
     return stored.join(F.broadcast(highest), "a").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -250,7 +331,9 @@ def scored(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "te
     made = aligned(docs, models, key, text)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     path = shared_path(spark, "aligned")
-    made.select(F.monotonically_increasing_id().alias("row"), F.struct(key).alias("own"), "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links").write.parquet(path)
+    numbered = made.select(F.monotonically_increasing_id().alias("row"), F.struct(key).alias("own"), "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links")
+    with _bounded_batches(spark):
+        numbered.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     rows = spark.read.parquet(path)
     pieces = Tokenizers(models).codes
     counts = pair_counts(rows, pieces)

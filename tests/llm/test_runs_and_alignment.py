@@ -172,3 +172,28 @@ def test_remembered_pre_tokens_give_the_ids_of_the_tokenizer():
     assert 100 < sum(bool(alignment.SETTLED.fullmatch(t)) for t in texts) < 2900
     ids, _ = tokenizers.encode(texts)
     assert ids.to_pylist() == [tokenizers.first.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_aligned_once_and_give_the_alignment_of_whole_texts():
+    tokenizers = alignment.Tokenizers(alignment.Models.read(A, B))
+    draw = random.Random(9)
+    signs = [" ", " ", " ", "  ", "\n", "\t", "'ll", "'", "a", "the", "É", "ß", "x1", "22", "½", "²", "¨", "漢", "あ", "ж", "<|endoftext|>", "</s>", ".", "\xa0", "😀", "▁"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(30))).encode() for _ in range(3000)]
+    assert tokenizers.by_word
+    encoded, encode = [], tokenizers.encode
+    tokenizers.encode = lambda some: (encoded.extend(some), encode(some))[1]
+    by_word = alignment.align(tokenizers, texts)
+    tokenizers.by_word = False
+    whole = alignment.align(tokenizers, texts)
+    assert all(by_word[c].equals(whole[c]) for c in whole) and sum(n > 0 for n in whole["n_a"].to_pylist()) > 500
+    tokenizers.by_word, encoded[:] = True, []
+    alignment.align(tokenizers, [b"one two", b"two one two", "two é".encode()])
+    assert sorted(encoded) == ["one", "two", "é"]
+
+
+def test_batches_of_links_are_bounded_while_the_jobs_run(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    with alignment._bounded_batches(spark):
+        assert [spark.conf.get(n) for n in names] == [str(alignment.BATCH_ROWS), str(alignment.BATCH_BYTES)]
+    assert [spark.conf.get(n) for n in names] == before
