@@ -202,12 +202,12 @@ def _with_needed(own: DataFrame, known: DataFrame, least: float) -> DataFrame:
     if needed is None:
         return own
     hashes = [F.xxhash64("v", "w", F.lit(k)) for k in range(2)]
-    bits = _bits(pinned(needed.select(F.explode(F.array(*hashes)).alias("hash")))).first()[0]  # FILTER_BITS / 64 numbers
-    # A literal: subqueries may not stand inside functions over arrays.
-    bits = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    # One row of FILTER_BITS / 64 numbers, joined: as a literal it would stand in every text of the plan that the driver keeps.
+    bits = pinned(_bits(needed.select(F.explode(F.array(*hashes)).alias("hash"))).select(F.col("bits").alias("_needed")))
     words = F.split(F.lower(F.translate("text", "#§@", "   ")), r"[^\p{L}\p{N}]+")
-    may_hold = lambda v, w: reduce(and_, [_may_hold(bits, F.xxhash64(v, w, F.lit(k))) for k in range(2)])
-    return own.where(bind(words, lambda x: F.exists(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), may_hold), lambda found: found)))
+    may_hold = lambda v, w: reduce(and_, [_may_hold(F.col("_needed"), F.xxhash64(v, w, F.lit(k))) for k in range(2)])
+    holds = bind(words, lambda x: F.exists(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), may_hold), lambda found: found))
+    return own.join(F.broadcast(bits), holds, "left_semi")
 
 
 def _whole(docs: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame | None:

@@ -493,3 +493,12 @@ def test_decontamination_looks_only_at_documents_that_may_hold_an_item(spark, mo
             plain.setattr(decontaminate, "_with_needed", lambda own, known, least: own)
             want = {tuple(r) for r in decontaminate.contaminated(rows, some).collect()}
         assert got == want and (len(want) > 30) == (not some.isEmpty())
+
+
+def test_the_filter_of_word_pairs_is_no_text_of_the_plan(spark):
+    said = "the quick brown fox jumps over the lazy dog near a quiet river bank today"
+    own = spark.createDataFrame([(1, "so " + said), (2, "nothing of it is here at all"), (None, said)], "id bigint, text string")
+    items = spark.createDataFrame([("i", said)], "item_id string, text string")
+    kept = decontaminate._with_needed(own, decontaminate.benchmark_windows(items), 0.8)
+    assert len(kept._jdf.queryExecution().toString()) < 30_000
+    assert [(r["id"], r["text"]) for r in kept.orderBy("id").collect()] == [(None, said), (1, "so " + said)]
