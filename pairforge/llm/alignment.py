@@ -43,9 +43,9 @@ from pairforge.llm.common import arrow_map, keyed, shared_path, slices, texts_of
 FREQUENT = 1 << 18
 #: Pairs a task counts before it hands them on.
 HELD = 1 << 20
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 2_500_000
 #: Bytes of an Arrow batch that carries texts or links, and its rows at most.
-BATCH_BYTES, BATCH_ROWS = 3_000_000, 1_500
+BATCH_BYTES, BATCH_ROWS = 3_000_000, 2_000
 #: Texts or words encoded at once; the encodings of the first tokenizer are large.
 ENCODED = 2_000
 #: Bytes of a row group of stored links, which a task holds until it is written.
