@@ -42,11 +42,13 @@ from pairforge.llm.components import components
 ORDERS = 3
 BLOCK = 256
 CENTRES = 8
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: The largest components, named by a broadcast table of so many rows at most.
 HOT_COMPONENTS = 1000
 #: Shingle hashes have so many bits.
 BITS = 56
+#: Bytes of text whose words and shingles a task holds at once.
+SLICE_BYTES = 2_000_000
 
 
 class _Hashes(dict):
@@ -102,7 +104,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
 
     def work(batch):
         texts = texts_of(batch)
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE_BYTES):
             sets = shingle_sets(texts[a:b], words)
             yield {
                 "id": batch.column("id")[a:b],
@@ -125,19 +127,29 @@ def _packed(names: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hashes: np
 
 def _unpacked(contents, with_frequency: bool = False) -> list[np.ndarray]:
     """Class, size of its set, hash (and frequency) of every entry of some blocks."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
-    for content in contents:
-        k = int(np.frombuffer(content, "<i8", 1)[0])
-        names, counts = np.frombuffer(content, "<i8", k, 8), np.frombuffer(content, "<u4", k, 8 + 12 * k)
-        sizes, at, total = np.frombuffer(content, "<u4", k, 8 + 8 * k).astype(np.int64), 8 + 16 * k, int(counts.sum())
-        wide = np.zeros((total, 8), np.uint8)
+    heads = [int(np.frombuffer(content, "<i8", 1)[0]) for content in contents]
+    counts = [np.frombuffer(content, "<u4", k, 8 + 12 * k) for content, k in zip(contents, heads, strict=True)]
+    totals = [int(c.sum()) for c in counts]
+    # Filled in place: lists of arrays that are joined afterwards would hold every entry twice.
+    kinds = [np.int64, np.uint32, np.uint64] + [np.uint32] * with_frequency
+    columns = [np.zeros(sum(totals), kind) for kind in kinds]
+    begin = 0
+    for content, k, count, total in zip(contents, heads, counts, totals, strict=True):
+        at, end = 8 + 16 * k, begin + total
+        columns[0][begin:end] = np.repeat(np.frombuffer(content, "<i8", k, 8), count)
+        columns[1][begin:end] = np.repeat(np.frombuffer(content, "<u4", k, 8 + 8 * k), count)
+        wide = columns[2][begin:end].view(np.uint8).reshape(total, 8)
         wide[:, : BITS // 8] = np.frombuffer(content, np.uint8, total * BITS // 8, at).reshape(total, -1)
-        columns[0].append(np.repeat(names, counts))
-        columns[1].append(np.repeat(sizes, counts))
-        columns[2].append(wide.view("<u8").ravel())
         if with_frequency:
-            columns[3].append(np.frombuffer(content, "<u4", total, at + total * BITS // 8))
-    return [np.concatenate(c) for c in columns if c]
+            columns[3][begin:end] = np.frombuffer(content, "<u4", total, at + total * BITS // 8)
+        begin = end
+    return columns
+
+
+def _taken(columns: list[np.ndarray], rows: np.ndarray) -> None:
+    """The rows of each column, one column at a time."""
+    for k in range(len(columns)):
+        columns[k] = columns[k][rows]
 
 
 def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
@@ -148,7 +160,7 @@ def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_BYTES):
                 sets, names = [], []
                 for one in shingle_sets(texts[a:b], words):
                     if len(one) and (name := _class_of(one)) not in seen:
@@ -179,20 +191,23 @@ def _shared(buckets: int):
     """Entries of one range of hashes to those that two classes or more have, by buckets of classes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, sizes, hashes = _unpacked(rows["content"])
-        order = np.lexsort((names, hashes))
-        names, sizes, hashes = names[order], sizes[order], hashes[order]
+        columns = _unpacked(rows["content"])
+        _taken(columns, np.lexsort((columns[0], columns[2])))
+        names, _, hashes = columns
         first = np.ones(len(names), bool)  # several tasks may have sent one class
         first[1:] = (hashes[1:] != hashes[:-1]) | (names[1:] != names[:-1])
-        names, sizes, hashes = names[first], sizes[first], hashes[first]
+        # Entries of one class alone go before anything else is made of them: most end here.
         begins = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        counts = np.diff(np.append(begins, len(hashes)))
-        frequency = np.repeat(counts, counts)
-        kept = frequency > 1
-        names, sizes, hashes, frequency = names[kept], sizes[kept], hashes[kept], frequency[kept]
-        bucket = (mixed(names.view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((names, bucket))
-        names, sizes, hashes, frequency, bucket = (c[order] for c in (names, sizes, hashes, frequency, bucket))
+        lengths = np.diff(np.append(begins, len(hashes)))
+        counts = np.add.reduceat(first, begins, dtype=np.int64)
+        kept = first & np.repeat(counts > 1, lengths)
+        del names, hashes
+        _taken(columns, kept)
+        frequency = np.repeat(counts[counts > 1], counts[counts > 1])
+        bucket = (mixed(columns[0].view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
+        columns += [frequency, bucket]
+        _taken(columns, np.lexsort((columns[0], bucket)))
+        names, sizes, hashes, frequency, bucket = columns
         bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         there = np.flatnonzero(np.diff(bounds))
         contents = []
@@ -219,8 +234,9 @@ def _candidates(percent: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         columns = _unpacked(rows["content"], with_frequency=True)
-        order = np.lexsort((columns[2], columns[0]))
-        names, sizes, every, frequencies = (c[order] for c in columns)
+        _taken(columns, np.lexsort((columns[2], columns[0])))
+        names, sizes, every, frequencies = columns
+        sizes = sizes.astype(np.int64)
         begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         ends = np.append(begins[1:], len(names))
         enough = ends - begins >= least_overlap(sizes[begins], percent)

@@ -6,10 +6,12 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -172,6 +174,35 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, block, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, percent)
 
 
+def test_ngram_join_holds_few_words_at_once(spark, monkeypatch):
+    made, held = ngram_join.shingle_sets, []
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda texts, words: held.append(sum(map(len, texts))) or made(texts, words))
+    batch = pa.RecordBatch.from_pydict({"text": [f"{i} " + "some words of a long text " * 4000 for i in range(50)]})
+    runs_of = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda rows, run, schema: runs_of.append(run) or rows)
+    ngram_join._blocks(spark.createDataFrame([("x",)], "text string"), 5, 4)
+    out = list(runs_of[0](iter([batch])))
+    assert max(held) <= 2_000_000 and sum(held) > 5_000_000
+    content = [x for part in out for x in part.column("content").to_pylist()]
+    names = {n for c in content for n in ngram_join._unpacked([c])[0].tolist()}
+    assert len(names) == 50
+
+
+def test_ngram_join_unpacks_blocks_in_place():
+    sets, k = [np.unique(np.random.default_rng(i).integers(0, 1 << 56, 2000, np.uint64)) for i in range(100)], 25
+    contents = [
+        ngram_join._packed(np.arange(i, i + k), np.full(k, 2000), np.array([len(s) for s in sets[i : i + k]]), np.concatenate(sets[i : i + k]))
+        for i in range(0, 100, k)
+    ]
+    tracemalloc.start()
+    names, sizes, hashes = ngram_join._unpacked(contents)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(hashes)  # 20 bytes an entry, and the columns of one block beside them
+    assert (hashes == np.concatenate(sets)).all() and (names == np.repeat(np.arange(100), [len(s) for s in sets])).all()
+    assert (sizes == 2000).all()
+
+
 def test_ngram_join_edge_cases(odd, none):
     got = ngram_join.linked(odd).collect()
     assert len(got) == 9 and {r["component_id"] for r in got if r["doc_id"] in (4, 6)} == {4}
