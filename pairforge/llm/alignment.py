@@ -1,7 +1,8 @@
 """Alignment of two tokenizers over the same bytes, as Arrow arrays from tokens to links.
 
 Each text is encoded twice. No token of either tokenizer reaches over a blank between two words, so each
-different word of a slice is aligned once, and texts are put together from their words; texts with signs
+different word of a slice is aligned once, and texts are put together from their words; a worker remembers
+words of former slices, up to a bound in bytes, first those that came again. Texts with signs
 that Unicode versions read differently, and words that do not come back, are aligned as whole texts, as
 all texts are with tokenizers of another kind. Token lists are flattened with their parent indices, entries become byte
 lengths, and cumulative sums give the ends of the tokens. An Acero join of both ends (an end of the
@@ -50,6 +51,8 @@ BATCH_BYTES, BATCH_ROWS = 3_000_000, 2_000
 ENCODED = 2_000
 #: Bytes of a row group of stored links, which a task holds until it is written.
 GROUP_BYTES = 16_000_000
+#: Bytes of aligned words that a worker remembers from slice to slice.
+REMEMBERED_BYTES = 40_000_000
 #: Links a task looks at in one piece.
 SLICE_LINKS = 500_000
 #: A blank between two words. Which signs are letters, numbers or blanks depends on the Unicode version of
@@ -103,6 +106,7 @@ class Tokenizers:
         self.lengths = [pc.binary_length(e).cast(pa.int64()) for e in self.entries]
         self.codes = sizes[1]
         self.by_word = self._is_by_word(pre_tokenizers.ByteLevel)
+        self.words = Words(self)
 
     def _is_by_word(self, byte_level: type) -> bool:
         """Whether no token of either tokenizer can reach over a blank between two words, so that words are encoded alone.
@@ -172,6 +176,16 @@ class Aligned:
     groups: pa.Array
     links: pa.ListArray
 
+    def filter(self, rows: pa.Array) -> Aligned:
+        of = rows.to_numpy(zero_copy_only=False)
+        return Aligned(*[n[of] for n in (self.same, self.n_a, self.n_b, self.n_groups)], self.groups.filter(rows), self.links.filter(rows))
+
+    def plus(self, more: Aligned) -> Aligned:
+        numbers = zip((self.same, self.n_a, self.n_b, self.n_groups), (more.same, more.n_a, more.n_b, more.n_groups), strict=True)
+        return Aligned(
+            *[np.concatenate(n) for n in numbers], pa.concat_arrays([self.groups, more.groups]), pa.concat_arrays([self.links, more.links])
+        )
+
 
 def _aligned_whole(tokenizers: Tokenizers, texts: list[bytes]) -> Aligned:
     """Each text at once; none may be empty."""
@@ -208,12 +222,41 @@ def _aligned_whole(tokenizers: Tokenizers, texts: list[bytes]) -> Aligned:
     )
 
 
+class Words:
+    """The words that a worker has aligned, with their tokens; when they are too many, those that came only once go."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers = tokenizers
+        self.words, self.aligned = pa.array([], pa.binary()), _aligned_whole(tokenizers, [])
+        self.again = np.zeros(0, bool)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each of some different words in ``aligned``; new ones are aligned first."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        known = at >= 0
+        self.again[at[known]] = True
+        if self.words.nbytes + self.aligned.groups.nbytes + self.aligned.links.nbytes > REMEMBERED_BYTES:
+            kept = self.again.copy()
+            if 2 * kept.sum() > len(kept):
+                kept[:] = False
+                kept[at[known]] = True
+            at[known] = (np.cumsum(kept) - 1)[at[known]]
+            rows = pa.array(kept)
+            self.words, self.aligned, self.again = self.words.filter(rows), self.aligned.filter(rows), np.zeros(kept.sum(), bool)
+        new = words.filter(pa.array(~known))
+        if len(new):
+            at[~known] = len(self.words) + np.arange(len(new))
+            self.aligned = self.aligned.plus(_aligned_whole(self.tokenizers, new.to_pylist()))
+            self.words, self.again = pa.concat_arrays([self.words, new]), np.append(self.again, np.zeros(len(new), bool))
+        return at
+
+
 def _aligned_by_word(tokenizers: Tokenizers, texts: list[str]) -> Aligned:
     """Settled texts: each different word of the slice is aligned once, and texts are put together from their words."""
     listed = pc.split_pattern(pa.array([BETWEEN.sub(CUT, t) for t in texts], pa.string()), CUT)
     coded = listed.flatten().dictionary_encode()
-    words, at, offsets = _aligned_whole(tokenizers, coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices, listed.offsets.to_numpy()
-    index, begins = at.to_numpy(), offsets[:-1]
+    index, offsets = tokenizers.words.places(coded.dictionary.cast(pa.binary()))[coded.indices.to_numpy()], listed.offsets.to_numpy()
+    words, at, begins = tokenizers.words.aligned, pa.array(index), offsets[:-1]
     links = words.links.take(at)
     return Aligned(
         np.logical_and.reduceat(words.same[index], begins),

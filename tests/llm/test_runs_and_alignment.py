@@ -197,3 +197,28 @@ def test_batches_of_links_are_bounded_while_the_jobs_run(spark):
     with alignment._bounded_batches(spark):
         assert [spark.conf.get(n) for n in names] == [str(alignment.BATCH_ROWS), str(alignment.BATCH_BYTES)]
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_words_of_former_slices_are_not_encoded_again(monkeypatch):
+    tokenizers = alignment.Tokenizers(alignment.Models.read(A, B))
+    encode, encoded = tokenizers.encode, []
+    monkeypatch.setattr(tokenizers, "encode", lambda texts: encoded.extend(texts) or encode(texts))
+    first = alignment.align(tokenizers, [b"known words here", b"words again"])
+    encoded.clear()
+    again = alignment.align(tokenizers, [b"known words here", b"words again", b"words anew"])
+    assert encoded == ["anew"]
+    assert all(again[name][:2] == first[name] for name in first)
+
+
+def test_forgotten_words_leave_the_others_in_place(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["und", "der", f"w{rng.randrange(400)}", f"Zahl-{rng.random()}"]) for _ in range(40)).encode() for _ in range(60)]
+    plain = alignment.Tokenizers(alignment.Models.read(A, B))
+    plain.by_word = False
+    monkeypatch.setattr(alignment, "REMEMBERED_BYTES", 10_000)
+    tokenizers, sizes = alignment.Tokenizers(alignment.Models.read(A, B)), []
+    for i in range(0, 60, 5):
+        got, want = alignment.align(tokenizers, texts[i : i + 5]), alignment.align(plain, texts[i : i + 5])
+        assert all(got[name] == want[name] for name in want)
+        sizes.append(len(tokenizers.words.words))
+    assert sizes != sorted(sizes)  # some were forgotten
