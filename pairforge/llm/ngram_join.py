@@ -14,14 +14,18 @@ How it runs:
    hashes; a block names a class once and holds seven bytes for each hash.
 2. Per range of hashes, frequencies are counted over all classes; only shingles of two classes or
    more go back, by class. Classes with enough of them are the candidates; most texts end here.
-3. Candidates that share a rarest-first prefix shingle form families (connected components). Only
-   inside a family can there be links.
-4. A family of at most BLOCK classes is verified in one task, many families to a task. A larger one is
-   cut into blocks, each verified within itself and against the family's most central classes. The
-   classes that are still outside the largest component of their family then meet all blocks of it,
-   a pair of blocks to a task. So no group is ever collected, classes that the blocks and the centres
-   have connected are not compared across blocks again, and no link that joins two components is lost.
-5. Verified links give the components; classes give them to their documents.
+3. Candidates whose shared shingles have the same smallest one under a hash order are compared, in
+   blocks of BLOCK classes, each block of a larger group also with the most central classes of the
+   group. That connects most near copies at a cost that grows with their number. A class that such a
+   comparison finds linked to a class of many (HUB_MEMBERS) is a member of that hub.
+4. Links that are still missing join two components. Their classes share a shingle of the rarest-first
+   prefix, so only shingles that several components hold are looked at, and there each hub stands for
+   its members. Shingles whose hubs begin with the same one (by hash) are met together; a group of
+   more than BLOCK hubs is met by pairs of blocks. No group is closed over chains of shared shingles.
+5. The Jaccard distance is a metric: members of two hubs can only link if the hubs are no farther apart
+   than the distance of a link and both hubs' own farthest members. Where hubs are that near, and still
+   in two components, the members of the larger one meet those of all its near ones, by pairs of blocks.
+6. Verified links give the components; classes give them to their documents.
 
 Null and empty texts have the empty set and link with nothing; texts with fewer words than a shingle
 are one shingle; repeated rows are of one class; null keys take part but name no component.
@@ -42,6 +46,8 @@ from pairforge.llm.components import components
 ORDERS = 3
 BLOCK = 256
 CENTRES = 8
+#: A class with so many members found in its block stands for them.
+HUB_MEMBERS = 16
 REMEMBERED = 100_000
 #: The largest components, named by a broadcast table of so many rows at most.
 HOT_COMPONENTS = 1000
@@ -246,13 +252,13 @@ def _candidates(percent: int):
             hashes, frequency = every[begin:end], frequencies[begin:end]
             prefixes = [prefix_of(hashes, frequency, int(n), k, percent) for k in range(ORDERS)]
             central = (end - begin) / n + float(np.log(frequency).mean()) / 100
-            found.append((name, n, hashes.tobytes(), *[p.tobytes() for p in prefixes], central, prefixes[0].view(np.int64).tolist()))
-        return pd.DataFrame(found, columns=["class", "n", "shared", *[f"p{k}" for k in range(ORDERS)], "central", "prefix"])
+            found.append((name, n, hashes.tobytes(), *[p.tobytes() for p in prefixes], central, int(prefixes[1][0]), prefixes[0].view(np.int64).tolist()))
+        return pd.DataFrame(found, columns=["class", "n", "shared", *[f"p{k}" for k in range(ORDERS)], "central", "least", "prefix"])
 
     return run
 
 
-_CANDIDATE = "class bigint, n bigint, shared binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS)) + ", central double, prefix array<bigint>"
+_CANDIDATE = "class bigint, n bigint, shared binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS)) + ", central double, least bigint, prefix array<bigint>"
 
 
 def _common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -263,6 +269,7 @@ def _common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     twice = counts[back] > 1
     owner, column = owner[twice], (np.cumsum(counts > 1) - 1)[back[twice]]
     out = np.zeros((len(sets), len(sets)), np.float32)
+    columns = min(columns, int((counts > 1).sum()) or 1)
     for begin in range(0, int((counts > 1).sum()), columns):
         here = (column >= begin) & (column < begin + columns)
         part = np.zeros((len(sets), columns), np.float32)
@@ -271,25 +278,30 @@ def _common(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
-def links_among(rows: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all linked pairs among some classes: filter by each order, then verify."""
-    n = rows["n"].to_numpy()
-    may = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+def _counted(rows: pd.DataFrame, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs that ``may`` marks, and how many shingles each pair shares."""
+    a, b = np.nonzero(may)
+    if not len(a):
+        return a, b, a
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shared"]]
+    if len(a) > 4 * len(rows):
+        return a, b, _common(sets)[a, b].astype(np.int64)
+    return a, b, np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+
+
+def _linked(rows: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and distances of all linked pairs of classes of two sides: filter by each order, then verify."""
+    n, side = rows["n"].to_numpy(), rows["side"].to_numpy()
+    may = np.triu((side[:, None] != side) | (side < 0), 1)
     may &= np.minimum(n[:, None], n) * 100 >= percent * np.maximum(n[:, None], n)
     for k in range(ORDERS):
         if not may.any():
             break
         may &= _common([np.frombuffer(p, np.uint64) for p in rows[f"p{k}"]]) > 0
-    a, b = np.nonzero(may)
-    if not len(a):
-        return a, b
-    sets = [np.frombuffer(s, np.uint64) for s in rows["shared"]]
-    if len(a) > 4 * len(rows):
-        common = _common(sets)[a, b].astype(np.int64)
-    else:
-        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
-    linked = 100 * common >= percent * (n[a] + n[b] - common)
-    return a[linked], b[linked]
+    a, b, common = _counted(rows, may)
+    union = n[a] + n[b] - common
+    linked = 100 * common >= percent * union
+    return a[linked], b[linked], 1 - common[linked] / union[linked]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -309,70 +321,179 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(x, r) for x in range(size) if (r := find(x)) != x]
 
 
+_UNIT = ["unit", "i", "j"]
+
+
 def _edges(percent: int):
-    """Star edges of the components inside each family that the task has."""
+    """Star edges (a, b) of the components inside each unit that the task has."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, family in rows.groupby("family", sort=False):
-            family = family.drop_duplicates("class")
-            names = family["class"].to_numpy()
-            for x, y in _forest(*links_among(family, percent), len(family)):
-                out.append((names[x], names[y]))
+        for _, unit in rows.groupby(_UNIT, sort=False):
+            names = unit["class"].to_numpy()
+            a, b, _ = _linked(unit, percent)
+            out += [(names[x], names[y]) for x, y in _forest(a, b, len(unit))]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _families(candidates: DataFrame) -> DataFrame:
-    """Candidates that share a prefix shingle, directly or by others, with ``family`` and ``members``."""
-    index = candidates.select("class", F.explode("prefix").alias("shingle"))
-    hubs = index.groupBy("shingle").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    edges = index.join(hubs, "shingle").select(F.col("class").alias("a"), F.col("hub").alias("b"))
-    families = pinned(components(edges).select(F.col("node").alias("class"), F.col("component").alias("family")))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    return pinned(candidates.drop("prefix").join(families.join(sizes, "family"), "class"))
+def _hubs_of(a: np.ndarray, b: np.ndarray, far: np.ndarray, size: int) -> list[tuple[int, int, float]]:
+    """Each node that is linked to an earlier hub, the first such hub and its distance; other nodes are hubs."""
+    near = [[] for _ in range(size)]
+    for x, y, d in zip(a.tolist(), b.tolist(), far.tolist(), strict=True):
+        near[x].append((y, d))
+    free, out = [True] * size, []
+    for x in range(size):
+        if free[x]:
+            for y, d in near[x]:
+                if free[y]:
+                    free[y] = False
+                    out.append((y, x, d))
+    return out
 
 
-def _verified(candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between classes whose components are those of all links."""
-    families = _families(candidates)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    large = F.col("members") > BLOCK
-    small = families.where(~large).withColumn("task", F.pmod(F.xxhash64("family"), F.lit(buckets)))
-    columns = ["family", "class", "n", "shared", *[f"p{k}" for k in range(ORDERS)]]
-    edges = small.groupBy("task").applyInPandas(_edges(percent), "a bigint, b bigint")
-
-    # Large families: blocks of classes, placed by hash, each with the family's most central classes.
-    placed = families.where(large).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("class", F.lit(1)), blocks)})
+def _stars(percent: int):
+    """(a, b, far) of each unit: a class and its hub with their distance, and star edges of the components with far -1."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        # Centres come first and in one order, so all blocks of a group agree on the hubs among them.
+        rows = rows.sort_values(["centre", "central", "class"], ascending=False).drop_duplicates([*_UNIT, "class"])
+        for _, unit in rows.groupby(_UNIT, sort=False):
+            names = unit["class"].to_numpy()
+            a, b, far = _linked(unit, percent)
+            out += [(names[x], names[y], d) for x, y, d in _hubs_of(a, b, far, len(unit))]
+            out += [(names[x], names[y], -1.0) for x, y in _forest(a, b, len(unit))]
+        return pd.DataFrame(out, columns=["a", "b", "far"]).astype({"a": "int64", "b": "int64", "far": "float64"})
+
+    return run
+
+
+def _meetings(percent: int):
+    """(a, b, linked) of each unit: edges between hubs of two components, and hubs near enough for links of their members."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, unit in rows.groupby(_UNIT, sort=False):
+            names, component, block = (unit[c].to_numpy() for c in ("class", "component", "block"))
+            n, radius = unit["n"].to_numpy(), unit["radius"].to_numpy()
+            may = np.triu(component[:, None] != component, 1)
+            if unit["i"].iloc[0] != unit["j"].iloc[0]:
+                may &= block[:, None] != block
+            # A little less than asked for: distances are rounded.
+            least = percent / 100 - radius[:, None] - radius - 1e-9
+            may &= np.minimum(n[:, None], n) >= least * np.maximum(n[:, None], n)
+            alone = (radius[:, None] == 0) & (radius == 0)
+            for k in range(ORDERS):
+                if not (may & alone).any():
+                    break
+                may &= ~alone | (_common([np.frombuffer(p, np.uint64) for p in unit[f"p{k}"]]) > 0)
+            a, b, common = _counted(unit, may)
+            union = n[a] + n[b] - common
+            linked = 100 * common >= percent * union
+            out += [(names[x], names[y], True) for x, y in _forest(a[linked], b[linked], len(unit))]
+            near = ~linked & ~alone[a, b] & (common >= least[a, b] * union)
+            out += [(names[x], names[y], False) for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["a", "b", "linked"]).astype({"a": "int64", "b": "int64", "linked": "bool"})
+
+    return run
+
+
+def _tasks(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of units (unit, i, j) by task: units of a block or less share a task, blocks of larger ones have their own."""
+    few = F.pmod(F.xxhash64("unit"), F.lit(buckets).cast("bigint"))
+    return rows.withColumn("task", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("unit", "i", "j"))).groupBy("task")
+
+
+def _blocks_of(size: str):
+    return F.ceil(F.col(size) / BLOCK).cast("int")
+
+
+def _block(name: str, seed: int, blocks: str):
+    return F.pmod(F.xxhash64(name, F.lit(seed)), F.col(blocks)).cast("int")
+
+
+_SETS = ["class", "n", "shared", *[f"p{k}" for k in range(ORDERS)]]
+
+
+def _copies(candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(a, b, far), as ``_stars`` has it, of candidates with the same least shingle."""
+    sizes = candidates.groupBy(F.col("least").alias("unit")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    placed = candidates.withColumnRenamed("least", "unit").join(sizes, "unit").withColumn("blocks", _blocks_of("k"))
+    placed = placed.select("unit", "blocks", *_SETS, "central", _block("class", 1, "blocks").alias("i"), F.lit(0).alias("centre"))
+    # No side: all classes of a block are compared.
     centres = (
-        placed.groupBy("family", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(CENTRES)).alias("k"))
-        .agg(F.max_by(F.struct(*[c for c in columns if c != "family"], "blocks"), F.struct("central", "class")).alias("c"))
-        .select("family", "c.*")
-    )
-    spread = centres.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    within = (
-        placed.select(*columns, "block").unionByName(spread.select(*columns, "block"))
-        .groupBy("family", "block").applyInPandas(_edges(percent), "a bigint, b bigint")
+        placed.where("blocks > 1").groupBy("unit", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(CENTRES)).alias("k"))
+        .agg(F.max_by(F.struct("blocks", *_SETS, "central"), F.struct("central", "class")).alias("c"))
+        .select("unit", "c.*", F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)).alias("i"), F.lit(1).alias("centre"))
     )
-    edges = pinned(edges.unionByName(within))
+    rows = placed.unionByName(centres).withColumns({"j": F.col("i"), "side": F.lit(-1)})
+    return pinned(_tasks(rows, buckets).applyInPandas(_stars(percent), "a bigint, b bigint, far double"))
+
 
-    # What the blocks left outside the largest component of its family meets all blocks of it.
+def _hubs(candidates: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, hub) of each candidate, itself if it has no hub of many members; (hub, members, radius) of those hubs."""
+    stars = found.where("far >= 0").groupBy(F.col("a").alias("class")).agg(F.min(F.struct("b", "far")).alias("s"))
+    stars = stars.select("class", F.col("s.b").alias("hub"), "s.far")
+    many = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("radius"))
+    many = pinned(many.where(F.col("members") >= HUB_MEMBERS).withColumn("members", F.col("members") + 1))
+    named = candidates.select("class").join(stars.join(many.select("hub"), "hub").select("class", "hub"), "class", "left")
+    return named.select("class", F.coalesce("hub", "class").alias("hub")), many
+
+
+def _met(candidates: DataFrame, hubs: DataFrame, many: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """Units of hubs whose classes share rarest-first prefix shingles that more than one component holds."""
+    of_class = hubs.join(found, F.col("class") == F.col("node"), "left").select(
+        "class", "hub", F.coalesce("component", "class").alias("component")
+    )
+    entries = candidates.select("class", F.explode("prefix").alias("shingle")).join(of_class, "class")
+    entries = entries.select("shingle", "hub", "component").distinct()
+    held = entries.groupBy("shingle").agg(F.min(F.xxhash64("hub")).alias("unit"), F.min("component").alias("low"), F.max("component").alias("high"))
+    units = pinned(entries.join(held.where("low < high").select("shingle", "unit"), "shingle").select("unit", "hub", "component").distinct())
+    sizes = units.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).withColumn("blocks", _blocks_of("k")).drop("k")
+    placed = units.join(sizes, "unit").withColumn("block", _block("hub", 3, "blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = placed.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    placed = placed.join(many.drop("members"), "hub", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
+    return _tasks(placed.join(candidates.select(*_SETS), F.col("hub") == F.col("class")), buckets)
+
+
+def _members_met(candidates: DataFrame, hubs: DataFrame, many: DataFrame, near: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between the members of near hubs (a, b): those of the larger hub meet those of all its near ones."""
+    sized = near
+    for side in ("a", "b"):
+        sized = sized.join(many.select(F.col("hub").alias(side), F.col("members").alias(f"k{side}")), side, "left")
+    larger = F.coalesce("ka", F.lit(1)) >= F.coalesce("kb", F.lit(1))
+    pairs = sized.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("unit"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("hub"))
+    others = pinned(pairs.join(hubs, "hub").select("unit", "class"))
+    sizes = others.groupBy("unit").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.join(many.withColumnRenamed("hub", "unit"), "unit").select("unit", _blocks_of("members").alias("bi"), _blocks_of("k").alias("bj"))
+    sides = []
+    for rows, side, i, j in ((hubs.select(F.col("hub").alias("unit"), "class"), 0, "i", "j"), (others, 1, "j", "i")):
+        rows = rows.join(sizes, "unit").withColumn(i, _block("class", 4, f"b{i}")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(f"b{j}") - 1)))
+        sides.append(rows.select("unit", "i", "j", (F.col("bi") * F.col("bj")).alias("blocks"), "class", F.lit(side).alias("side")))
+    rows = sides[0].unionByName(sides[1]).join(candidates.select(*_SETS), "class")
+    return _tasks(rows, buckets).applyInPandas(_edges(percent), "a bigint, b bigint")
+
+
+def _verified(candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between classes whose components are those of all links."""
+    copies = _copies(candidates, percent, buckets)
+    edges = copies.select("a", "b")
+    hubs, many = _hubs(candidates, copies)
+    units = _met(candidates, hubs, many, components(edges), buckets)
+    met = pinned(units.applyInPandas(_meetings(percent), "a bigint, b bigint, linked boolean"))
+    edges = edges.unionByName(met.where("linked").select("a", "b"))
+
+    # Members of near hubs are only compared where the links of hubs have not joined them yet.
     found = components(edges)
-    known = placed.join(found, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
-    known = pinned(known.select(*columns, "blocks", "block", "component"))
-    counted = known.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = counted.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    outside = known.join(largest, "family").where(F.col("component") != F.col("largest")).drop("largest")
-    counts = outside.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("outer_blocks"))
-    outside = outside.join(counts, "family").withColumn("outer", F.pmod(F.xxhash64("class", F.lit(3)), F.col("outer_blocks")))
-    pairs = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, "block", "outer")
-    others = known.join(counts, "family").withColumn("outer", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)))
-    across = (
-        pairs.unionByName(others.select(*columns, "block", "outer"))
-        .groupBy("family", "block", "outer").applyInPandas(_edges(percent), "a bigint, b bigint")
-    )
-    return edges.unionByName(across)
+    near = met.where(~F.col("linked")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        own = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        near = near.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    near = pinned(near.where("ca <> cb").select("a", "b"))
+    return edges.unionByName(_members_met(candidates, hubs, many, near, percent, buckets))
 
 
 def _named(classes_found: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -174,6 +175,42 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, block, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, percent)
 
 
+@pytest.mark.parametrize(("hub", "percent"), [(2, 60), (3, 75)])
+def test_ngram_join_members_of_near_hubs_meet(spark, monkeypatch, hub, percent):
+    """Hubs of few members in small blocks: only the members of near hubs can join chains of edits."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "HUB_MEMBERS", hub)
+    draw, rows = np.random.default_rng(11), []
+    for base in range(4):
+        words = [f"w{draw.integers(0, 30)}" for _ in range(50)]
+        for step in range(20):
+            words = words if step % 3 else list(words)
+            one = list(words)
+            one[draw.integers(0, 50)] = f"edit{draw.integers(0, 40)}"
+            words[draw.integers(0, 50)] = f"w{draw.integers(0, 30)}"
+            rows.append((len(rows) * 7 % 101, " ".join(one)))
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, percent)
+
+
+def test_ngram_join_does_not_meet_groups_that_a_chance_shingle_bridges(spark, monkeypatch):
+    """Two groups of near copies that one document each ties by a rare shingle: blocks of one don't meet all of the other."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    given, made = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, run, schema: given.append((str(schema), self._df)) or made(self, run, schema))
+    draw, rows = np.random.default_rng(3), []
+    for base in range(2):
+        words = [f"b{base}w{k}" for k in range(80)]
+        for copy in range(96):
+            one = list(words)
+            one[draw.integers(0, 80)] = f"edit{copy // 2}"
+            one[10:14] = ["of", "the", "same", "four"] if copy < 2 else one[10:14]
+            rows.append((len(rows), " ".join(one)))
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, percent=70).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 70)
+    assert sum(rows_given.count() for schema, rows_given in given if schema.startswith("a bigint")) < 8 * len(rows)
+
+
 def test_ngram_join_holds_few_words_at_once(spark, monkeypatch):
     made, held = ngram_join.shingle_sets, []
     monkeypatch.setattr(ngram_join, "shingle_sets", lambda texts, words: held.append(sum(map(len, texts))) or made(texts, words))
