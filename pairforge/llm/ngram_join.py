@@ -158,6 +158,12 @@ def _taken(columns: list[np.ndarray], rows: np.ndarray) -> None:
         columns[k] = columns[k][rows]
 
 
+def _runs(part: np.ndarray, owner: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the runs of equal (part, owner) begin, how long they are, and the first run of each part; both are sorted."""
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+    return begins, np.diff(np.append(begins, len(part))), np.searchsorted(part[begins], np.arange(parts + 1))
+
+
 def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
     """(part, content): the sets of all classes, cut by ranges of shingle hashes, packed."""
     width = np.uint64((1 << BITS) // ranges + 1)
@@ -182,11 +188,12 @@ def _blocks(docs: DataFrame, words: int, ranges: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 hashes, owner, part = hashes[order], owner[order], part[order]
                 bounds = np.searchsorted(part, np.arange(ranges + 1))
+                begins, counts, firsts = _runs(part, owner, ranges)
+                names_of, sizes_of = named[owner[begins]], sizes[owner[begins]]
                 parts, contents = [], []
                 for p in np.flatnonzero(np.diff(bounds)):
-                    own = owner[bounds[p] : bounds[p + 1]]
-                    here, counts = np.unique(own, return_counts=True)
-                    contents.append(_packed(named[here], sizes[here], counts, hashes[bounds[p] : bounds[p + 1]]))
+                    own = slice(firsts[p], firsts[p + 1])
+                    contents.append(_packed(names_of[own], sizes_of[own], counts[own], hashes[bounds[p] : bounds[p + 1]]))
                     parts.append(int(p))
                 yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "content": pa.array(contents, pa.binary())})
 
@@ -216,11 +223,12 @@ def _shared(buckets: int):
         names, sizes, hashes, frequency, bucket = columns
         bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         there = np.flatnonzero(np.diff(bounds))
+        begins, many, firsts = _runs(bucket, names, buckets)
+        names_of, sizes_of = names[begins], sizes[begins]
         contents = []
         for b in there:
-            own = slice(bounds[b], bounds[b + 1])
-            here, at, many = np.unique(names[own], return_index=True, return_counts=True)
-            contents.append(_packed(here, sizes[own][at], many, hashes[own], frequency[own]))
+            own, every = slice(firsts[b], firsts[b + 1]), slice(bounds[b], bounds[b + 1])
+            contents.append(_packed(names_of[own], sizes_of[own], many[own], hashes[every], frequency[every]))
         return pd.DataFrame({"bucket": there.astype(np.int32), "content": contents})
 
     return run
@@ -361,6 +369,8 @@ def _stars(percent: int):
         # Centres come first and in one order, so all blocks of a group agree on the hubs among them.
         rows = rows.sort_values(["centre", "central", "class"], ascending=False).drop_duplicates([*_UNIT, "class"])
         for _, unit in rows.groupby(_UNIT, sort=False):
+            if len(unit) == 1:
+                continue
             names = unit["class"].to_numpy()
             a, b, far = _linked(unit, percent)
             out += [(names[x], names[y], d) for x, y, d in _hubs_of(a, b, far, len(unit))]
@@ -419,8 +429,10 @@ _SETS = ["class", "n", "shared", *[f"p{k}" for k in range(ORDERS)]]
 
 def _copies(candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(a, b, far), as ``_stars`` has it, of candidates with the same least shingle."""
-    sizes = candidates.groupBy(F.col("least").alias("unit")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    placed = candidates.withColumnRenamed("least", "unit").join(sizes, "unit").withColumn("blocks", _blocks_of("k"))
+    # Only groups of more than a block are broadcast, so no group is dealt out by its own key.
+    large = candidates.groupBy(F.col("least").alias("unit")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK)
+    placed = candidates.withColumnRenamed("least", "unit").join(F.broadcast(large), "unit", "left")
+    placed = placed.withColumn("blocks", F.coalesce(_blocks_of("k"), F.lit(1)))
     placed = placed.select("unit", "blocks", *_SETS, "central", _block("class", 1, "blocks").alias("i"), F.lit(0).alias("centre"))
     # No side: all classes of a block are compared.
     centres = (
